@@ -7,9 +7,6 @@ few hundred groups per pair, however many rows it read.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,31 +40,56 @@ def _as_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def column_codes(df: DataFrame, unique_counts: dict[str, int]) -> dict[str, Column]:
-    """A code expression 0..20 per column: deciles for numbers with many values, else values."""
+def _bucket(value: Column, edges: list[float], first: int = 0) -> Column:
+    """Number of edges below the value, found by halving (edges are ascending)."""
+    if not edges:
+        return F.lit(first)
+    middle = len(edges) // 2
+    left = _bucket(value, edges[:middle], first)
+    right = _bucket(value, edges[middle + 1 :], first + middle + 1)
+    return F.when(value > F.lit(edges[middle]), right).otherwise(left)
+
+
+def coded_columns(df: DataFrame, unique_counts: dict[str, int]) -> DataFrame:
+    """One array column ``k`` with a code 0..20 per supported column.
+
+    Numbers and dates with many values get their decile, other columns the place of the value
+    among the commonest ones.
+    """
     names = supported_columns(df)
     numbers = {n: _as_number(df, n) for n in names}
+    base = df.select(
+        *[
+            (F.col(S.quoted(n)).cast("string") if numbers[n] is None else numbers[n]).alias(f"x{i}")
+            for i, n in enumerate(names)
+        ]
+    )
+    value = {n: F.col(f"x{i}") for i, n in enumerate(names)}
     many = [n for n in names if numbers[n] is not None and unique_counts[n] > FEW_VALUES]
-    listed = [n for n in names if n not in many]
-    edges = exact_quantiles(df, {n: numbers[n] for n in many}, DECILES) if many else {}
-    codes: dict[str, Column] = {}
-    for n in many:
-        above = reduce(add, [(numbers[n] > F.lit(e)).cast("int") for e in edges[n]])
-        codes[n] = F.when(numbers[n].isNull(), NULL_CODE).otherwise(above)
-    if listed:
-        text = df.select(*[F.col(S.quoted(n)).cast("string").alias(n) for n in listed])
-        common: dict[str, list[str]] = {n: [] for n in listed}
-        # at most 19 values per column reach the driver
-        limit = {n: FEW_VALUES if numbers[n] is not None else OTHER_CODE for n in listed}
-        for r in top_values(text, limit=FEW_VALUES).orderBy("column_name", "rank").collect():
-            if r["rank"] <= limit[r["column_name"]]:
-                common[r["column_name"]].append(r["value"])
-        for n in listed:
-            value = F.col(S.quoted(n)).cast("string")
-            place = F.array_position(F.array(*[F.lit(v) for v in common[n]]), value) if common[n] else F.lit(0)
+    few = [n for n in names if numbers[n] is not None and n not in many]
+    texts = [n for n in names if numbers[n] is None]
+    edges = exact_quantiles(base, {n: value[n] for n in many}, DECILES) if many else {}
+    listed: dict[str, list] = {n: [] for n in texts}
+    if few:
+        # at most 20 values per column: their number was counted before
+        row = base.agg(*[F.array_sort(F.collect_set(value[n])).alias(f"v{i}") for i, n in enumerate(few)]).first()
+        listed.update({n: row[f"v{i}"] for i, n in enumerate(few)})
+    if texts:
+        position = {f"x{names.index(n)}": n for n in texts}
+        for r in top_values(base.select(*position), limit=OTHER_CODE).orderBy("column_name", "rank").collect():
+            listed[position[r["column_name"]]].append(r["value"])
+    codes = []
+    for n in names:
+        x = value[n]
+        if n in many:
+            code = _bucket(x, edges[n])
+        elif listed[n]:
+            place = F.array_position(F.array(*[F.lit(v) for v in listed[n]]), x)
             code = F.when(place > 0, place - 1).otherwise(OTHER_CODE)
-            codes[n] = F.when(value.isNull(), NULL_CODE).otherwise(code)
-    return {n: codes[n].cast("int") for n in names}
+        else:
+            code = F.lit(OTHER_CODE)
+        codes.append(F.when(x.isNull(), NULL_CODE).otherwise(code).cast("int"))
+    return base.select(F.array(*codes).alias("k"))
 
 
 def associations(df: DataFrame, unique_counts: dict[str, int] | None = None) -> DataFrame:
@@ -78,16 +100,16 @@ def associations(df: DataFrame, unique_counts: dict[str, int] | None = None) ->
     """
     if unique_counts is None:
         unique_counts = {r["column_name"]: r["unique_count"] for r in unique_stats(df).collect()}
-    codes = column_codes(df, unique_counts)
-    names = list(codes)
-    coded = df.select(*[codes[n].alias(f"k{i}") for i, n in enumerate(names)])
-    size = CODES * CODES
-    cells = []
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            pair = (i * len(names) + j) * size
-            cells.append(F.lit(pair) + F.col(f"k{i}") * CODES + F.col(f"k{j}"))
-    counted = coded.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    names = supported_columns(df)
+    width, size = len(names), CODES * CODES
+    # each row meets its column pairs (a, b) with a <= b; the pair (a, a) gives the entropy of a
+    left = coded_columns(df, unique_counts).select("k", F.posexplode("k").alias("a", "code_a"))
+    both = left.select(
+        "a", "code_a", F.posexplode(F.slice("k", F.col("a") + 1, width)).alias("step", "code_b")
+    )
+    number = F.col("a") * (width + 1) + F.col("step")
+    cell = number * size + F.col("code_a") * CODES + F.col("code_b")
+    counted = both.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     pair = F.floor(F.col("cell") / size).cast("int")
     sums = counted.groupBy(pair.alias("pair")).agg(
         F.sum("n").alias("rows"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n")

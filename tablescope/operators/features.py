@@ -42,6 +42,7 @@ class FeaturePlan:
     original_features: int = 0
     rows_dropped: int = 0
     dropped: list[str] = field(default_factory=list)
+    decisions: dict[str, str] = field(default_factory=dict)
     encoded: dict[str, list[str]] = field(default_factory=dict)
     numeric: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
@@ -54,6 +55,10 @@ class FeaturePlan:
     features: list[str] = field(default_factory=list)
     n_classes: int = 0
 
+    def drop(self, column: str, code: str, reason: str) -> None:
+        self.dropped.append(f"{column} ({reason})")
+        self.decisions[column] = code
+
     @property
     def final_rows(self) -> int:
         return self.original_rows - self.rows_dropped
@@ -171,16 +176,16 @@ def fit_features(
     kept = []
     for c in names:
         if count and missing[c] / count > MAX_MISSING:
-            plan.dropped.append(f"{c} ({missing[c] / count:.1%} missing)")
+            plan.drop(c, "sparse", f"{missing[c] / count:.1%} missing")
         else:
             kept.append(c)
     for c in list(kept):
         data_type = df.schema[c].dataType
         if S.is_datetime(data_type):
-            plan.dropped.append(f"{c} (datetime)")
+            plan.drop(c, "datetime", "datetime")
             kept.remove(c)
         elif not S.is_supported(data_type):
-            plan.dropped.append(f"{c} (unsupported type)")
+            plan.drop(c, "unsupported", "unsupported type")
             kept.remove(c)
 
     def is_category(c: str) -> bool:
@@ -192,12 +197,13 @@ def fit_features(
         unique = {r["column_name"]: r["unique_count"] for r in unique_stats(rows, categories).collect()}
         for c in categories:
             if unique[c] > max_categories:
-                plan.dropped.append(f"{c} (high cardinality: {unique[c]} unique values)")
+                plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
                 kept.remove(c)
         plan.encoded = category_values(rows, [c for c in categories if c in kept])
 
     plan.features = kept
     plan.numeric = [c for c in kept if c not in plan.encoded]
+    plan.decisions.update({c: "encoded" if c in plan.encoded else "numeric" for c in kept})
     gaps = [c for c in plan.numeric if missing[c]]
     if gaps:
         medians = exact_quantiles(rows, {c: as_double(df, c) for c in gaps}, [0.5])
@@ -209,6 +215,25 @@ def fit_features(
     return plan
 
 
+def target_policy(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """How each column would be turned into classes if it were the target."""
+    stats = unique_stats(df, columns)
+    numeric = F.col("column_name").isin(*[c for c in df.columns if S.is_numeric(df.schema[c].dataType)])
+    distinct = F.col("unique_count")
+    policy = (
+        F.when(~numeric, "categorical_encoded")
+        .when(distinct <= FEW_CLASSES, "numeric_categorical")
+        .when(distinct > MANY_CLASSES, "continuous_to_3_classes")
+        .otherwise("numeric_as_is")
+    )
+    return stats.select("column_name", "unique_count", policy.alias("target_policy"))
+
+
+def column_decisions(df: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """(column_name, decision): kept as numeric or encoded, or why it was dropped."""
+    return df.sparkSession.createDataFrame(list(plan.decisions.items()), "column_name string, decision string")
+
+
 def _fit_target(rows: DataFrame, plan: FeaturePlan) -> None:
     """Codes of the target: categories, numeric classes as they are, or three quantile bins."""
     target, data_type = plan.target, rows.schema[plan.target].dataType
@@ -276,7 +301,7 @@ def assemble_features(df: DataFrame, plan: FeaturePlan) -> DataFrame:
 
 def preprocessing_report(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     """The preparation as one row."""
-    details = S.MODEL_SUMMARY["preprocessing_details"].dataType
+    details = S.result_schema("workflow_model_summary")["preprocessing_details"].dataType
     return df.sparkSession.createDataFrame([report_row(plan)], details)
 
 

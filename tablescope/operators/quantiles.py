@@ -2,42 +2,35 @@
 
 Spark's exact ``percentile`` keeps a value -> count map of the whole column in one buffer, so
 its memory grows with the data.  Here ``percentile_approx`` (a bounded sketch) brackets each
-wanted rank, one aggregate counts the rows below and up to the bracket, and only the rows
-inside are looked at again: about 4/10,000 of the table.  A bracket that is still too large
-for one task is narrowed once more.  The driver sees two numbers per bracket.
+wanted rank, and one grouped count keeps single values only inside the brackets, about 4/10,000
+of the rows per rank; rows between brackets collapse to one counter per gap before the shuffle.
+A bracket with too many distinct values for one task is narrowed by another sketch.  The driver
+sees a few numbers per bracket.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescope.session import checkpointed
+
 ACCURACY = 10_000
-ROWS_PER_BRACKET = 1_000_000
+VALUES_PER_TASK = 1_000_000
 
 
 @dataclass
 class Bracket:
-    """Rank ``rank`` (0-based) of column ``name`` lies in [low, high]."""
+    """Rank ``rank`` (0-based) of column ``name`` should lie in [low, high]."""
 
     name: str
     rank: int
     low: float
     high: float
-    outer_low: float
-    outer_high: float
-    below: int = 0
-    inside: int = 0
-
-    @property
-    def settled(self) -> bool:
-        return self.low == self.high and self.below <= self.rank < self.below + self.inside
 
 
 def probe_points(probs: list[float]) -> list[float]:
@@ -59,7 +52,7 @@ def order_statistics(
     ranks: dict[str, list[int]],
     counts: dict[str, int],
     sketches: dict[str, tuple[list[float], list[float]]] | None = None,
-    rows_per_bracket: int = ROWS_PER_BRACKET,
+    values_per_task: int = VALUES_PER_TASK,
 ) -> dict[tuple[str, int], float]:
     """Values at the 0-based ``ranks`` of each column (nulls ignored, ``counts`` non-nulls).
 
@@ -73,113 +66,152 @@ def order_statistics(
     known = dict(sketches or {})
     if missing:
         points = {n: probe_points([k / counts[n] for k in ranks[n]]) for n in missing}
-        row = df.agg(
-            *[sketch(columns[n], points[n]).alias(f"s{i}") for i, n in enumerate(missing)]
-        ).first()
+        row = df.agg(*[sketch(columns[n], points[n]).alias(f"s{i}") for i, n in enumerate(missing)]).first()
         known.update({n: (points[n], row[f"s{i}"]) for i, n in enumerate(missing)})
 
-    open_brackets = []
+    brackets = []
     for name, rank in wanted:
         points, values = known[name]
-        position = rank / counts[name]
-        margin = 1.5 / ACCURACY
+        position, margin = rank / counts[name], 1.5 / ACCURACY
         low = max((v for p, v in zip(points, values) if p <= max(0.0, position - margin)), default=values[0])
         high = min((v for p, v in zip(points, values) if p >= min(1.0, position + margin)), default=values[-1])
-        open_brackets.append(Bracket(name, rank, low, high, -math.inf, math.inf))
+        brackets.append(Bracket(name, rank, low, high))
 
     found: dict[tuple[str, int], float] = {}
-    while open_brackets:
-        _count(df, columns, open_brackets)
-        small, large = [], []
-        for b in open_brackets:
-            if b.settled:
-                found[b.name, b.rank] = b.low
-            elif b.rank < b.below:  # the sketch was off: look to the left
-                b.low, b.high = b.outer_low, b.low
-                large.append(b)
-            elif b.rank >= b.below + b.inside:  # or to the right
-                b.low, b.high = b.high, b.outer_high
-                large.append(b)
-            elif b.inside <= rows_per_bracket:
-                small.append(b)
-            else:
-                b.outer_low, b.outer_high = b.low, b.high
-                large.append(b)
+    small = max(counts.values()) <= values_per_task
+    while brackets:
+        ranges = _disjoint_ranges(brackets)
+        grouped = _grouped(df, columns, ranges)
         if small:
-            found.update(_pick(df, columns, small))
-        if large:
-            _narrow(df, columns, large)
-        open_brackets = large
+            need = {(i,): _ranks_of(n, brackets) for i, n in enumerate(ranges)}
+            found.update(_pick(grouped, ["c"], need, list(ranges)))
+            stats: dict = {}
+        else:
+            grouped = checkpointed(grouped)
+            stats = _slot_stats(grouped)
+            found.update(_pick_checked(grouped, ranges, brackets, stats, values_per_task))
+        brackets = [b for b in brackets if (b.name, b.rank) not in found]
+        if brackets:
+            _narrow(df, columns, ranges, brackets, stats or _slot_stats(grouped))
     return found
 
 
-def _inside(value: Column, b: Bracket) -> Column:
-    return value.between(F.lit(b.low), F.lit(b.high))
+def _ranks_of(name: str, brackets: list[Bracket]) -> list[int]:
+    return [b.rank for b in brackets if b.name == name]
 
 
-def _ranges(brackets: list[Bracket]) -> dict[tuple[str, float, float], int]:
-    """The distinct ranges of the brackets; neighbouring ranks usually share one."""
-    keys = dict.fromkeys((b.name, b.low, b.high) for b in brackets)
-    return {key: i for i, key in enumerate(keys)}
+def _disjoint_ranges(brackets: list[Bracket]) -> dict[str, list[tuple[float, float]]]:
+    """Brackets per column, overlapping ones merged, in ascending order."""
+    result: dict[str, list[tuple[float, float]]] = {}
+    for b in sorted(brackets, key=lambda b: (b.low, b.high)):
+        own = result.setdefault(b.name, [])
+        if own and b.low <= own[-1][1]:
+            own[-1] = (own[-1][0], max(own[-1][1], b.high))
+        else:
+            own.append((b.low, b.high))
+    return result
 
 
-def _count(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket]) -> None:
-    ranges = _ranges(brackets)
-    exprs = []
-    for (name, low, high), i in ranges.items():
-        value = columns[name]
-        exprs.append(F.count_if(value < F.lit(low)).alias(f"b{i}"))
-        exprs.append(F.count_if(value.between(F.lit(low), F.lit(high))).alias(f"i{i}"))
-    row = df.agg(*exprs).first()
+def _slot(value: Column, ranges: list[tuple[float, float]], first: int = 0) -> Column:
+    """Slot of a value by halving: 2j+1 inside range j, 2j in the gap before it."""
+    if not ranges:
+        return F.lit(2 * first)
+    middle = len(ranges) // 2
+    low, high = ranges[middle]
+    return (
+        F.when(value < F.lit(low), _slot(value, ranges[:middle], first))
+        .when(value <= F.lit(high), F.lit(2 * (first + middle) + 1))
+        .otherwise(_slot(value, ranges[middle + 1 :], first + middle + 1))
+    )
+
+
+def _grouped(df: DataFrame, columns: dict[str, Column], ranges: dict[str, list]) -> DataFrame:
+    """(c, slot, v, n): counts per gap (v null) and per value inside the ranges."""
+    values = df.select(*[columns[n].alias(f"x{i}") for i, n in enumerate(ranges)])
+    placed = values.select("*", *[_slot(F.col(f"x{i}"), r).alias(f"s{i}") for i, r in enumerate(ranges.values())])
+    entries = []
+    for i in range(len(ranges)):
+        slot = F.when(F.col(f"x{i}").isNotNull(), F.col(f"s{i}"))
+        entries += [F.lit(i), slot, F.when(F.col(f"s{i}") % 2 == 1, F.col(f"x{i}"))]
+    stacked = placed.select(F.stack(F.lit(len(ranges)), *entries).alias("c", "slot", "v"))
+    return stacked.where(F.col("slot").isNotNull()).groupBy("c", "slot", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _slot_stats(grouped: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Rows and distinct values per (column, slot)."""
+    rows = grouped.groupBy("c", "slot").agg(F.sum("n").alias("rows"), F.count("v").alias("values")).collect()
+    return {(r["c"], r["slot"]): (r["rows"], r["values"]) for r in rows}
+
+
+def _pick(
+    grouped: DataFrame,
+    partition: list[str],
+    need: dict[tuple, list[int]],
+    names: list[str],
+    below: dict | None = None,
+) -> dict:
+    """Values at the needed ranks of each partition, counted from its first row."""
+    upto = F.sum("n").over(W.partitionBy(*partition).orderBy("slot", "v").rowsBetween(W.unboundedPreceding, 0))
+    # one text key per (column) or (column, slot): the map is as long as the list of brackets
+    entries = [
+        x
+        for key, ks in need.items()
+        for x in (F.lit("/".join(map(str, key))), F.array(*[F.lit(k).cast("bigint") for k in ks]))
+    ]
+    wanted = F.element_at(F.create_map(*entries), F.concat_ws("/", *partition))
+    steps = grouped.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("n"))
+    hit = F.filter(wanted, lambda k: (k >= F.col("start")) & (k < F.col("upto")))
+    rows = (
+        steps.where(F.col("v").isNotNull())
+        .select(*partition, "v", F.explode(hit).alias("k"))
+        .collect()  # one row per wanted rank
+    )
+    return {
+        (names[r["c"]], r["k"] + (below or {}).get(tuple(r[p] for p in partition), 0)): r["v"] for r in rows
+    }
+
+
+def _pick_checked(grouped: DataFrame, ranges: dict, brackets: list[Bracket], stats: dict, values_per_task: int) -> dict:
+    """Pick from the ranges whose number of distinct values fits one task."""
+    names = list(ranges)
+    need: dict[tuple, list[int]] = {}
+    below: dict[tuple, int] = {}
     for b in brackets:
-        i = ranges[b.name, b.low, b.high]
-        b.below, b.inside = row[f"b{i}"], row[f"i{i}"]
+        c = names.index(b.name)
+        start = 0
+        for slot in range(2 * len(ranges[b.name]) + 1):
+            rows, values = stats.get((c, slot), (0, 0))
+            if start <= b.rank < start + rows and slot % 2 == 1 and values <= values_per_task:
+                need.setdefault((c, slot), []).append(b.rank - start)
+                below[c, slot] = start
+            start += rows
+    if not need:
+        return {}
+    keys = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("slot")) for c, s in need])
+    fitting = grouped.where(F.array_contains(keys, F.struct("c", "slot")))
+    return _pick(fitting, ["c", "slot"], need, names, below)
 
 
-def _narrow(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket]) -> None:
-    """Shrink each bracket around its rank with a sketch of the rows inside it."""
-    _count(df, columns, brackets)
+def _narrow(df: DataFrame, columns: dict[str, Column], ranges: dict, brackets: list[Bracket], stats: dict) -> None:
+    """Give each open rank a new bracket: a sketch of the slot that was found to hold it."""
+    names = list(ranges)
     exprs = []
     for i, b in enumerate(brackets):
-        position = min(1.0, max(0.0, (b.rank - b.below) / max(b.inside, 1)))
+        c, own = names.index(b.name), ranges[b.name]
+        slot, start = 0, 0
+        while start + stats.get((c, slot), (0, 0))[0] <= b.rank:
+            start += stats.get((c, slot), (0, 0))[0]
+            slot += 1
+        position = (b.rank - start) / stats[c, slot][0]
         points = [max(0.0, position - 2 / ACCURACY), min(1.0, position + 2 / ACCURACY)]
         value = columns[b.name]
-        exprs.append(sketch(F.when(_inside(value, b), value), points).alias(f"s{i}"))
+        held = _slot(value, own) == slot
+        exprs.append(sketch(F.when(held, value), points).alias(f"s{i}"))
     row = df.agg(*exprs).first()
     for i, b in enumerate(brackets):
         b.low, b.high = row[f"s{i}"]
 
 
-def _pick(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket]) -> dict:
-    """Read the wanted ranks from brackets whose size was checked."""
-    ranges = _ranges(brackets)
-    hits = {i: columns[name].between(F.lit(low), F.lit(high)) for (name, low, high), i in ranges.items()}
-    entries = []
-    for (name, _, _), i in ranges.items():
-        entries += [F.lit(i), F.when(hits[i], columns[name])]
-    # drop the rows outside every bracket before any row is multiplied
-    rows = df.where(reduce(or_, hits.values()))
-    values = rows.select(F.stack(F.lit(len(ranges)), *entries).alias("t", "v")).where(F.col("v").isNotNull())
-    counted = values.groupBy("t", "v").count()
-    upto = F.sum("count").over(W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    wanted = [(ranges[b.name, b.low, b.high], b.rank - b.below) for b in brackets]
-    steps = counted.select("t", "v", "count", upto.alias("upto"))
-    is_wanted = reduce(
-        or_,
-        [
-            (F.col("t") == t) & (F.col("upto") > k) & (F.col("upto") - F.col("count") <= k)
-            for t, k in wanted
-        ],
-    )
-    found = steps.where(is_wanted).collect()  # one row per wanted rank
-    result = {}
-    for b, (t, k) in zip(brackets, wanted):
-        for r in found:
-            if r["t"] == t and r["upto"] - r["count"] <= k < r["upto"]:
-                result[b.name, b.rank] = r["v"]
-    return result
-
-
 def quantile_ranks(count: int, probs: list[float]) -> list[int]:
     """Ranks needed to interpolate each probability linearly between its neighbours."""
     ranks = set()
@@ -201,19 +233,21 @@ def exact_quantiles(
     probs: list[float],
     counts: dict[str, int] | None = None,
     sketches: dict[str, tuple[list[float], list[float]]] | None = None,
-    rows_per_bracket: int = ROWS_PER_BRACKET,
+    values_per_task: int = VALUES_PER_TASK,
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
+    if not columns:
+        return {}
     if counts is None or sketches is None:
         points = probe_points(probs)
         exprs = []
         for i, value in enumerate(columns.values()):
             exprs += [F.count(value).alias(f"n{i}"), sketch(value, points).alias(f"s{i}")]
-        row = df.agg(*exprs).first() if exprs else None
+        row = df.agg(*exprs).first()
         counts = {n: row[f"n{i}"] for i, n in enumerate(columns)}
         sketches = {n: (points, row[f"s{i}"]) for i, n in enumerate(columns) if counts[n]}
     ranks = {n: quantile_ranks(counts[n], probs) for n in columns if counts[n]}
-    values = order_statistics(df, columns, ranks, counts, sketches, rows_per_bracket)
+    values = order_statistics(df, columns, ranks, counts, sketches, values_per_task)
     result: dict[str, list[float] | None] = {}
     for n in columns:
         if not counts[n]:

@@ -92,10 +92,11 @@ def supervised_profile(
         F.lit(kind).alias("problem_type"),
         "*",
     )
-    absent = [f for f in S.TARGET_STATS.fields if f.name not in head.columns]
+    fields = S.result_schema("workflow_target_stats").fields
+    absent = [f for f in fields if f.name not in head.columns]
     for field in absent:
         head = head.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return head.select(*[f.name for f in S.TARGET_STATS.fields])
+    return head.select(*[f.name for f in fields])
 
 
 def target_candidates(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope import schema as S
 from tablescope.functions import analysis_id as new_analysis_id
@@ -67,7 +68,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, exact_outlie
         fences = outlier_percentages(df, {n: stats[n]["quantiles"] for n in numeric}, exact_outliers)
         joined = joined.join(F.broadcast(values), "column_name", "left").join(F.broadcast(fences), "column_name", "left")
     else:
-        for f in S.T.StructType.fromDDL(_STATS_DDL + ", outlier_percentage double").fields[1:]:
+        for f in T.StructType.fromDDL(_STATS_DDL + ", outlier_percentage double").fields[1:]:
             joined = joined.withColumn(f.name, F.lit(None).cast(f.dataType))
 
     few = F.coalesce(F.col("unique_count") <= S.MAX_CATEGORICAL_CARDINALITY, F.lit(False))

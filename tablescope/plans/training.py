@@ -110,7 +110,8 @@ def _texts(summary: dict, top: list[tuple[str, float]]) -> dict:
         performance += f" Depth {summary['tree_depth']}, {summary['n_leaves']} leaves."
     if gap > evaluate.OVERFIT_GAP:
         performance += f" Train accuracy is {gap:.1%} higher: over-fitting is likely."
-    details = dict(zip(S.MODEL_SUMMARY["preprocessing_details"].dataType.names, summary["preprocessing_details"]))
+    names = S.result_schema("workflow_model_summary")["preprocessing_details"].dataType.names
+    details = dict(zip(names, summary["preprocessing_details"]))
     return {
         "performance_summary": performance,
         "top_features_summary": "; ".join(f"{i}. {f} ({v:.4f})" for i, (f, v) in enumerate(top, 1)),
@@ -173,11 +174,11 @@ def train_and_evaluate(
     }
     if model_type == "decision_tree":
         summary.update(models.tree_structure(trained))
-    names = {f.name for f in S.MODEL_SUMMARY.fields}
-    summary.update({k: v for k, v in trained.parameters.items() if k in names})
+    schema = S.result_schema("workflow_model_summary")
+    summary.update({k: v for k, v in trained.parameters.items() if k in schema.names})
     summary.update(_texts(summary, ranked[:5]))
-    row = spark.createDataFrame([tuple(summary.get(f.name) for f in S.MODEL_SUMMARY.fields)], S.MODEL_SUMMARY)
+    row = spark.createDataFrame([tuple(summary.get(n) for n in schema.names)], schema)
     row = row.withColumn("created_at", F.current_timestamp())
     codes = flat_runs(row).select("analysis_id", recommendation_codes().alias("codes"))
     row = row.drop("recommendations").join(codes, "analysis_id").withColumnRenamed("codes", "recommendations")
-    return TrainingRun(conform(row, S.MODEL_SUMMARY), importance, scored, trained)
+    return TrainingRun(conform(row, schema), importance, scored, trained)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -59,31 +61,31 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-EDA_SUMMARY = T.StructType.fromDDL(
+EDA_SUMMARY = (
     "analysis_id STRING, table_name STRING, schema_name STRING, database_name STRING, "
     "total_rows BIGINT, total_columns INT, duplicate_rows BIGINT, duplicate_percentage DOUBLE, "
     "target_column STRING, analysis_type STRING, problem_type STRING, created_at TIMESTAMP"
 )
 
-EDA_COLUMN_STATS = T.StructType.fromDDL(
+EDA_COLUMN_STATS = (
     "analysis_id STRING, column_name STRING, data_type STRING, total_count BIGINT, "
     "null_percentage DOUBLE, unique_count BIGINT, cardinality_ratio DOUBLE, mean_value DOUBLE, "
     "median_value DOUBLE, mode_value STRING, std_dev DOUBLE, min_value STRING, max_value STRING, "
     "q1 DOUBLE, q3 DOUBLE, skewness DOUBLE, outlier_percentage DOUBLE, entropy DOUBLE"
 )
 
-TARGET_STATS = T.StructType.fromDDL(
+TARGET_STATS = (
     "analysis_id STRING, target_column STRING, problem_type STRING, num_classes BIGINT, "
     "majority_class_percentage DOUBLE, minority_class_percentage DOUBLE, balance_ratio DOUBLE, "
     "mean DOUBLE, median DOUBLE, std_dev DOUBLE, min DOUBLE, max DOUBLE, q1 DOUBLE, q3 DOUBLE, "
     "skewness DOUBLE, distribution_shape STRING"
 )
 
-TARGET_CLASSES = T.StructType.fromDDL(
+TARGET_CLASSES = (
     "analysis_id STRING, target_column STRING, class STRING, count BIGINT, percentage DOUBLE"
 )
 
-MODEL_SUMMARY = T.StructType.fromDDL(
+MODEL_SUMMARY = (
     "analysis_id STRING, workflow_id STRING, table_name STRING, target_variable STRING, "
     "model_type STRING, problem_type STRING, "
     "test_accuracy DOUBLE, test_precision DOUBLE, test_recall DOUBLE, test_f1_score DOUBLE, "
@@ -104,7 +106,7 @@ MODEL_SUMMARY = T.StructType.fromDDL(
     "recommendations ARRAY<STRING>, model_parameters STRING, created_at TIMESTAMP"
 )
 
-WORKFLOW_METADATA = T.StructType.fromDDL("key STRING, value STRING, updated_at TIMESTAMP")
+WORKFLOW_METADATA = ("key STRING, value STRING, updated_at TIMESTAMP")
 
 RESULT_TABLES = {
     "workflow_metadata": WORKFLOW_METADATA,
@@ -114,3 +116,9 @@ RESULT_TABLES = {
     "workflow_target_classes": TARGET_CLASSES,
     "workflow_model_summary": MODEL_SUMMARY,
 }
+
+
+@cache
+def result_schema(table: str) -> T.StructType:
+    """Schema of a result table (parsed on first use: parsing needs a running session)."""
+    return T.StructType.fromDDL(RESULT_TABLES[table])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.schema import RESULT_TABLES, quoted
+from tablescope.schema import RESULT_TABLES, quoted, result_schema
 from tablescope.session import checkpointed
 
 
@@ -16,8 +16,7 @@ def _name(namespace: str, table: str) -> str:
 
 
 def create_result_tables(spark: SparkSession, namespace: str) -> None:
-    for table, schema in RESULT_TABLES.items():
-        ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    for table, ddl in RESULT_TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(namespace, table)} ({ddl}) USING parquet")
 
 
@@ -40,7 +39,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def append_results(df: DataFrame, namespace: str, table: str) -> None:
-    conform(df, RESULT_TABLES[table]).write.mode("append").insertInto(_name(namespace, table))
+    conform(df, result_schema(table)).write.mode("append").insertInto(_name(namespace, table))
 
 
 def rewrite_results(df: DataFrame, namespace: str, table: str) -> None:
@@ -48,7 +47,7 @@ def rewrite_results(df: DataFrame, namespace: str, table: str) -> None:
 
     The new rows are checkpointed first, so the table is not read while it is overwritten.
     """
-    fresh = checkpointed(conform(df, RESULT_TABLES[table]))
+    fresh = checkpointed(conform(df, result_schema(table)))
     fresh.write.mode("overwrite").insertInto(_name(namespace, table), overwrite=True)
 
 
