@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.session import ensure_checkpoint_dir
+from tablescope.session import shared_path as scratch  # noqa: F401
 
 TABLE_COLUMNS = {
     "customer": {
@@ -46,12 +46,6 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder, which every executor can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 

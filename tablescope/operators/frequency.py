@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import schema as S
-from tablescope.functions import DIGEST_PREFIX, compact_text, display, percentage, safe_divide
+from tablescope.functions import DIGEST_PREFIX, LONG_TEXT, compact_text, display, percentage, safe_divide
 
 
 def _key_type(data_type: T.DataType) -> str:
@@ -86,33 +86,34 @@ def _display_value(frame: DataFrame) -> Column:
 def restore_long_text(df: DataFrame, found: DataFrame, value: str) -> DataFrame:
     """Replace digests in column ``value`` of the small frame ``found`` (column position ``c``).
 
-    ``found`` holds at most a few rows per column, so the lookup joins the scan to it by
-    broadcast and only the matching texts are shuffled.
+    ``found`` has a few rows per column (modes, top values).  They are computed once and kept
+    as a local frame, so looking the texts up does not run the frequency count again; the
+    lookup joins the scan to them by broadcast and shuffles only the matching texts.
     """
-    text_columns = long_text_columns(df)
-    if not text_columns:
+    names = long_text_columns(df)
+    if not names:
         return found
-    pairs = [
-        x for n in text_columns for x in (F.lit(df.columns.index(n)), F.col(S.quoted(n)).cast("string"))
-    ]
+    rows = found.collect()
+    local = df.sparkSession.createDataFrame(rows, found.schema)
+    digests = {(r["c"], r[value]) for r in rows if (r[value] or "").startswith(DIGEST_PREFIX)}
+    if not digests:
+        return local
+    keys = df.sparkSession.createDataFrame(sorted(digests), "c int, __key string")
+    pairs = [x for n in names for x in (F.lit(df.columns.index(n)), F.col(S.quoted(n)).cast("string"))]
     texts = (
-        df.select(F.stack(F.lit(len(text_columns)), *pairs).alias("c", "__text"))
-        .where(F.col("__text").isNotNull())
+        df.select(F.stack(F.lit(len(names)), *pairs).alias("c", "__text"))
+        .where(F.length("__text") > LONG_TEXT)
         .withColumn("__key", compact_text(F.col("__text")))
-        .where(F.col("__key").startswith(DIGEST_PREFIX))
     )
-    keys = found.where(F.col(value).startswith(DIGEST_PREFIX)).select("c", F.col(value).alias("__key"))
     originals = (
         texts.join(F.broadcast(keys), ["c", "__key"], "left_semi")
         .groupBy("c", "__key")
         .agg(F.first("__text").alias("__text"))
+        .withColumnRenamed("c", "__c")
     )
+    match = (F.col("c") == F.col("__c")) & (F.col(value) == F.col("__key"))
     return (
-        found.join(
-            originals.withColumnRenamed("c", "__c"),
-            (F.col("c") == F.col("__c")) & (F.col(value) == F.col("__key")),
-            "left",
-        )
+        local.join(originals, match, "left")
         .withColumn(value, F.coalesce("__text", value))
         .drop("__c", "__key", "__text")
     )
@@ -124,7 +125,7 @@ def long_text_columns(df: DataFrame, columns: list[str] | None = None) -> list[s
     if not names:
         return []
     row = df.agg(*[F.max(F.length(S.quoted(n))).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    return [n for i, n in enumerate(names) if (row[i] or 0) > 256]
+    return [n for i, n in enumerate(names) if (row[i] or 0) > LONG_TEXT]
 
 
 def frequency_summary(
@@ -191,6 +192,21 @@ def unique_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+def approximate_unique_stats(df: DataFrame, columns: list[str] | None = None, error: float = 0.01) -> DataFrame:
+    """The opt-in for huge tables: distinct counts from a sketch, in one pass without a shuffle."""
+    names = supported_columns(df, columns)
+    entries = [
+        F.struct(
+            F.lit(n).alias("column_name"),
+            F.count(F.lit(1)).alias("total_count"),
+            F.approx_count_distinct(_key(df, n), error).alias("unique_count"),
+        ).alias(f"u{i}")
+        for i, n in enumerate(names)
+    ]
+    wide = df.agg(*entries)
+    return wide.select(F.inline(F.array(*[F.col(f"u{i}") for i in range(len(names))])))
+
+
 def ranked_values(
     df: DataFrame, limit: int, columns: list[str] | None = None, rarest: bool = False
 ) -> DataFrame:

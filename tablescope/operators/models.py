@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.session import ensure_checkpoint_dir
+from tablescope.session import ensure_checkpoint_dir, shared_path
 
 MAX_TREE_DEPTH = 30  # the deepest tree MLlib builds
 CANDIDATE_SPLITS = 256
@@ -45,7 +45,19 @@ def train_logistic(
         standardization=False,
         family="binomial" if n_classes == 2 else "multinomial",
     )
-    return TrainedModel("logistic_regression", estimator.fit(train), features, n_classes, {"max_iter": max_iter, "c": c})
+    model = _without_summary(estimator.fit(train), prepared)
+    return TrainedModel("logistic_regression", model, features, n_classes, {"max_iter": max_iter, "c": c})
+
+
+def _without_summary(model: LogisticRegressionModel, prepared: DataFrame) -> LogisticRegressionModel:
+    """The model as it comes back from storage.
+
+    A freshly fitted binary model carries its training summary, and with it the session, into
+    every scoring task; that fails once the session holds observed metrics.
+    """
+    path = shared_path(prepared.sparkSession, "logistic")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def train_tree(

@@ -17,6 +17,7 @@ from tablescope.operators.ordering import totals_before
 from tablescope.operators.quantiles import order_statistics
 
 HASH_DIGITS = 13  # 52 bits, exact as a double
+MAX_CUTS = 200  # classes handled by one cut each
 
 
 def row_hash(keys: list[str], seed: int) -> Column:
@@ -54,6 +55,8 @@ def stratified_split(
     counts = {r[label]: r["count"] for r in df.groupBy(S.quoted(label)).count().collect()}
     quotas = train_quotas(counts, test_size)
     value = row_hash(keys, seed)
+    if len(counts) > MAX_CUTS:
+        return _split_by_place(df.withColumn("__hash", value), label, quotas)
     names = {f"class_{i}": c for i, c in enumerate(sorted(counts))}
     in_class = {n: F.when(F.col(S.quoted(label)) == F.lit(c), value) for n, c in names.items()}
     cuts = order_statistics(
@@ -87,6 +90,18 @@ def stratified_split(
     return others.unionByName(ties).drop("__hash")
 
 
+def _split_by_place(hashed: DataFrame, label: str, quotas: dict) -> DataFrame:
+    """Split for many classes: each row's place in its class from a distributed ordering."""
+    placed = totals_before(hashed, ["__hash"], {"__place": F.lit(1)}, within=[label])
+    room = hashed.sparkSession.createDataFrame(
+        [(c, q) for c, q in quotas.items()],
+        hashed.select(F.col(S.quoted(label)).alias("__class"), F.lit(0).cast("bigint").alias("__room")).schema,
+    )
+    joined = placed.join(F.broadcast(room), F.col(S.quoted(label)) == F.col("__class"))  # one row per class
+    side = F.when(F.col("__place") < F.col("__room"), "train").otherwise("test")
+    return joined.withColumn("split", side).drop("__hash", "__place", "__class", "__room")
+
+
 def hash_split(df: DataFrame, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """The one-pass variant: shares hold on average, no statistics are needed."""
     limit = (1 - test_size) * 16**HASH_DIGITS
