@@ -26,6 +26,11 @@ def as_double(df: DataFrame, name: str) -> Column:
     return finite(value) if floating else value.cast("double")
 
 
+def doubles(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns as doubles under x0, x1, ...: cleaned once, then used by many aggregates."""
+    return df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
+
+
 def long_form(df: DataFrame, row: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     """Turn a one-row wide aggregate with columns ``<field>_<i>`` into one row per column."""
     entries = [
@@ -39,8 +44,8 @@ def numeric_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, sample std and variance (two decimals), min and max of each numeric column."""
     names = numeric_columns(df, columns)
     exprs = []
-    for i, n in enumerate(names):
-        x = as_double(df, n)
+    for i in range(len(names)):
+        x = F.col(f"x{i}")
         exprs += [
             round_half_up(F.avg(x)).alias(f"mean_value_{i}"),
             round_half_up(F.stddev_samp(x)).alias(f"std_dev_{i}"),
@@ -49,14 +54,14 @@ def numeric_basic(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.max(x).alias(f"max_value_{i}"),
         ]
     fields = ["mean_value", "std_dev", "variance", "min_value", "max_value"]
-    return long_form(df, df.agg(*exprs), names, fields)
+    return long_form(df, doubles(df, names).agg(*exprs), names, fields)
 
 
 def numeric_kurtosis(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Population excess kurtosis of each numeric column."""
     names = numeric_columns(df, columns)
-    exprs = [round_half_up(F.kurtosis(as_double(df, n)), 4).alias(f"kurtosis_{i}") for i, n in enumerate(names)]
-    return long_form(df, df.agg(*exprs), names, ["kurtosis"])
+    exprs = [round_half_up(F.kurtosis(f"x{i}"), 4).alias(f"kurtosis_{i}") for i in range(len(names))]
+    return long_form(df, doubles(df, names).agg(*exprs), names, ["kurtosis"])
 
 
 def wide_stats(df: DataFrame, columns: list[str], probs: list[float] = QUARTILES) -> dict:
@@ -65,9 +70,13 @@ def wide_stats(df: DataFrame, columns: list[str], probs: list[float] = QUARTILES
     stats: dict[str, dict] = {}
     for start in range(0, len(columns), COLUMNS_PER_JOB):
         chunk = columns[start : start + COLUMNS_PER_JOB]
+        base = df.select(
+            *[as_double(df, n).alias(f"x{i}") for i, n in enumerate(chunk)],
+            *[F.col(S.quoted(n)).alias(f"r{i}") for i, n in enumerate(chunk)],
+        )
         exprs = []
         for i, n in enumerate(chunk):
-            raw, x = F.col(S.quoted(n)), as_double(df, n)
+            x, raw = F.col(f"x{i}"), F.col(f"r{i}")
             exprs += [
                 F.count(x).alias(f"n{i}"),
                 F.avg(x).alias(f"mean{i}"),
@@ -76,10 +85,10 @@ def wide_stats(df: DataFrame, columns: list[str], probs: list[float] = QUARTILES
                 display(F.max(raw), df.schema[n].dataType).alias(f"max{i}"),
                 sketch(x, points).alias(f"s{i}"),
             ]
-        row = df.agg(*exprs).first()
+        row = base.agg(*exprs).first()
         exact = exact_quantiles(
-            df,
-            {n: as_double(df, n) for n in chunk},
+            base,
+            {n: F.col(f"x{i}") for i, n in enumerate(chunk)},
             probs,
             counts={n: row[f"n{i}"] for i, n in enumerate(chunk)},
             sketches={n: (points, row[f"s{i}"]) for i, n in enumerate(chunk) if row[f"n{i}"]},
@@ -99,8 +108,8 @@ def wide_stats(df: DataFrame, columns: list[str], probs: list[float] = QUARTILES
 def approximate_quantiles(df: DataFrame, columns: list[str] | None = None, probs: list[float] = QUARTILES) -> DataFrame:
     """The opt-in for huge tables: quantiles within 1/10,000 of the rank, in one pass."""
     names = numeric_columns(df, columns)
-    exprs = [sketch(as_double(df, n), probs).alias(f"quantiles_{i}") for i, n in enumerate(names)]
-    return long_form(df, df.agg(*exprs), names, ["quantiles"])
+    exprs = [sketch(F.col(f"x{i}"), probs).alias(f"quantiles_{i}") for i in range(len(names))]
+    return long_form(df, doubles(df, names).agg(*exprs), names, ["quantiles"])
 
 
 def _local(df: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
@@ -109,7 +118,7 @@ def _local(df: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
 
 def numeric_quartiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = numeric_columns(df, columns)
-    exact = exact_quantiles(df, {n: as_double(df, n) for n in names}, QUARTILES)
+    exact = quantiles_of(df, names, QUARTILES)
     rows = [(n, *(exact[n] or [None] * 3)) for n in names]
     frame = _local(df, rows, "column_name string, q1 double, median_value double, q3 double")
     return frame.select("column_name", *[round_half_up(F.col(c)).alias(c) for c in ("q1", "median_value", "q3")])
@@ -119,7 +128,7 @@ def percentile_profile(
     df: DataFrame, columns: list[str] | None = None, percentiles: list[int] = S.PERCENTILES
 ) -> DataFrame:
     names = numeric_columns(df, columns)
-    exact = exact_quantiles(df, {n: as_double(df, n) for n in names}, [p / 100 for p in percentiles])
+    exact = quantiles_of(df, names, [p / 100 for p in percentiles])
     rows = [(n, *(exact[n] or [None] * len(percentiles))) for n in names]
     fields = [f"p{p}" for p in percentiles]
     frame = _local(df, rows, "column_name string, " + ", ".join(f"{f} double" for f in fields))
@@ -146,15 +155,21 @@ def outlier_percentages(
             exprs.append(F.max(F.lit(None).cast("double")).alias(f"outlier_percentage_{i}"))
             continue
         low, high = outlier_bounds(quartiles[n][0], quartiles[n][2], exact)
-        x = as_double(df, n)
+        x = F.col(f"x{i}")
         share = percentage(F.count_if((x < low) | (x > high)), F.count(F.lit(1)))
         exprs.append(share.alias(f"outlier_percentage_{i}"))
-    return long_form(df, df.agg(*exprs), names, ["outlier_percentage"])
+    return long_form(df, doubles(df, names).agg(*exprs), names, ["outlier_percentage"])
+
+
+def quantiles_of(df: DataFrame, names: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of numeric columns by name."""
+    columns = {n: F.col(f"x{i}") for i, n in enumerate(names)}
+    return exact_quantiles(doubles(df, names), columns, probs)
 
 
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     names = numeric_columns(df, columns)
-    quartiles = exact_quantiles(df, {n: as_double(df, n) for n in names}, QUARTILES)
+    quartiles = quantiles_of(df, names, QUARTILES)
     return outlier_percentages(df, quartiles, exact)
 
 
