@@ -21,6 +21,7 @@ from tablescope.session import checkpointed
 
 ACCURACY = 10_000
 VALUES_PER_TASK = 1_000_000
+FEWEST_VALUES = 16
 
 
 @dataclass
@@ -78,6 +79,8 @@ def order_statistics(
         brackets.append(Bracket(name, rank, low, high))
 
     found: dict[tuple[str, int], float] = {}
+    # below this a narrowed bracket could stay as it is: a sketch never separates neighbours
+    values_per_task = max(values_per_task, FEWEST_VALUES)
     small = max(counts.values()) <= values_per_task
     while brackets:
         ranges = _disjoint_ranges(brackets)
@@ -113,14 +116,21 @@ def _disjoint_ranges(brackets: list[Bracket]) -> dict[str, list[tuple[float, flo
 
 
 def _slot(value: Column, ranges: list[tuple[float, float]], first: int = 0) -> Column:
-    """Slot of a value by halving: 2j+1 inside range j, 2j in the gap before it."""
+    """Slot of a value by halving: for range j, 4j is the gap before it, 4j+1 its low end,
+    4j+2 its interior and 4j+3 its high end.
+
+    The ends are slots of their own, so a hot value at an end never keeps a range large.
+    """
     if not ranges:
-        return F.lit(2 * first)
+        return F.lit(4 * first)
     middle = len(ranges) // 2
     low, high = ranges[middle]
+    here = 4 * (first + middle)
     return (
         F.when(value < F.lit(low), _slot(value, ranges[:middle], first))
-        .when(value <= F.lit(high), F.lit(2 * (first + middle) + 1))
+        .when(value == F.lit(low), F.lit(here + 1))
+        .when(value < F.lit(high), F.lit(here + 2))
+        .when(value == F.lit(high), F.lit(here + 3))
         .otherwise(_slot(value, ranges[middle + 1 :], first + middle + 1))
     )
 
@@ -132,7 +142,7 @@ def _grouped(df: DataFrame, columns: dict[str, Column], ranges: dict[str, list])
     entries = []
     for i in range(len(ranges)):
         slot = F.when(F.col(f"x{i}").isNotNull(), F.col(f"s{i}"))
-        entries += [F.lit(i), slot, F.when(F.col(f"s{i}") % 2 == 1, F.col(f"x{i}"))]
+        entries += [F.lit(i), slot, F.when(F.col(f"s{i}") % 4 > 0, F.col(f"x{i}"))]
     stacked = placed.select(F.stack(F.lit(len(ranges)), *entries).alias("c", "slot", "v"))
     return stacked.where(F.col("slot").isNotNull()).groupBy("c", "slot", "v").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,9 +189,9 @@ def _pick_checked(grouped: DataFrame, ranges: dict, brackets: list[Bracket], sta
     for b in brackets:
         c = names.index(b.name)
         start = 0
-        for slot in range(2 * len(ranges[b.name]) + 1):
+        for slot in range(4 * len(ranges[b.name]) + 1):
             rows, values = stats.get((c, slot), (0, 0))
-            if start <= b.rank < start + rows and slot % 2 == 1 and values <= values_per_task:
+            if start <= b.rank < start + rows and slot % 4 > 0 and values <= values_per_task:
                 need.setdefault((c, slot), []).append(b.rank - start)
                 below[c, slot] = start
             start += rows
