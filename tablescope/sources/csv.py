@@ -33,15 +33,18 @@ def read_text_columns(spark: SparkSession, path: str | list[str], multiline: boo
 
     ``multiline`` allows line breaks inside quotes but makes each file one task.
     """
-    options = dict(header=True, quote='"', escape='"', multiLine=multiline)
+    options = dict(quote='"', escape='"', multiLine=multiline)
     first = path if isinstance(path, str) else path[0]
-    names = spark.read.csv(first, **options).columns
-    lowered = [n.strip().lower() for n in names]
+    # read as data: the reader itself would rename headers that collide
+    header = spark.read.csv(first, header=False, **options).first()
+    names = [(n or f"_c{i}").strip() for i, n in enumerate(header or [])]
+    lowered = [n.lower() for n in names]
     if len(set(lowered)) < len(lowered):
         raise ValueError(f"column names differ only in case or spaces: {names}")
-    schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.schema(schema).csv(
         path,
+        header=True,
         mode="PERMISSIVE",
         enforceSchema=True,
         ignoreLeadingWhiteSpace=True,
