@@ -77,15 +77,9 @@ def row_key(field: T.StructField) -> Column:
         return compact_text(value.cast("string"))
     if S.is_supported(field.dataType) or isinstance(field.dataType, T.BinaryType):
         return value
-    return F.to_json(F.struct(value)) if not _has_map(field.dataType) else F.to_json(F.struct(_sorted_maps(value, field.dataType)))
-
-
-def _has_map(data_type: T.DataType) -> bool:
-    return isinstance(data_type, T.MapType)
-
-
-def _sorted_maps(value: Column, data_type: T.DataType) -> Column:
-    return F.array_sort(F.map_entries(value))
+    if isinstance(field.dataType, T.MapType):
+        value = F.array_sort(F.map_entries(value))  # entry order is no part of a map's value
+    return F.to_json(F.struct(value))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
