@@ -134,6 +134,16 @@ def thresholds(
     return counts.select(stratum, F.col("n").alias("n_good"), *[strictest(r, c) for r, c in grid.items()])
 
 
+def with_verdict(metrics: DataFrame, cuts: DataFrame, stratum: str, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
+    """``metrics`` with the cutoffs of its stratum and ``kept``."""
+    cuts = cuts.drop("n_good").withColumnRenamed(stratum, "__stratum")
+    joined = metrics.join(small(cuts, BROADCAST_STRATA), F.col(stratum).eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
+    failed = F.lit(False)
+    for rule in grid:
+        failed = failed | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~failed)
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,22 +154,21 @@ def judge(
     **risk: float,
 ) -> DataFrame:
     """One row per document: key, stratum, counts, base_failed, each rule's metric and cutoff, kept."""
-    metrics = quality_metrics(docs.select(key, text, stratum), text).drop(text)
-    metrics = materialize(metrics, "metrics")
+    metrics = materialize(quality_metrics(docs.select(key, text, stratum), text).drop(text), "metrics")
     cuts = materialize(thresholds(metrics, labels, key, stratum, grid=grid, **risk), "thresholds")
-    joined = metrics.join(small(cuts.withColumnRenamed(stratum, "__stratum"), BROADCAST_STRATA), F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
-    failed = F.lit(False)
-    for rule in grid:
-        failed = failed | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~failed).drop("__stratum", "n_good")
+    return with_verdict(metrics, cuts, stratum, grid)
 
 
-def filter_kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, whole and unchanged.
+def filter_kept(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk: float
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, whole and unchanged.
 
-    A key stands for its documents: where a key comes with several texts, all must be kept.
-    Documents with a null key go: nothing can refer to them.
+    The metrics are computed once for the thresholds and once for the verdict, so texts are never shuffled.
     """
-    judged = judge(docs, labels, key, text, stratum)
-    verdict = judged.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("kept").alias("kept")).where("kept")
-    return docs.join(verdict.select(key), key, "left_semi")
+    own = docs.select(F.col(key).alias("__key"), F.col(stratum).alias("__stratum_of"), F.col(text).alias("__body"))
+    held = materialize(quality_metrics(own, "__body").drop("__body"), "metrics")
+    cuts = materialize(thresholds(held, labels.withColumnRenamed(key, "__key"), "__key", "__stratum_of", **risk), "thresholds")
+    row = docs.select(F.struct(*map(F.col, docs.columns)).alias("__row"), F.col(stratum).alias("__stratum_of"), F.col(text).alias("__body"))
+    judged = with_verdict(quality_metrics(row, "__body"), cuts, "__stratum_of")
+    return judged.where("kept").select("__row.*")
