@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tablescope.llm.shared import map_arrow
 from tablescope.llm.tokenizer_files import Cache, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -166,7 +167,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).mapInArrow(run, f"key {kind}, n_tokens bigint, ids array<int>, decoded string")
+    rows = map_arrow(docs.select(key, text), run, f"key {kind}, n_tokens bigint, ids array<int>, decoded string")
     return rows.withColumnRenamed("key", key)
 
 
@@ -189,5 +190,5 @@ def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = map_arrow(docs.select(key, text), run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return rows.withColumnRenamed("key", key)

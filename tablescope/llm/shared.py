@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,30 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _folders: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, by Spark's own file distribution."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tablescope-"), "tablescope.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    file.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package importable in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

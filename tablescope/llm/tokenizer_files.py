@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: A cache is emptied when it holds this many entries, so a worker's memory is bounded.
-CACHE_ENTRIES = 250_000
+#: A cache keeps two generations of at most about this many entries, so a worker's memory is bounded.
+CACHE_ENTRIES = 300_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -18,19 +18,27 @@ def vocabulary(name: str) -> str:
 
 
 class Cache:
-    """piece -> result, made by ``make`` for many missing pieces at once."""
+    """piece -> result, made by ``make`` for many missing pieces at once.
+
+    When the younger generation is full it becomes the older one; pieces still in use move over.
+    """
 
     def __init__(self, make: Callable[[list[str]], Iterable]):
-        self.make, self.known = make, {}
+        self.make, self.young, self.old = make, {}, {}
 
     def of(self, pieces: list[str]) -> list:
-        known = self.known
-        missing = [p for p in set(pieces) if p not in known]
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing, long = [], {}
+        for piece in set(pieces).difference(young):
+            if piece in old:
+                young[piece] = old[piece]
+            else:
+                missing.append(piece)
         if missing:
-            if len(known) + len(missing) > CACHE_ENTRIES:
-                known.clear()
-                missing = list(set(pieces))
-            made = dict(zip(missing, self.make(missing)))
-            known.update((p, r) for p, r in made.items() if len(p) <= CACHE_CHARS)
-            return [known[p] if p in known else made[p] for p in pieces]
-        return [known[p] for p in pieces]
+            for piece, result in zip(missing, self.make(missing)):
+                (young if len(piece) <= CACHE_CHARS else long)[piece] = result
+        if long:
+            return [young[p] if p in young else long[p] for p in pieces]
+        return [young[p] for p in pieces]
