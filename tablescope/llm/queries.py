@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe_codec, mixing, quality_rules, token_shards
+from tablescope.llm import bpe_codec, mixing, quality_rules, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
 
 
@@ -19,6 +19,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_windows(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(read(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
 
@@ -34,6 +38,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_shards": op7_token_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
