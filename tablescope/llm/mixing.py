@@ -32,7 +32,7 @@ LEAST_SLOTS = 32_768
 SLOTS_OF_SMALLEST = 64
 MOST_SLOTS = 1 << 20
 #: Rows of a bucket of the two-level ranks, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_500
 #: Source tables up to this many rows are broadcast.
 BROADCAST_SOURCES = 20_000
 #: 2^32 divided by the golden ratio, odd: i * STEP mod 2^32 are the golden-ratio points.

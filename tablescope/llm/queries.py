@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe_codec, mixing, ngram_jaccard, quality_rules, substring_dedup, token_shards
+from tablescope.llm import bpe_codec, exact_search, mixing, ngram_jaccard, quality_rules, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
 
 
@@ -19,6 +19,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_exact_search": op2_exact_search,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_shards": op7_token_shards,
@@ -49,4 +54,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+#: Words as in every operator: maximal runs outside ASCII white space.
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "op2_exact_search": """
+        WITH v AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op6_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, w FROM d WHERE len(w) >= 35),
+        h AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 34], ' ')) AS h FROM p),
+        c AS (SELECT doc_id, unnest(range(s, s + 35)) AS i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM c GROUP BY doc_id),
+        k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM d LEFT JOIN g USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+}
