@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe_codec, exact_search, mixing, ngram_jaccard, quality_rules, substring_dedup, token_shards
+from tablescope.llm import bpe_codec, exact_search, lm_scoring, mixing, ngram_jaccard, quality_rules, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
 
 
@@ -35,6 +35,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(read(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_shards": op7_token_shards,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
