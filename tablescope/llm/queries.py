@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe_codec, exact_search, lm_scoring, mixing, ngram_jaccard, quality_rules, substring_dedup, token_shards
+from tablescope.llm import bpe_codec, exact_search, lm_scoring, mixing, ngram_jaccard, personal_data, quality_rules, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
 
 
@@ -23,6 +23,10 @@ def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_search": op2_exact_search,
+    "op3_personal_data": op3_personal_data,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_shards": op7_token_shards,
