@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe_codec, exact_search, lm_scoring, mixing, ngram_jaccard, personal_data, quality_rules, substring_dedup, token_shards
+from tablescope.llm import bpe_codec, exact_search, lm_scoring, mixing, ngram_jaccard, personal_data, quality_classifier, quality_rules, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
 
 
@@ -27,6 +27,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.find_personal_data(read(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_search": op2_exact_search,
     "op3_personal_data": op3_personal_data,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_shards": op7_token_shards,
