@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, near-duplicate groups, personal data, source mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's documents.
+again as the next stage's documents. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,29 +9,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablescope.llm import quality_rules
+from tablescope.llm import bpe_codec, mixing, ngram_jaccard, personal_data, quality_rules
 from tablescope.llm.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates share four fifths of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; repeated documents are judged and kept row by row."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.filter_kept(docs, labels).select(*COLUMNS)
+    """Documents that the quality rules keep."""
+    return quality_rules.filter_kept(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return ngram_jaccard.one_of_each_group(docs.select(*COLUMNS), shingle=SHINGLE, percent=PERCENT)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    masked = personal_data.redact(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixing.mixed_rows(docs.select(*COLUMNS))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, decoded of every document."""
+    return bpe_codec.encode_documents(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", keep_good),
+    ("ngram_jaccard", drop_near_copies),
+    ("personal_data", mask_personal_data),
+    ("source_mixing", mix_sources),
+    ("bpe", encode),
 ]
 
-#: DuckDB has no equivalent of the thresholds, link groups and vocabulary; tests/llm checks run() stage by stage.
+#: DuckDB has no equivalent of the link groups and the vocabulary; tests/llm checks run() stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablescope.llm.shared import map_arrow
 from tablescope.llm.tokenizer_files import Cache, vocabulary
@@ -154,21 +155,23 @@ def coder(path: str) -> ForcedBoundaryCoder:
     return _coders[path]
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY) -> DataFrame:
-    """One row per document: key, n_tokens, ids (array), decoded."""
+def encode_documents(docs: DataFrame, text: str = "text", name: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep``, n_tokens, ids (array), decoded."""
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    own = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary(name))
+        encode = coder(vocabulary(name)).encode_parts
         for batch in batches:
-            parts = [own.encode_parts(t) for t in batch.column(1).to_pylist()]
+            parts = [encode(value.as_py()) for value in batch.column(batch.num_columns - 1)]
             ids = [[int(i) for p in ps for i in p[1].split(" ")] for ps in parts]
-            decoded = [" ".join(p[2] for p in ps) for ps in parts]
-            columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "ids", "decoded"])
+            decoded = [" ".join([p[2] for p in ps]) for ps in parts]
+            made = [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, "n_tokens", "ids", "decoded"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = map_arrow(docs.select(key, text), run, f"key {kind}, n_tokens bigint, ids array<int>, decoded string")
-    return rows.withColumnRenamed("key", key)
+    fields = "".join(f"{k} {own.schema[k].dataType.simpleString()}, " for k in kept)
+    rows = map_arrow(own, run, f"{fields}n_tokens bigint, ids array<int>, decoded string")
+    return rows.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], "n_tokens", "ids", "decoded")
 
 
 def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY) -> DataFrame:
@@ -190,5 +193,6 @@ def digest_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = map_arrow(docs.select(key, text), run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
+    rows = map_arrow(own, run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return rows.withColumnRenamed("key", key)

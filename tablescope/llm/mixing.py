@@ -35,6 +35,8 @@ MOST_SLOTS = 1 << 20
 BUCKET_ROWS = 2_500
 #: Source tables up to this many rows are broadcast.
 BROADCAST_SOURCES = 20_000
+#: Key tables of documents up to this many rows are broadcast, larger ones are shuffled.
+BROADCAST_DOCUMENTS = 500_000
 #: 2^32 divided by the golden ratio, odd: i * STEP mod 2^32 are the golden-ratio points.
 STEP, POINTS = 2_654_435_769, 1 << 32
 #: Equal parts of the points by which slots find their source.
@@ -184,3 +186,15 @@ def mix(
     whole_docs = pieces.groupBy("source_no", "start", "key", "size", "source_size", "target").agg(taken)
     rows = whole_docs.drop("source_no", "start").unionByName(placed.where("size = 0").select("key", "size", "source_size", "target", zero.alias("taken")))
     return rows.withColumnRenamed("key", key)
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: taken words over own words, rounded.
+
+    Documents of size 0 take no part in a mix of words and stay once. Rows that repeat a key share its count.
+    """
+    times = mix(docs, key, text, source, **how).groupBy(F.col(key).alias("__key")).agg(F.sum("size").alias("__size"), F.sum("taken").alias("__taken"))
+    times = materialize(times.select("__key", F.when(F.col("__size") == 0, 1).otherwise(F.round(F.col("__taken") / F.col("__size"))).cast("int").alias("__times")), "times")
+    joined = docs.join(small(times.where("__times <> 1"), BROADCAST_DOCUMENTS), F.col(key).eqNullSafe(F.col("__key")), "left")
+    copies = F.explode(F.array_repeat(F.lit(1), F.coalesce("__times", F.lit(1))))
+    return joined.withColumn("__copy", copies).select(*docs.columns)

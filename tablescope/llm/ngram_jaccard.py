@@ -291,3 +291,22 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return joined.select(
         F.nullif("key", F.lit(NULL_KEY)).alias(key), F.col("size").alias("n_shingles"), null.alias("component_id"), n_links.cast("long").alias("n_links")
     )
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of linked documents, the one of smallest key.
+
+    Of rows that repeat a key one stays, the one of the smallest text.
+    """
+    groups = materialize(jaccard_join(docs, key, text, shingle, percent).select(F.col(key).alias("__key"), "component_id"), "near-groups")
+    gone = groups.where(~F.col("__key").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    match = F.col(key).eqNullSafe(F.col("__key"))
+    kept = docs.join(small(gone, BROADCAST_ROWS), match, "left_anti")
+    repeated = materialize(groups.groupBy("__key").count().where("count > 1").select("__key"), "repeated-keys")
+    if repeated.isEmpty():
+        return kept
+    many = kept.join(small(repeated, BROADCAST_ROWS), match, "left_semi")
+    order = F.struct(text_of(text), *[c for c in docs.columns if c not in (key, text)])
+    row = F.struct(*map(F.col, docs.columns))
+    one = many.groupBy(F.col(key).alias("__group")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return kept.join(small(repeated, BROADCAST_ROWS), match, "left_anti").unionByName(one)

@@ -171,4 +171,5 @@ def filter_kept(
     cuts = materialize(thresholds(held, labels.withColumnRenamed(key, "__key"), "__key", "__stratum_of", **risk), "thresholds")
     row = docs.select(F.struct(*map(F.col, docs.columns)).alias("__row"), F.col(stratum).alias("__stratum_of"), F.col(text).alias("__body"))
     judged = with_verdict(quality_metrics(row, "__body"), cuts, "__stratum_of")
-    return judged.where("kept").select("__row.*")
+    # as a generator: a filter would be pushed below the steps above, which then run again for every element
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
