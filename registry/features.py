@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from registry.common import LI_NULLS, li_nulls, read
 from tablescope.operators import features, split
+from tablescope.plans.training import prepare
 
 SPARSE = """(SELECT l_orderkey, CASE WHEN l_orderkey % 10 >= 6 THEN l_partkey END AS l_partkey, l_linenumber,
     l_quantity, CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount, nullif(l_returnflag, 'R') AS l_returnflag,
@@ -49,6 +50,37 @@ def _median_impute(spark, sf):
     return features.median_impute(df, ["l_discount"])[0]
 
 
+def _nan_discount(spark, sf):
+    """lineitem with NaN and infinity in place of some discounts."""
+    value = (
+        F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan")))
+        .when(F.col("l_orderkey") % 7 == 1, F.lit(float("inf")))
+        .otherwise(F.col("l_discount"))
+    )
+    return read(spark, sf, "lineitem").withColumn("l_discount", value)
+
+
+def _median_impute_nan(spark, sf):
+    df = _nan_discount(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
+    return features.median_impute(df, ["l_discount"])[0]
+
+
+def _column_decisions_nan(spark, sf):
+    mostly = F.when(F.col("l_orderkey") % 10 < 6, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    df = _nan_discount(spark, sf).withColumn("l_tax", mostly).select("l_linenumber", "l_discount", "l_tax", "l_returnflag")
+    return features.column_decisions(df, features.fit_features(df, "l_returnflag", 50))
+
+
+def _prepare_reserved_names(spark, sf):
+    """Features that go by the names of the preparation's own columns."""
+    names = {"l_quantity": "label", "l_linenumber": "split", "l_discount": "features", "l_tax": "a.b", "l_linestatus": "row_key"}
+    df = _nan_discount(spark, sf).select("l_orderkey", "l_returnflag", *[F.col(c).alias(n) for c, n in names.items()])
+    prepared = prepare(df, "l_returnflag", "decision_tree")
+    array = vector_to_array("features")
+    values = [F.round(array[i], 6).alias(n.replace(".", "_")) for i, n in enumerate(prepared.plan.features)]
+    return prepared.frame.select(F.col("label").cast("int").alias("target"), *values)
+
+
 def _standard_scale(spark, sf):
     df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     scaled = features.standard_scale(df, features.scaling_of(df, ["l_quantity", "l_extendedprice"]))
@@ -92,6 +124,9 @@ def _split(spark, sf):
 
 
 QUERIES = {
+    "median_impute_nan": _median_impute_nan,
+    "column_decisions_nan": _column_decisions_nan,
+    "prepare_reserved_names": _prepare_reserved_names,
     "drop_null_target": lambda spark, sf: features.drop_null_target(
         li_nulls(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag"
     ),
@@ -114,6 +149,7 @@ _KINDS = {
     "l_orderkey": "numeric", "l_partkey": "numeric", "l_linenumber": "numeric", "l_quantity": "numeric",
     "l_discount": "numeric", "l_linestatus": "text", "l_shipdate": "datetime", "supplier": "text",
 }
+_NO_NAN = "(SELECT * REPLACE (CASE WHEN l_orderkey % 7 > 1 THEN l_discount END AS l_discount) FROM lineitem)"
 _USED = f"(SELECT * FROM {SPARSE} WHERE l_returnflag IS NOT NULL)"
 
 
@@ -153,6 +189,15 @@ SQL = {
     "label_encode": f"""SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus,
         dense_rank() OVER (ORDER BY coalesce(l_returnflag, 'MISSING')) - 1 AS l_returnflag_code,
         dense_rank() OVER (ORDER BY coalesce(l_linestatus, 'MISSING')) - 1 AS l_linestatus_code FROM {LI_NULLS}""",
+    "median_impute_nan": f"""SELECT l_orderkey, l_partkey, l_linenumber,
+        coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM {_NO_NAN})) AS l_discount FROM {_NO_NAN}""",
+    "column_decisions_nan": """SELECT 'l_linenumber' AS column_name, 'numeric' AS decision UNION ALL
+        SELECT 'l_discount', CASE WHEN avg(CAST(l_orderkey % 7 <= 1 AS INTEGER)) > 0.5 THEN 'sparse' ELSE 'numeric' END FROM lineitem UNION ALL
+        SELECT 'l_tax', CASE WHEN avg(CAST(l_orderkey % 10 < 6 AS INTEGER)) > 0.5 THEN 'sparse' ELSE 'numeric' END FROM lineitem""",
+    "prepare_reserved_names": f"""SELECT CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS target,
+        round(CAST(l_orderkey AS DOUBLE), 6) AS l_orderkey, round(l_quantity, 6) AS label, round(CAST(l_linenumber AS DOUBLE), 6) AS split,
+        round(coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM {_NO_NAN})), 6) AS features, round(l_tax, 6) AS a_b,
+        round(CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS DOUBLE), 6) AS row_key FROM {_NO_NAN}""",
     "median_impute": f"""SELECT l_orderkey, l_partkey, l_linenumber,
         coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM {LI_NULLS})) AS l_discount FROM {LI_NULLS}""",
     "standard_scale": """SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / sq, 6) AS l_quantity,

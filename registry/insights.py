@@ -107,8 +107,7 @@ def _report(spark, sf):
     path = scratch(spark, "documents-csv")
     rows.write.option("header", True).csv(path)
     loaded = analysis.upload(spark, path, fresh_name("run"))
-    parameters = {"gradient_boosting": {"n_estimators": 10}}
-    analysis.train_all(spark, loaded["workflow_id"], loaded["table_name"], "quality", ["doc_id"], parameters)
+    analysis.train_all(spark, loaded["workflow_id"], loaded["table_name"], "quality", ["doc_id"])
     return analysis.report(spark, loaded["workflow_id"], loaded["table_name"]).drop("workflow_id", "table_name", "generated_at")
 
 

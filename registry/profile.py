@@ -30,7 +30,9 @@ def _texts_of(spark, sf):
         read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value")),
         read(spark, sf, "orders").select(F.concat(F.lit(" a"), "o_custkey", F.lit("@x.org ")).alias("value")),
         blank_conversations(spark, sf).select(F.col("role").alias("value")),
-        blank_conversations(spark, sf).where("turn % 3 = 0").select(F.col("text").alias("value")),
+        blank_conversations(spark, sf).select(F.col("text").alias("value")),
+        read(spark, sf, "orders").select(F.col("o_orderpriority").alias("value")),
+        read(spark, sf, "part").select(F.col("p_name").alias("value")),
         read(spark, sf, "part").select(F.concat(F.lit("+"), F.col("p_partkey") + 1000000).alias("value")),
     ]
     result = parts[0]
@@ -41,7 +43,8 @@ def _texts_of(spark, sf):
 
 _TEXTS = """(SELECT url AS value FROM pages UNION ALL SELECT c_name FROM customer
     UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT ' a' || o_custkey || '@x.org ' FROM orders
-    UNION ALL SELECT role FROM conversations UNION ALL SELECT '  ' FROM conversations WHERE turn % 3 = 0
+    UNION ALL SELECT role FROM conversations UNION ALL SELECT CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END FROM conversations
+    UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT p_name FROM part
     UNION ALL SELECT '+' || (p_partkey + 1000000) FROM part)"""
 
 QUERIES = {

@@ -7,7 +7,7 @@ numeric feature columns plus ``label`` without a shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -52,13 +52,24 @@ class FeaturePlan:
     labels: list[str] | None = None
     edges: tuple[float, float] | None = None
     label_codes: DataFrame | None = None
+    shown: dict[str, str] = field(default_factory=dict)  # names for reports, where they differ
     features: list[str] = field(default_factory=list)
     n_classes: int = 0
 
     def drop(self, column: str, code: str, reason: str) -> None:
+        column = self.shown.get(column, column)
         self.dropped.append(f"{column} ({reason})")
         self.decisions[column] = code
 
+    def in_shown_names(self) -> FeaturePlan:
+        """The plan as reports show it."""
+        name = lambda c: self.shown.get(c, c)
+        by_name = lambda d: {name(c): v for c, v in d.items()}
+        return replace(
+            self, target=name(self.target), encoded=by_name(self.encoded), numeric=[*map(name, self.numeric)],
+            medians=by_name(self.medians), scaling=by_name(self.scaling), features=[*map(name, self.features)], shown={},
+        )
+
     @property
     def final_rows(self) -> int:
         return self.original_rows - self.rows_dropped
@@ -66,7 +77,14 @@ class FeaturePlan:
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     require_column(df, target)
-    return df.where(F.col(S.quoted(target)).isNotNull())
+    return df.where(~is_missing(df, target))
+
+
+def is_missing(df: DataFrame, column: str) -> Column:
+    """Null, or a NaN or infinity of a floating column."""
+    if S.is_numeric(df.schema[column].dataType):
+        return as_double(df, column).isNull()
+    return F.col(S.quoted(column)).isNull()
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -103,10 +121,10 @@ def category_values(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 
 def missing_shares(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
-    """Rows and null cells per column (one aggregate)."""
+    """Rows and missing cells per column (one aggregate)."""
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col(S.quoted(c)).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(columns)],
     ).first()
     return row["rows"], {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
@@ -131,7 +149,7 @@ def median_impute(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[st
     medians = exact_quantiles(df, {c: as_double(df, c) for c in gaps}, [0.5]) if gaps else {}
     values = {c: m[0] for c, m in medians.items() if m is not None}
     filled = df.withColumns(
-        {c: F.coalesce(F.col(S.quoted(c)).cast("double"), F.lit(values[c])) for c in values}
+        {c: F.coalesce(as_double(df, c), F.lit(values[c])) for c in values}
     )
     return filled, values, sum(missing[c] for c in values)
 
@@ -156,15 +174,16 @@ def standard_scale(df: DataFrame, scaling: dict[str, tuple[float, float]]) -> Da
 
 
 def fit_features(
-    df: DataFrame, target: str, max_categories: int = 50, scale: bool = False, fit_on: Column | None = None
+    df: DataFrame, target: str, max_categories: int = 50, scale: bool = False, fit_on: Column | None = None,
+    shown: dict[str, str] | None = None,
 ) -> FeaturePlan:
     """Choose and parameterise the features of ``df``.
 
     ``fit_on`` restricts code lists, medians, scaling and bins to e.g. the training rows; by
-    default they see all rows.
+    default they see all rows.  ``shown`` has the names for reports, where columns go by others.
     """
     require_column(df, target)
-    plan = FeaturePlan(target, original_features=len(df.columns) - 1)
+    plan = FeaturePlan(target, original_features=len(df.columns) - 1, shown=shown or {})
     names = [c for c in df.columns if c != target]
     all_rows, null_targets = missing_shares(df, [target])
     plan.original_rows, plan.rows_dropped = all_rows, null_targets[target]
@@ -203,7 +222,7 @@ def fit_features(
 
     plan.features = kept
     plan.numeric = [c for c in kept if c not in plan.encoded]
-    plan.decisions.update({c: "encoded" if c in plan.encoded else "numeric" for c in kept})
+    plan.decisions.update({plan.shown.get(c, c): "encoded" if c in plan.encoded else "numeric" for c in kept})
     gaps = [c for c in plan.numeric if missing[c]]
     if gaps:
         medians = exact_quantiles(rows, {c: as_double(df, c) for c in gaps}, [0.5])
@@ -277,26 +296,37 @@ def feature_columns(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = N
     return df.select(*kept, *columns)
 
 
-def apply_features(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = None) -> DataFrame:
-    """Feature columns, ``label`` (codes 0..k-1) and the ``keep`` columns of the usable rows."""
+def with_label(df: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """The usable rows with the target's code (0..k-1) as ``__label``; all columns stay as they are."""
     rows = drop_null_target(df, plan.target)
     if plan.edges is not None:
-        binned = quantile_bin3(as_double(rows, plan.target), plan.edges)
-        label = _position(binned, plan.labels)
+        label = _position(quantile_bin3(as_double(rows, plan.target), plan.edges), plan.labels)
     elif plan.labels is not None:
         label = _position(_text(rows, plan.target), plan.labels)
     else:
-        codes = plan.label_codes.withColumnRenamed("code", "label")
+        codes = plan.label_codes.withColumnRenamed("code", "__code")
         rows = rows.join(codes, _text(rows, plan.target) == F.col("__value")).drop("__value")
-        label = F.col("label")
-    rows = rows.withColumn("label", label.cast("double"))
-    return standard_scale(feature_columns(rows, plan, [*(keep or []), "label"]), plan.scaling)
+        return rows.withColumn("__label", F.col("__code").cast("double")).drop("__code")
+    return rows.withColumn("__label", label.cast("double"))
+
+
+def scaled_features(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns and the encoded, imputed and scaled features."""
+    return standard_scale(feature_columns(df, plan, keep), plan.scaling)
+
+
+def apply_features(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = None) -> DataFrame:
+    """Feature columns, ``label`` (codes 0..k-1) and the ``keep`` columns of the usable rows."""
+    if "label" in plan.features:
+        raise ValueError("a feature is called 'label'; rename it, or use with_label and scaled_features")
+    rows = with_label(df, plan)
+    return scaled_features(rows, plan, [*(keep or []), "__label"]).withColumnRenamed("__label", "label")
 
 
 def assemble_features(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     """Pack the feature columns into the vector column MLlib reads."""
     assembler = VectorAssembler(inputCols=plan.features, outputCol="features", handleInvalid="error")
-    return assembler.transform(df).drop(*[c for c in plan.features if c != "label"])
+    return assembler.transform(df).drop(*plan.features)
 
 
 def preprocessing_report(df: DataFrame, plan: FeaturePlan) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
@@ -67,18 +66,28 @@ def train_tree(
     max_depth: int | None = 10,
     min_samples_split: int = 2,
     min_samples_leaf: int = 1,
+    max_bins: int = CANDIDATE_SPLITS,
     seed: int = 42,
 ) -> TrainedModel:
-    """Gini tree; a split of s samples means at least ceil(s / 2) per child can be reached."""
+    """Gini tree.  ``max_depth=None`` grows to MAX_TREE_DEPTH, which is what the parameters then say.
+
+    MLlib has no test of a node's size before a split, so ``min_samples_split`` above 2 is refused.
+    """
+    depth = MAX_TREE_DEPTH if max_depth is None else max_depth
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth is {depth}; a tree has at most {MAX_TREE_DEPTH} levels")
+    if min_samples_split > 2:
+        raise ValueError("min_samples_split above 2 is not supported; use min_samples_leaf")
     estimator = DecisionTreeClassifier(
-        maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH),
-        minInstancesPerNode=max(min_samples_leaf, math.ceil(min_samples_split / 2)),
+        maxDepth=depth,
+        minInstancesPerNode=min_samples_leaf,
         impurity="gini",
-        maxBins=CANDIDATE_SPLITS,
+        maxBins=max_bins,
         seed=seed,
     )
     parameters = {
-        "max_depth": max_depth, "min_samples_split": min_samples_split, "min_samples_leaf": min_samples_leaf
+        "max_depth": depth, "min_samples_split": min_samples_split, "min_samples_leaf": min_samples_leaf,
+        "max_bins": max_bins,
     }
     return TrainedModel("decision_tree", estimator.fit(_training_rows(prepared)), features, n_classes, parameters)
 
@@ -92,6 +101,7 @@ def train_boosting(
     learning_rate: float = 0.3,
     subsample: float = 1.0,
     colsample_bytree: float = 1.0,
+    max_bins: int = CANDIDATE_SPLITS,
     seed: int = 42,
 ) -> TrainedModel:
     """Boosted trees; more than two classes are trained one against the rest."""
@@ -99,6 +109,7 @@ def train_boosting(
     estimator = GBTClassifier(
         maxIter=n_estimators,
         maxDepth=max_depth,
+        maxBins=max_bins,
         stepSize=learning_rate,
         subsamplingRate=subsample,
         featureSubsetStrategy="all" if colsample_bytree == 1.0 else str(colsample_bytree),
@@ -112,7 +123,7 @@ def train_boosting(
         model = estimator.fit(train)
     parameters = {
         "n_estimators": n_estimators, "max_depth": max_depth, "learning_rate": learning_rate,
-        "subsample": subsample, "colsample_bytree": colsample_bytree,
+        "subsample": subsample, "colsample_bytree": colsample_bytree, "max_bins": max_bins,
     }
     return TrainedModel("gradient_boosting", model, features, n_classes, parameters)
 

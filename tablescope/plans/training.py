@@ -12,10 +12,11 @@ from tablescope import schema as S
 from tablescope.functions import analysis_id as new_analysis_id
 from tablescope.operators import evaluate, models
 from tablescope.operators.features import (
-    LABELS_IN_PLAN, MAX_CATEGORIES, FeaturePlan, apply_features, assemble_features, drop_null_target,
-    fit_features, report_row,
+    LABELS_IN_PLAN, MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, report_row, scaled_features,
+    with_label,
 )
 from tablescope.operators.split import stratified_split
+from tablescope.operators.target import require_column
 from tablescope.plans.insights import flat_runs, recommendation_codes
 from tablescope.session import checkpointed
 from tablescope.sources.results import conform
@@ -49,27 +50,30 @@ def prepare(
     """
     scale = model_type == "logistic_regression"
     limit = MAX_CATEGORIES[model_type]
-    usable = drop_null_target(df, target)
-    cells = [F.coalesce(F.to_json(F.struct(S.quoted(k))), F.lit("")) for k in keys or df.columns]
-    keyed = usable.withColumn("row_key", F.md5(F.concat_ws("\u0001", *cells)))
-
-    plan = fit_features(df, target, limit, scale)
+    require_column(df, target)
+    # columns go by place, so no name of a table can meet one used here
+    shown = {f"f{i}": c for i, c in enumerate(df.columns)}
+    place = {c: n for n, c in shown.items()}
+    rows = df.toDF(*shown)
+    own_target = place[target]
+    cells = [F.coalesce(F.to_json(F.struct(F.col(place[k]).alias(k))), F.lit("")) for k in keys or df.columns]
+    keyed = rows.withColumn("__row_key", F.md5(F.concat_ws("\u0001", *cells)))
+
+    plan = fit_features(rows, own_target, limit, scale, shown=shown)
     if plan.n_classes > LABELS_IN_PLAN:
         raise ValueError(f"target {target!r} has {plan.n_classes} classes, too many to train a classifier")
     if not plan.features:
         raise ValueError("no usable feature is left after the preparation")
-    labelled = apply_features(keyed, plan, ["row_key"])
-    split = stratified_split(labelled, "label", ["row_key"], test_size, seed)
+    # the side is a column of the row itself: no join back, copies of a key stay what they are
+    split = stratified_split(with_label(keyed, plan), "__label", ["__row_key"], test_size, seed)
     if fit_on == "train":
-        train_keys = split.where("split = 'train'").select("row_key").distinct()
-        training = keyed.join(train_keys, "row_key", "left_semi").drop("row_key")
-        learned = fit_features(training, target, limit, scale)
-        learned.labels, learned.edges = plan.labels, plan.edges
+        learned = fit_features(split.where("split = 'train'").select(*shown), own_target, limit, scale, shown=shown)
+        learned.labels, learned.edges, learned.label_codes = plan.labels, plan.edges, plan.label_codes
+        learned.n_classes, learned.target_conversion = plan.n_classes, plan.target_conversion
         learned.original_rows, learned.rows_dropped = plan.original_rows, plan.rows_dropped
-        sides = split.select("row_key", "split").distinct()
-        split = apply_features(keyed, learned, ["row_key"]).join(sides, "row_key")
         plan = learned
-    return Prepared(checkpointed(assemble_features(split, plan).drop("row_key")), plan)
+    frame = assemble_features(scaled_features(split, plan, ["__label", "split"]), plan).withColumnRenamed("__label", "label")
+    return Prepared(checkpointed(frame), plan.in_shown_names())
 
 
 def evaluation(scored: DataFrame, n_classes: int) -> dict:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point Spark at the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` wins.  Only a local master, where the driver and the
-    executors are one process, may fall back to a temporary folder.
+    ``spark.checkpoint.dir`` wins; where it is unset, a folder below the warehouse, which a
+    cluster shares as well.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablescope-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    context.setCheckpointDir(configured or f"{warehouse.rstrip('/')}/checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

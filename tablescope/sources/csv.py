@@ -1,4 +1,4 @@
-"""Tolerant CSV loading: types from a small sample, bad rows set aside, never the whole load.
+"""Tolerant CSV loading: types voted by the rows, bad rows set aside, never the whole load.
 
 Spark's CSV modes either drop rows of the wrong length or keep uncastable cells as nulls.  So
 every column is read as text (short rows padded, long rows cut) and cast here, where a row with
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tablescope.schema import quoted
 
 # Fixed values of the inference.
-SAMPLE_ROWS = 5
 MISSING_WORDS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None"]
 BOOLEAN_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 INTEGER_PATTERN = r"^[+-]?\d+$"
@@ -83,9 +82,18 @@ def infer_types(texts: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(texts.columns))])))
 
 
-def infer_csv_schema(spark: SparkSession, path: str, rows: int = SAMPLE_ROWS) -> T.StructType:
-    """Schema from the first ``rows`` rows of the file."""
-    voted = infer_types(read_text_columns(spark, path).limit(rows)).orderBy("ordinal").collect()
+def has_broken_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a line of the files has an odd number of quotes, so that a quoted cell spans lines."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def infer_csv_schema(
+    spark: SparkSession, path: str | list[str], rows: int | None = None, multiline: bool = False
+) -> T.StructType:
+    """Schema voted by all rows of the file, or only by the first ``rows``."""
+    texts = read_text_columns(spark, path, multiline)
+    voted = infer_types(texts if rows is None else texts.limit(rows)).orderBy("ordinal").collect()
     return T.StructType.fromDDL(", ".join(f"{quoted(r['column_name'])} {r['data_type']}" for r in voted))
 
 
@@ -142,13 +150,18 @@ def csv_ingest(
     path: str,
     table: str,
     schema: T.StructType | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
+    sample_rows: int | None = None,
 ) -> dict:
     """Load a CSV into a catalog table, replacing it, and report what happened.
 
-    The counts are observed while the rows are written, so the file is read once.
+    Types are voted by all rows, or by the first ``sample_rows``.  Line breaks inside quotes are
+    looked for unless ``multiline`` says; with them each file is one task, which the report
+    tells.  The counts are observed while the rows are written.
     """
-    schema = schema or infer_csv_schema(spark, path)
+    if multiline is None:
+        multiline = has_broken_lines(spark, path)
+    schema = schema or infer_csv_schema(spark, path, sample_rows, multiline)
     texts = read_text_columns(spark, path, multiline)
     _, bad = _cells(texts, schema)
     seen = Observation(f"load_{normalize_table_name(table)}")
@@ -163,6 +176,7 @@ def csv_ingest(
     return {
         "table_name": table,
         "file_size_mb": source_size_mb(spark, path),
+        "multiline": multiline,
         "rows_read": counts["rows_read"],
         "rows_loaded": loaded,
         "rows_rejected": counts["rows_read"] - loaded,

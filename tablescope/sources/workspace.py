@@ -60,8 +60,6 @@ def workflow_sql(spark: SparkSession, namespace: str, statement: str) -> DataFra
         spark.catalog.setCurrentDatabase(previous)
 
 
-def fetch_pandas(df: DataFrame, max_rows: int = 100_000):
-    """A small result as pandas; a larger one is refused instead of filling the driver."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"the result has more than {max_rows} rows; write it to a table instead")
-    return df.toPandas()
+def fetch(spark: SparkSession, namespace: str, table: str) -> DataFrame:
+    """A table of a workflow as a DataFrame; what to bring to the driver is the caller's choice."""
+    return spark.table(f"{namespace}.{table}")

@@ -170,3 +170,32 @@ def test_fit_on_train_only(spark):
     both = [prepare(learnable(spark), "target", "logistic_regression", ["row"], fit_on=f) for f in ("all", "train")]
     assert both[0].frame.count() == both[1].frame.count() == 600
     assert both[0].plan.scaling != both[1].plan.scaling
+
+
+def test_names_of_features_never_meet_own_columns(spark):
+    """A random feature called label is a feature, not the target."""
+    rng = np.random.default_rng(11)
+    names = ["label", "split", "features", "a.b", "row_key", "prediction"]
+    rows = [(i, int(rng.integers(0, 2)), *map(float, rng.normal(size=6))) for i in range(600)]
+    rows[5] = (5, 1, float("nan"), *rows[5][3:])
+    df = spark.createDataFrame(rows, ["row", "target", *names])
+    run = train_and_evaluate(df.drop("row"), "target", "logistic_regression")
+    assert run.summary.first()["test_accuracy"] < 0.65
+    assert {r["feature"] for r in run.importance.collect()} == set(names)
+
+
+def test_fit_on_train_keeps_rows_of_repeated_keys(spark):
+    df = learnable(spark).withColumn("row", F.col("row") % 40)
+    both = {f: prepare(df, "target", "logistic_regression", ["row"], fit_on=f).frame for f in ("all", "train")}
+    assert both["all"].count() == both["train"].count() == 600
+    sides = [f.groupBy("label", "split").count().orderBy("label", "split").collect() for f in both.values()]
+    assert sides[0] == sides[1]
+
+
+def test_tree_parameters_are_what_was_trained(spark):
+    prepared = prepare(learnable(spark), "target", "decision_tree", ["row"])
+    trained = models.train_tree(prepared.frame, prepared.plan.features, 2, max_depth=None)
+    assert trained.parameters["max_depth"] == models.MAX_TREE_DEPTH and trained.parameters["max_bins"] == 256
+    for wrong in ({"max_depth": 50}, {"min_samples_split": 10}):
+        with pytest.raises(ValueError):
+            models.train_tree(prepared.frame, prepared.plan.features, 2, **wrong)
