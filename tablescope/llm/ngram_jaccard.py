@@ -10,9 +10,11 @@ XOR of the codes of its odd bits, which is equal exactly when the bits are.
 
 Blocks with few odd bits would meet by chance or by one hot shingle. A document leaves its weak blocks
 out if fewer than k - D blocks are weak, since an equal strong block is then certain; otherwise it sends
-them, too. A hot key is never gathered: rows are sorted by key inside a task and only neighbours are
-linked. These candidate links join documents to families; a family is compared as a whole, in groups of
-bounded size, by exact intersection counts, so that links are complete and verified.
+them, too. Documents of one key are joined where the Hamming distance of their whole sketches, folded to
+about one bit per element, is at most D: folding cannot raise the distance either. A key with very many
+documents is not gathered: its documents are joined in a chain, which only makes a family larger. A
+family of joined documents is then compared as a whole, in groups of bounded size, by exact intersection
+counts, so that links are complete and verified.
 
 Defined results: a null or blank text has an empty set and links with nothing; texts with fewer words
 than a shingle are one shingle; equal sets are one class of copies; rows that repeat a key are compared
@@ -37,7 +39,9 @@ SHINGLE, PERCENT = 4, 85
 #: Upper sizes of neighbouring bands grow by this factor, about.
 BAND_GROWTH = Fraction(3, 2)
 #: Blocks with fewer odd bits are weak, and this share of blocks (and two more) is added to allow for them.
-STRONG_BITS, SPARE_BLOCKS = 2, Fraction(1, 20)
+STRONG_BITS, SPARE_BLOCKS = 2, Fraction(1, 5)
+#: Documents of one key whose sketches are compared; a larger group is linked in a chain, unseen.
+KEY_DOCUMENTS = 4096
 #: A group that is compared at once has at most about so many documents and shingles.
 GROUP_DOCUMENTS, GROUP_SHINGLES = 512, 1_000_000
 #: Key tables up to this many rows are broadcast, larger ones are shuffled.
@@ -81,8 +85,7 @@ def block_keys(elements: np.ndarray, band: int, differ: int, blocks: int) -> np.
     which, codes = which[order], codes[order]
     first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
     value = np.bitwise_xor.reduceat(codes, first)
-    count = np.diff(np.append(first, len(codes)))
-    strong = count >= STRONG_BITS
+    strong = np.diff(np.append(first, len(codes))) >= STRONG_BITS
     block = which[first]
     if blocks - strong.sum() >= blocks - differ:  # too many weak blocks: they count as well, empty ones included
         empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block)
@@ -93,34 +96,49 @@ def block_keys(elements: np.ndarray, band: int, differ: int, blocks: int) -> np.
         return mix(value ^ mix(block * np.uint64(0xD6E8FEB86659FD93) + seed))
 
 
-def sketch_keys(elements: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Keys of a document in all bands in which it can have a partner."""
-    size, keys = len(elements), []
+def folded_sketch(elements: np.ndarray, high: int) -> bytes:
+    """The parity sketch of a set folded to the bits of its band."""
+    bits = 64 * -(-high // 64)
+    odd = np.bincount((mix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def in_bands(elements: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bytes, np.ndarray]]:
+    """(band, most differing elements, folded sketch, keys) in all bands in which a document can have a
+    partner; its own band comes last."""
+    size, found = len(elements), []
     for i, (low, high, differ, blocks) in enumerate(known):
         if low > size:
             break
         if size * percent <= high * 100:  # own band, or a lower one whose largest sets it can join
-            keys.append(block_keys(elements, i, differ, blocks))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            found.append((i, differ, folded_sketch(elements, high), block_keys(elements, i, differ, blocks)))
+    return found or [(-1, 0, b"", np.empty(0, np.uint64))]
+
+
+SKETCH = "key bigint, size bigint, digest binary, own boolean, band int, differ int, sketch binary, keys array<bigint>"
 
 
 def sketches(shingle: int, percent: int):
+    """Documents -> a row per band; ``own`` marks one row of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[tuple[int, int, int, int]] = []
-        for batch in batches:
-            sizes, digests, keys = [], [], []
-            for i in range(len(batch)):
+        for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, len(whole), 1000)):
+            rows = []
+            for i, key in enumerate(batch.column("key").to_pylist()):
                 words = batch.column("words")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 elements = shingle_set(words, shingle)
                 if len(elements) and (not known or known[-1][1] < len(elements)):
                     known = bands(2 * len(elements), percent)
-                sizes.append(len(elements))
-                digests.append(elements_digest(elements))
-                keys.append(sketch_keys(elements, percent, known).view(np.int64))
-            lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            columns = [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(lengths, flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "keys"])
+                found, digest = in_bands(elements, percent, known), elements_digest(elements)
+                for n, (band, differ, sketch, keys) in enumerate(found):
+                    rows.append((key, len(elements), digest, n == len(found) - 1, band, differ, sketch, keys.view(np.int64)))
+            if rows:
+                *plain, keys = zip(*rows)
+                lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+                columns = [*(pa.array(c, t) for c, t in zip(plain, types)), pa.ListArray.from_arrays(lengths, np.concatenate(keys))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "own", "band", "differ", "sketch", "keys"])
 
     return run
 
@@ -131,22 +149,73 @@ def elements_digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, key) -> links between neighbouring documents of one hash."""
-    hash_before, key_before = None, None
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash -> those whose hash the row before or after has, too."""
+    last, matched = None, False  # the last row waits for the next batch
     for batch in batches:
         if not len(batch):
             continue
-        hashes, keys = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        a, b = keys[1:], keys[:-1]
-        same = (hashes[1:] == hashes[:-1]) & (a != b)
-        a, b = a[same], b[same]
-        if hash_before == hashes[0] and key_before != keys[0]:
-            a, b = np.append(a, keys[0]), np.append(b, key_before)
-        hash_before, key_before = hashes[-1], keys[-1]
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        hashes = batch.column(0).to_numpy(zero_copy_only=False)
+        same = hashes[1:] == hashes[:-1]
+        keep = np.append(same, False) | np.insert(same, 0, matched)
+        yield batch.filter(pa.array(np.append(keep[:-1], False)))
+        last, matched = batch.slice(len(batch) - 1), bool(keep[-1])
+    if matched:
+        yield last
+
+
+def joined(sketches: np.ndarray, differ: int) -> np.ndarray:
+    """The first document of each document's group, groups being joined by sketches of at most ``differ`` bits apart.
+
+    All documents near the first one hang on it; only the others are compared with everybody.
+    """
+    distance = lambda i: np.bitwise_count(sketches ^ sketches[i]).sum(axis=1)
+    near = distance(0) <= differ
+    label = np.where(near, 0, np.arange(len(sketches)))
+    for i in np.flatnonzero(~near):
+        met = np.unique(label[distance(i) <= differ])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, key, differ, sketch) sorted by hash -> links of documents that may be similar."""
+    current, keys, rows, chained = None, [], [], None
+
+    def links(differ: int) -> np.ndarray:
+        own = np.array(keys)
+        if len(own) < 2:
+            return np.empty((0, 2), np.int64)
+        bits = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+        first = joined(bits, differ)
+        far = first != np.arange(len(own))
+        return np.stack([own[far], own[first[far]]], 1)
+
+    def packed(out: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    differ_before = 0
+    for batch in batches:
+        out = []
+        for hash_, key, differ, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if hash_ != current:
+                out.append(links(differ_before))
+                current, keys, rows, chained, differ_before = hash_, [], [], None, differ
+            if chained is not None:
+                out.append(np.array([[chained, key]]))
+                chained = key
+                continue
+            keys.append(key)
+            rows.append(sketch)
+            if len(keys) > KEY_DOCUMENTS:
+                out.append(np.stack([keys[:-1], keys[1:]], 1))
+                chained, keys, rows = key, [], []
+        yield packed(out)
+    yield packed([links(differ_before)])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -245,22 +314,24 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     hashes = F.transform(words_of(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w))
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), text_of(text).alias("text"))
 
-    fields = "key bigint, size bigint, digest binary, keys array<bigint>"
-    found = materialize(map_arrow(own.select("key", hashes.alias("words")), sketches(shingle, percent), fields), "sketches")
+    found = materialize(map_arrow(own.select("key", hashes.alias("words")), sketches(shingle, percent), SKETCH), "sketches")
+    each = found.where("own").select("key", "size", "digest")
     classes = materialize(
-        found.groupBy("size", "digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes"
+        each.groupBy("size", "digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes"
     )
     firsts = classes.where("size > 0").select(F.col("first").alias("key"))
 
     # one document of each class sends its keys; the others are few, as a rule
     same_class = (F.col("size") == F.col("__size")) & (F.col("digest") == F.col("__digest"))
     first_of = classes.select(F.col("size").alias("__size"), F.col("digest").alias("__digest"), "first")
-    copies = found.select("key", "size", "digest").join(first_of, same_class).where("key <> first").select("key").distinct()
+    copies = each.join(first_of, same_class).where("key <> first").select("key").distinct()
     copies = materialize(copies.join(firsts, "key", "left_anti"), "copies")
-    rows = found.where("size > 0").select("key", "keys").join(small(copies, BROADCAST_ROWS), "key", "left_anti")
-    rows = rows.select(F.explode("keys").alias("hash"), "key")
-    met = rows.repartition(partitions, "hash").sortWithinPartitions("hash", "key")
-    candidates = map_arrow(met, neighbours, "a bigint, b bigint")
+    rows = found.where("size > 0").join(small(copies, BROADCAST_ROWS), "key", "left_anti")
+    sent = rows.select(F.explode("keys").alias("hash"), "key", "band").repartition(partitions, "hash").sortWithinPartitions("hash")
+    met = materialize(map_arrow(sent, shared, "hash bigint, key bigint, band int"), "shared-keys")
+    met = met.join(rows.select("key", "band", "differ", "sketch"), ["key", "band"]).select("hash", "key", "differ", "sketch")
+    met = met.repartition(partitions, "hash").sortWithinPartitions("hash", "key")
+    candidates = map_arrow(met, meet, "a bigint, b bigint")
     families = materialize(connected_components(candidates), "families")
 
     # groups of a family that are compared: one, or pairs of parts where it is large
@@ -284,7 +355,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     links = compared.groupBy(F.col("key").alias("first")).agg(F.sum("links").alias("links"))
     known = classes.join(linked, "first", "left").join(links, "first", "left")
     known = known.select(F.col("size").alias("__size"), F.col("digest").alias("__digest"), "copies", "component", "links", "first")
-    joined = found.select("key", "size", "digest").join(known, (F.col("size") == F.col("__size")) & (F.col("digest") == F.col("__digest")))
+    joined = each.join(known, (F.col("size") == F.col("__size")) & (F.col("digest") == F.col("__digest")))
     empty = F.col("size") == 0
     null = F.nullif(F.when(empty, F.col("key")).otherwise(F.coalesce("component", "first")), F.lit(NULL_KEY))
     n_links = F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
