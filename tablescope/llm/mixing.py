@@ -150,6 +150,7 @@ def mix(
     slots = max(LEAST_SLOTS, math.ceil((total or 0) / BLOCK_WORDS))
     if least:
         slots = max(slots, min(MOST_SLOTS, math.ceil(SLOTS_OF_SMALLEST * total / least)))
+    slots = min(slots, max(1, total or 0))  # a slot is worth one word at least
 
     # blocks of a source: as many as its words fill at the schedule's words a slot
     blocks = F.greatest(F.lit(1), F.round(F.col("source_size") * slots / F.lit(float(total or 1)))).cast("long")
