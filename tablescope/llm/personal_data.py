@@ -17,6 +17,8 @@ rows each get the same result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Characters at a token's edges that are not part of an identifier, and characters of a context read.
 EDGE = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
 CONTEXT_CHARS = 80
+#: Lengths of matches are summed by chunks of so many.
+CHUNK = 128
 ROUNDS = 3
 #: A pattern needs this confidence and so many distinct instances, a token this combined confidence.
 PATTERN_CONFIDENCE, PATTERN_SUPPORT, TOKEN_CONFIDENCE = 0.5, 3, 0.5
@@ -44,26 +48,44 @@ BROADCAST_ROWS = 200_000
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(matches: Column, gaps: Column) -> Column:
-    """Start, end and text of each match, from the texts between matches."""
-    start = lambda acc, x: acc["at"] + F.length(x["gaps"])
-    end = lambda acc, x: start(acc, x) + F.length(x["matches"])
-    step = lambda acc, x: F.struct(
-        end(acc, x).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), x["matches"].alias("value")))).alias("out"),
-    )
-    pairs = F.arrays_zip(matches.alias("matches"), F.slice(gaps, F.lit(1), F.size(matches)).alias("gaps"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def total(numbers: Column, first: Column, count: Column | int) -> Column:
+    """Sum of ``count`` numbers from place ``first`` (0 on)."""
+    return F.aggregate(F.slice(numbers, first + 1, F.lit(count) if isinstance(count, int) else count), F.lit(0), lambda a, x: a + x)
+
+
+def located(matches: Column, gaps: Column, more: Callable[[Column, Column, Column], dict[str, Column]] | None = None) -> Column:
+    """Start, end and text of each match, from the texts between matches, and ``more`` of (matches, gaps, place).
+
+    Lengths are summed by chunks and inside a chunk, so a text of very many matches stays cheap.
+    """
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    length = lambda a: F.transform(a["m"], lambda m, i: F.length(m) + F.length(F.get(a["g"], i)))
+    chunks = lambda a: F.transform(upto(F.ceil(F.size(a["l"]) / CHUNK).cast("int")), lambda c: total(a["l"], c * CHUNK, CHUNK))
+    before = lambda a: F.transform(a["s"], lambda _, c: total(a["s"], F.lit(0), c))
 
+    def spans(a: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = F.get(a["b"], F.floor(i / CHUNK).cast("int")) + total(a["l"], i - i % CHUNK, i % CHUNK) + F.length(F.get(a["g"], i))
+            rest = more(a["m"], a["g"], i) if more else {}
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), *[c.alias(n) for n, c in rest.items()])
 
-def with_spans(df: DataFrame, patterns: dict[str, str], text: str) -> DataFrame:
-    """``df`` with one span array per pattern."""
-    df = df.withColumns({f"__m_{name}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for name, p in patterns.items()})
-    gaps = {f"__g_{n}": F.when(F.size(f"__m_{n}") > 0, F.split(text, p, -1)) for n, p in patterns.items()}
-    df = df.withColumns(gaps)
-    df = df.withColumns({n: located(F.col(f"__m_{n}"), F.col(f"__g_{n}")) for n in patterns})
-    return df.drop(*[f"__{x}_{n}" for n in patterns for x in "mg"])
+        return F.transform(a["m"], span)
+
+    with_before = lambda a: let(F.struct(a["m"], a["g"], a["l"], before(a).alias("b")), spans)
+    with_chunks = lambda a: let(F.struct(a["m"], a["g"], a["l"], chunks(a).alias("s")), with_before)
+    with_lengths = lambda a: let(F.struct(a["m"], a["g"], length(a).alias("l")), with_chunks)
+    found = let(F.struct(matches.alias("m"), gaps.alias("g")), with_lengths)
+    return F.when(F.size(matches) > 0, found)
+
+
+def matches_of(text: str, pattern: str) -> tuple[Column, Column]:
+    """All matches, and the texts before, between and after them."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -77,15 +99,17 @@ def valid(kind: str, value: Column) -> Column:
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
     """``df`` with a span array per kind, failing matches dropped."""
-    df = with_spans(df, BASE, text)
-    checked = lambda kind: F.filter(kind, lambda s: valid(kind, s["value"]))
-    return df.withColumns({k: checked(k) for k in KINDS})
+    checked = lambda kind: F.filter(located(*matches_of(text, BASE[kind])), lambda s: valid(kind, s["value"]))
+    return df.withColumns({k: F.coalesce(checked(k), F.array().cast(SPAN)) for k in KINDS})
+
+
+def numbered(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"], F.lit(kind).alias("kind"), s["end"]))
 
 
 def in_order(spans: list[tuple[int, Column]]) -> Column:
     """Spans of numbered kinds as (start, kind number, end), by start, then kind."""
-    numbered = lambda i, c: F.transform(c, lambda s: F.struct(s["start"], F.lit(i).alias("kind"), s["end"]))
-    return F.sort_array(F.concat(*[numbered(i, c) for i, c in spans]))
+    return F.sort_array(F.concat(*[numbered(c, i) for i, c in spans]))
 
 
 def as_text(spans: Column) -> Column:
@@ -98,34 +122,37 @@ def normal_word(word: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(word, EDGE, "")), "[0-9]", "0")
 
 
+def neighbour_words(matches: Column, gaps: Column, i: Column) -> dict[str, Column]:
+    """The words before and after a token: of the gap beside it, or else the next token."""
+    before = words_of(F.substring(F.get(gaps, i), -CONTEXT_CHARS, CONTEXT_CHARS))
+    after = words_of(F.substring(F.get(gaps, i + 1), 1, CONTEXT_CHARS))
+    return {
+        "before": F.coalesce(F.try_element_at(before, F.lit(-1)), F.get(matches, i - 1)),
+        "after": F.coalesce(F.try_element_at(after, F.lit(1)), F.get(matches, i + 1)),
+    }
+
+
 def contexts(df: DataFrame) -> DataFrame:
     """One row per identifier-shaped token and side: place, pattern word, token, kind number (null: unseen).
 
     A token inside a base span stands for the span: the word before the span's first token and the one
     after its last count, inner sides don't.
     """
-    df = with_spans(df, {"tokens": TOKEN}, "__text").where(F.size("tokens") > 0)
-    inside = lambda k, t: F.exists(k, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    kind_of = lambda t: F.coalesce(*[F.when(inside(k, t), F.lit(i)) for i, k in enumerate(KINDS)])
-    tokens = F.transform("tokens", lambda t: F.struct(t["start"], t["end"], t["value"], kind_of(t).alias("kind")))
-    df = df.withColumn("__tokens", tokens)
-    rows = df.select("key", "tag", "__text", *KINDS, F.explode("__tokens").alias("t"))
+    tokens = located(*matches_of("__text", TOKEN), neighbour_words)
+    rows = df.select("key", "tag", *KINDS, F.explode(tokens).alias("t"))
     touching = lambda k: F.filter(k, lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    touched = F.concat(F.array(F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"))), *[F.transform(touching(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
-    edge = lambda which: (F.array_max if which == "end" else F.array_min)(F.transform(touched, lambda s: s[which]))
-    rows = rows.withColumns({"first": edge("start"), "last": edge("end")})
-    before = F.expr(f"substring(__text, greatest(0, first - {CONTEXT_CHARS}) + 1, least(first, {CONTEXT_CHARS}))")
-    after = F.expr(f"substring(__text, last + 1, {CONTEXT_CHARS})")
+    touched = F.concat(*[numbered(touching(k), i) for i, k in enumerate(KINDS)])
+    rows = rows.select("key", "tag", "t.*", F.get(touched, 0).alias("span"))
     sides = F.array(
-        F.struct(F.lit("L").alias("side"), normal_word(F.try_element_at(words_of(before), F.lit(-1))).alias("word")),
-        F.struct(F.lit("R").alias("side"), normal_word(F.try_element_at(words_of(F.regexp_replace(after, r"^[^\x20\x09-\x0D]+", "")), F.lit(1))).alias("word")),
+        F.struct(F.lit("L").alias("side"), F.when(F.coalesce(F.col("start") <= F.col("span.start"), F.lit(True)), normal_word(F.col("before"))).alias("word")),
+        F.struct(F.lit("R").alias("side"), F.when(F.coalesce(F.col("end") >= F.col("span.end"), F.lit(True)), normal_word(F.col("after"))).alias("word")),
     )
-    rows = rows.select("key", "tag", "t.*", F.explode(sides).alias("s")).where("s.word <> ''")
+    rows = rows.select("key", "tag", "start", "value", F.col("span.kind").alias("kind"), F.explode(sides).alias("s")).where("s.word <> ''")
     trimmed = F.regexp_replace("value", EDGE, "")
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]*", 0))
-    rows = rows.withColumns({"token": F.lower(trimmed), "start": F.col("start") + lead})
+    rows = rows.withColumns({"token": F.lower(trimmed), "start": F.col("start") + lead, "length": F.length(trimmed)})
     return rows.where("token <> ''").select(
-        "key", "tag", "start", (F.col("start") + F.length("token")).alias("end"), "token", "kind", F.concat("s.side", F.lit(" "), "s.word").alias("pattern")
+        "key", "tag", "start", (F.col("start") + F.col("length")).alias("end"), "token", "kind", F.concat("s.side", F.lit(" "), "s.word").alias("pattern")
     )
 
 
@@ -174,7 +201,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = materialize(base_spans(own, "__text").drop("__text"), "base-spans")
     # contexts are read where a base match or an unseen token is; the text is read again rather than kept
     found = materialize(contexts(base_spans(own, "__text")), "contexts")
-    accepted = bootstrap(found, own)
+    accepted = materialize(bootstrap(found, own), "accepted")
     added = found.where(F.col("kind").isNull()).drop("kind").join(small(accepted, BROADCAST_ROWS), "pattern")
     best = added.groupBy("key", "tag", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
     best = best.select("key", "tag", F.struct("start", (-F.col("best.k")).alias("kind"), "end").alias("span"))
@@ -193,7 +220,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with every span of their text replaced by its kind in angle brackets."""
     found = find_personal_data(docs, key, text).where(F.size("spans") > 0)
-    found = found.select(F.col(key).alias("__key"), F.col("tag").alias("__tag"), "spans").distinct()
+    found = materialize(found.select(F.col(key).alias("__key"), F.col("tag").alias("__tag"), "spans").distinct(), "spans")
     tag = F.xxhash64(text_of(text))
     joined = docs.join(small(found, BROADCAST_ROWS), F.col(key).eqNullSafe(F.col("__key")) & (tag == F.col("__tag")), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])

@@ -81,7 +81,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def text_of(column: str | Column) -> Column:
