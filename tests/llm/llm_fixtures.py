@@ -1,10 +1,7 @@
-import sys
-import pathlib
+"""Fixtures of these tests; modules import what they use."""
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
-
 #: Columns named like those the operators use inside.
 CLASHING = ["key", "size", "words", "hash", "band", "group", "rows", "tag", "word", "t", "kind", "kept", "n", "source_no", "block", "range"]
 

@@ -3,6 +3,7 @@
 import brute
 import compare
 import pytest
+from llm_fixtures import none, odd  # noqa: F401
 
 import corpus_pipeline
 from tablescope.llm import bpe_codec, quality_rules

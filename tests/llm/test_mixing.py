@@ -1,5 +1,6 @@
 import brute
 from pyspark.sql import functions as F
+from llm_fixtures import documents, none, odd  # noqa: F401
 
 from tablescope.llm import mixing as op
 

@@ -1,5 +1,6 @@
 import brute
 import random
+from llm_fixtures import documents, none, odd  # noqa: F401
 
 from tablescope.llm import ngram_jaccard as op
 

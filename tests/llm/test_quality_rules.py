@@ -2,6 +2,7 @@ import math
 
 import brute
 from pyspark.sql import functions as F
+from llm_fixtures import documents, labels, none, odd  # noqa: F401
 
 from tablescope.llm import quality_rules as op
 

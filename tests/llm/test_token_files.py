@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from llm_fixtures import documents, labels, none, odd  # noqa: F401
 
 from tablescope.llm import bpe_codec, lm_scoring, quality_classifier, substring_dedup, token_shards
 from tablescope.llm.shared import scratch_path
