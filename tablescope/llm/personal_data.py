@@ -220,7 +220,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with every span of their text replaced by its kind in angle brackets."""
     found = find_personal_data(docs, key, text).where(F.size("spans") > 0)
-    found = materialize(found.select(F.col(key).alias("__key"), F.col("tag").alias("__tag"), "spans").distinct(), "spans")
+    found = materialize(found.select(F.col(key).alias("__key"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")).distinct(), "spans")
     tag = F.xxhash64(text_of(text))
     joined = docs.join(small(found, BROADCAST_ROWS), F.col(key).eqNullSafe(F.col("__key")) & (tag == F.col("__tag")), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
@@ -233,5 +233,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         )
     )
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.col("spans").isNotNull(), masked).otherwise(body)).select(*docs.columns)
+    masked = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), masked).otherwise(body)).select(*docs.columns)

@@ -3,7 +3,7 @@
 import pytest
 
 #: Columns named like those the operators use inside.
-CLASHING = ["key", "size", "words", "hash", "band", "group", "rows", "tag", "word", "t", "kind", "kept", "n", "source_no", "block", "range"]
+CLASHING = ["key", "size", "words", "hash", "band", "group", "rows", "tag", "word", "t", "kind", "kept", "n", "source_no", "block", "range", "spans", "times", "component", "digest"]
 
 ODD_DOCUMENTS = [
     (1, "the quick brown fox jumps over the lazy dog " * 12, "en", "a", 1),
