@@ -81,28 +81,18 @@ def order_statistics(
     found: dict[tuple[str, int], float] = {}
     # below this a narrowed bracket could stay as it is: a sketch never separates neighbours
     values_per_task = max(values_per_task, FEWEST_VALUES)
-    small = max(counts.values()) <= values_per_task
     while brackets:
         ranges = _disjoint_ranges(brackets)
         grouped = _grouped(df, columns, ranges)
-        if small:
-            need = {(i,): _ranks_of(n, brackets) for i, n in enumerate(ranges)}
-            found.update(_pick(grouped, ["c"], need, list(ranges)))
-            stats: dict = {}
-        else:
-            grouped = checkpointed(grouped)
-            stats = _slot_stats(grouped)
-            found.update(_pick_checked(grouped, ranges, brackets, stats, values_per_task))
+        grouped = checkpointed(grouped)
+        stats = _slot_stats(grouped)
+        found.update(_pick_checked(grouped, ranges, brackets, stats, values_per_task))
         brackets = [b for b in brackets if (b.name, b.rank) not in found]
         if brackets:
-            _narrow(df, columns, ranges, brackets, stats or _slot_stats(grouped))
+            _narrow(df, columns, ranges, brackets, stats)
     return found
 
 
-def _ranks_of(name: str, brackets: list[Bracket]) -> list[int]:
-    return [b.rank for b in brackets if b.name == name]
-
-
 def _disjoint_ranges(brackets: list[Bracket]) -> dict[str, list[tuple[float, float]]]:
     """Brackets per column, overlapping ones merged, in ascending order."""
     result: dict[str, list[tuple[float, float]]] = {}
