@@ -102,14 +102,16 @@ def associations(df: DataFrame, unique_counts: dict[str, int] | None = None) ->
         unique_counts = {r["column_name"]: r["unique_count"] for r in unique_stats(df).collect()}
     names = supported_columns(df)
     width, size = len(names), CODES * CODES
-    # each row meets its column pairs (a, b) with a <= b; the pair (a, a) gives the entropy of a
-    left = coded_columns(df, unique_counts).select("k", F.posexplode("k").alias("a", "code_a"))
+    # rows of equal codes are counted first; then each kind of row meets its column pairs (a, b) with
+    # a <= b; the pair (a, a) gives the entropy of a
+    kinds = coded_columns(df, unique_counts).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    left = kinds.select("k", "rows", F.posexplode("k").alias("a", "code_a"))
     both = left.select(
-        "a", "code_a", F.posexplode(F.slice("k", F.col("a") + 1, width)).alias("step", "code_b")
+        "rows", "a", "code_a", F.posexplode(F.slice("k", F.col("a") + 1, width)).alias("step", "code_b")
     )
     number = F.col("a") * (width + 1) + F.col("step")
     cell = number * size + F.col("code_a") * CODES + F.col("code_b")
-    counted = both.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counted = both.select(cell.alias("cell"), "rows").groupBy("cell").agg(F.sum("rows").alias("n"))
     pair = F.floor(F.col("cell") / size).cast("int")
     sums = counted.groupBy(pair.alias("pair")).agg(
         F.sum("n").alias("rows"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n")
