@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablescope.llm.bpe_codec import LETTER, NUMBER, SIMPLE, byte_letters
 from tablescope.llm.shared import map_arrow, materialize, text_of
 from tablescope.llm.tokenizer_files import Cache, vocabulary
 
@@ -45,15 +47,17 @@ HEADER, FOOTER = "<8s32sB", "<Q8s"
 HEADER_BYTES, FOOTER_BYTES = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 INDEX = np.dtype([("null", "u1"), ("key", "<i8"), ("ids", "<u8"), ("end", "<u8")])
 
-#: White space that a chunk border may not touch: anything but single spaces and single line breaks.
-IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]| $")
-#: A chunk starts where a token of the vocabulary must start, so chunks are encoded independently.
-CHUNK = re.compile(r" ?[^ \n]+|\n")
+#: Texts with other white space than single spaces and line breaks between words, which are encoded whole.
+IRREGULAR = r"^[ \n]|[ \n][ \n]| $|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text handled at once in a task.
+SLICE_BYTES = 16_000_000
+#: The vocabulary's own pattern for chunks of simple characters, whose classes are stated.
+PIECE = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, one library call for each new chunk."""
+    """Ids of whole texts by the tokenizers library, which sees each chunk or piece once per cache."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,37 +67,67 @@ class Encoder:
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # letters of byte-level tokens stand for one byte each
-        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}
-        self.bytes_of = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
-        self.line_break = self._encode("\n")
+        self.irregular = "|".join([IRREGULAR, *map(re.escape, self.specials)])
+        self.letters = byte_letters()
+        size = self.tokenizer.get_vocab_size()
+        self.serial = [i.to_bytes(self.type.itemsize, "little") for i in range(size)]
+        self.pieces = Cache(self._encode_pieces)
         self.chunks = Cache(self._encode_chunks)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Many chunks by one library call: a line break between two chunks is a token of its own."""
-        found = dict.fromkeys(chunks, self.line_break)
-        rest = [c for c in chunks if c != "\n"]
-        ids = np.array(self.tokenizer.encode("\n".join(rest), add_special_tokens=False).ids, self.type)
-        ends = np.cumsum(self.bytes_of[ids])  # bytes up to each token's end
-        stops = np.cumsum([len(c.encode()) + 1 for c in rest]) - 1
-        last = np.searchsorted(ends, stops) + 1
-        first = np.concatenate([[0], last[:-1] + 1])
-        for chunk, a, b, stop in zip(rest, first.tolist(), last.tolist(), stops.tolist()):
-            if ends[b - 1] != stop:
-                raise ValueError(f"a token crosses the border of {chunk!r}")
-            found[chunk] = ids[a:b].tobytes()
-        return [found[c] for c in chunks]
+        """A chunk is a line break and what follows it, or what follows a space (left out)."""
+        texts = [c if c[0] == "\n" else f" {c}" for c in chunks]
+        split = [self.split_chunk(c, t) for c, t in zip(chunks, texts)]
+        ids = iter(self.pieces.of([piece for pieces in split if pieces for piece in pieces]))
+        return [self._encode(t) if pieces is None else b"".join([next(ids) for _ in pieces]) for t, pieces in zip(texts, split)]
+
+    @staticmethod
+    def split_chunk(chunk: str, text: str) -> list[str] | None:
+        """What the pre-tokenizer makes of it, or None where the classes of its characters aren't stated here."""
+        if not chunk.isascii() and not SIMPLE.fullmatch(chunk):
+            return None
+        return [text] if chunk.isalpha() else PIECE.findall(text)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that the pre-tokenizer leaves whole, straight through the library's model."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        words = [p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters) for p in pieces]
+        serial = self.serial
+        return [b"".join([serial[t.id] for t in tokenize(w)]) for w in words]
 
     def encode(self, text: str | None) -> bytes:
         """Serialized ids of the text, without the end id."""
-        if not text:
-            return b""
-        if IRREGULAR.search(text) or any(s in text for s in self.specials):
-            return self._encode(text)
-        return b"".join(self.chunks.of(CHUNK.findall(text)))
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Serialized ids of each text. Equal chunks of all texts are looked up once.
+
+        Every space and line break of a regular text starts a token, so what follows each is a chunk of
+        its own; a line break is put before the text and its id taken off again.
+        """
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, self.irregular)).to_numpy(zero_copy_only=False)
+        chunks = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
+        coded = chunks.flatten().dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = iter(self.chunks.of([c for c in known if c]))
+        found = [next(found) if c else b"" for c in known]
+        ends = np.cumsum([0, *map(len, found)]) // self.type.itemsize
+        per_chunk = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.frombuffer(b"".join(found), self.type))
+        taken = per_chunk.take(coded.indices)
+        ids = taken.values.to_numpy()
+        cuts = np.asarray(taken.offsets)[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()]
+        out = []
+        for i, (start, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if whole[i]:
+                text = texts[i].as_py()
+                out.append(self._encode(text) if text else b"")
+            else:
+                out.append(ids[start + 1 : end].tobytes())
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -114,12 +148,23 @@ def read_bytes(path: str, name: str) -> bytes:
         return file.read()
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES bytes of text, so that very long texts stay apart."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(batch):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def train_dictionary(docs: DataFrame, text: str, name: str = VOCABULARY) -> bytes:
-    """Dictionary bytes from a bounded sample: the short documents first by a hash of their text."""
+    """Dictionary bytes from a bounded sample, the first short documents; it decides sizes, never contents."""
     import zstandard
 
     short = docs.select(F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCUMENTS).collect()
+    rows = short.limit(SAMPLE_DOCUMENTS).collect()
     own = encoder(vocabulary(name))
     samples = [own.encode(r.text) for r in rows]
     try:
@@ -150,17 +195,16 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         system, folder = open_folder(path)
         file_name = f"shard-{uuid.uuid4().hex}.bin"
         file, place, index, ids = None, HEADER_BYTES, [], 0
-        for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if file is None:
-                    file = system.open_output_stream(f"{folder}/{file_name}")
-                    file.write(struct.pack(HEADER, MAGIC, digest, own.type.itemsize))
-                raw = own.encode(value.as_py()) + last
-                frame = compress(raw)
-                file.write(frame)
-                place += len(frame)
-                ids += len(raw) // own.type.itemsize
-                index.append((k is None, k or 0, len(raw) // own.type.itemsize, place))
+        parts = (part for batch in batches for part in parts_of(batch))
+        for key, raw in (pair for part in parts for pair in zip(part.column(0).to_pylist(), own.encode_all(part.column(1)))):
+            if file is None:
+                file = system.open_output_stream(f"{folder}/{file_name}")
+                file.write(struct.pack(HEADER, MAGIC, digest, own.type.itemsize))
+            frame = compress(raw + last)
+            file.write(frame)
+            place += len(frame)
+            ids += len(raw) // own.type.itemsize + 1
+            index.append((key is None, key or 0, len(raw) // own.type.itemsize + 1, place))
         if file is not None:
             file.write(np.array(index, INDEX).tobytes())
             file.write(struct.pack(FOOTER, place, MAGIC))

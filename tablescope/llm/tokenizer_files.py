@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: A cache keeps two generations of at most about this many entries, so a worker's memory is bounded.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -29,16 +29,17 @@ class Cache:
     def of(self, pieces: list[str]) -> list:
         if len(self.young) > CACHE_ENTRIES:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing, long = [], {}
-        for piece in set(pieces).difference(young):
-            if piece in old:
-                young[piece] = old[piece]
-            else:
-                missing.append(piece)
-        if missing:
-            for piece, result in zip(missing, self.make(missing)):
-                (young if len(piece) <= CACHE_CHARS else long)[piece] = result
-        if long:
-            return [young[p] if p in young else long[p] for p in pieces]
-        return [young[p] for p in pieces]
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            self._learn({p for p, r in zip(pieces, found) if r is None}, found, pieces)
+        return found
+
+    def _learn(self, missing: set[str], found: list, pieces: list[str]) -> None:
+        """Fill the gaps of ``found``, from the older generation or by ``make``."""
+        new = {p: self.old[p] for p in missing if p in self.old}
+        rest = [p for p in missing if p not in new]
+        new.update(zip(rest, self.make(rest)))
+        self.young.update((p, r) for p, r in new.items() if len(p) <= CACHE_CHARS)
+        for i, piece in enumerate(pieces):
+            if found[i] is None:
+                found[i] = new[piece]
