@@ -50,7 +50,7 @@ INDEX = np.dtype([("null", "u1"), ("key", "<i8"), ("ids", "<u8"), ("end", "<u8")
 #: Texts with other white space than single spaces and line breaks between words, which are encoded whole.
 IRREGULAR = r"^[ \n]|[ \n][ \n]| $|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text handled at once in a task.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 6_000_000
 #: The vocabulary's own pattern for chunks of simple characters, whose classes are stated.
 PIECE = re.compile(f"\\n|'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+")
 _encoders: dict[str, Encoder] = {}

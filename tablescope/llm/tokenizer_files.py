@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: A cache keeps two generations of at most about this many entries, so a worker's memory is bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 350_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
