@@ -6,6 +6,10 @@ the schedule is close to the target mix. Slots are ranked within their source, e
 are shuffled by a digest of their key and cut into blocks of (nearly) equal words, and the slot of rank
 r takes block r modulo the source's number of blocks, so a source is used up before it repeats.
 
+A source that would get fewer than SLOTS_OF_SMALLEST of these slots has no interval but slots of its own:
+about SLOTS_OF_SMALLEST (one a word, if its target has fewer words), each worth that part of its target, at
+golden-ratio points spread over the whole schedule. So its words never depend on the size of the corpus.
+
 Ranks and running sums are made in two levels (totals per bucket, then inside a bucket), so a source that
 holds a third of all rows is never gathered in one task.
 
@@ -26,7 +30,7 @@ from tablescope.llm.shared import WORD, materialize, small, text_of
 WEIGHTS = (5, 2, 1)
 #: A source is used at most this many times over.
 MAX_EPOCHS = 3
-#: Words of a block at most, and the least number of slots; the smallest source gets SLOTS_OF_SMALLEST, if that needs at most MOST_SLOTS more.
+#: Words of a block at most, and the least number of slots; up to MOST_SLOTS are made for the smallest source to get SLOTS_OF_SMALLEST.
 BLOCK_WORDS = 65_536
 LEAST_SLOTS = 32_768
 SLOTS_OF_SMALLEST = 64
@@ -115,6 +119,17 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "source_no", "rank")
 
 
+def own_slots(goals: DataFrame, slots: int) -> DataFrame:
+    """Slots of the sources with ``own_slots``, each at a place of a schedule of ``slots`` slots, with their source's number and rank.
+
+    A slot stands before the schedule's slot of the same number. The points are moved by a hash of the source's number.
+    """
+    point = lambda i: F.pmod(i * F.lit(STEP) + F.pmod(F.xxhash64("source_no"), F.lit(POINTS)), F.lit(POINTS))
+    points = F.sort_array(F.transform(F.sequence(F.lit(1).cast("long"), F.col("own_slots")), point))
+    placed = goals.where("own_slots > 0").select("source_no", F.posexplode(points).alias("rank", "point"))
+    return placed.select(F.floor(F.col("point") / POINTS * slots).cast("long").alias("slot"), "source_no", F.col("rank").cast("long"))
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -136,26 +151,41 @@ def mix(
     goals = targets(totals, weights, max_epochs)
     running = Window.orderBy(F.col("source").asc_nulls_last())
     whole = running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sum_all = F.sum("target").over(whole)
-    until = lambda frame: F.coalesce(F.floor(F.try_divide(F.sum("target").over(frame), sum_all) * POINTS), F.lit(0)).cast("long")
-    last = F.max("source_no").over(whole) == F.col("source_no")
-    goals = goals.withColumn("source_no", F.row_number().over(running)).withColumns(
-        {
-            "low": F.coalesce(until(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")),
-            "high": F.when(last & (F.col("target") > 0), F.lit(POINTS)).otherwise(until(running.rowsBetween(Window.unboundedPreceding, 0))),
-        }
-    )
-    goals = materialize(goals, "targets")
+    goals = materialize(goals.withColumn("source_no", F.row_number().over(running)), "targets")
     total, least = goals.agg(F.sum("source_size"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     slots = max(LEAST_SLOTS, math.ceil((total or 0) / BLOCK_WORDS))
     if least:
         slots = max(slots, min(MOST_SLOTS, math.ceil(SLOTS_OF_SMALLEST * total / least)))
     slots = min(slots, max(1, total or 0))  # a slot is worth one word at least
 
-    # blocks of a source: as many as its words fill at the schedule's words a slot
-    blocks = F.greatest(F.lit(1), F.round(F.col("source_size") * slots / F.lit(float(total or 1)))).cast("long")
-    goals = goals.withColumn("blocks", F.least(blocks, F.greatest(F.lit(1).cast("long"), F.col("source_size"))))
-    shared = small(goals.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "blocks", "rows"), BROADCAST_SOURCES)
+    # sources with enough slots share the schedule, each other one has slots of its own
+    goals = goals.withColumn("shares", F.col("target") * slots >= F.lit(float(SLOTS_OF_SMALLEST * (total or 0))))
+    goals = goals.withColumn("shares", F.col("shares") & (F.col("target") > 0))
+    shared_words = goals.agg(F.sum(F.when(F.col("shares"), F.col("target")))).first()[0] or 0.0
+    slots = round(slots * shared_words / total) if shared_words else 0
+    part = F.when(F.col("shares"), F.col("target")).otherwise(0.0)
+    until = lambda frame: F.coalesce(F.floor(F.try_divide(F.sum(part).over(frame), F.sum(part).over(whole)) * POINTS), F.lit(0)).cast("long")
+    last = F.max(F.when(F.col("shares"), F.col("source_no"))).over(whole) == F.col("source_no")
+    goals = goals.withColumns(
+        {
+            "low": until(running.rowsBetween(Window.unboundedPreceding, -1)),
+            "high": F.when(last, F.lit(POINTS)).otherwise(until(running.rowsBetween(Window.unboundedPreceding, 0))),
+        }
+    )
+    # where rounding of the shares would leave a sliver of points to a source without one
+    goals = goals.withColumn("high", F.when(F.col("shares"), F.col("high")).otherwise(F.col("low")))
+
+    # blocks of a source: as many as its words fill at the words a slot is worth
+    one = F.lit(1).cast("long")
+    worth = F.when(F.col("shares"), F.lit(shared_words / max(1, slots))).otherwise(F.col("target") / SLOTS_OF_SMALLEST)
+    blocks = F.greatest(one, F.round(F.try_divide(F.col("source_size"), worth)).cast("long"))
+    goals = goals.withColumn("blocks", F.least(blocks, F.greatest(one, F.col("source_size"))))
+    own_count = F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))), F.lit(0)).cast("long")
+    goals = goals.withColumn("own_slots", F.when(~F.col("shares"), own_count))
+    # only the blocks before the last one that any slot takes are looked at
+    goals = goals.withColumn("open", F.least("blocks", F.coalesce("own_slots", "blocks")))
+    goals = materialize(goals, "blocks")
+    shared = small(goals.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "blocks", "open", "rows"), BROADCAST_SOURCES)
     own = own.join(shared, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
 
     # shuffled order of each source's documents, cut into buckets of the order
@@ -164,7 +194,7 @@ def mix(
     placed = running_total(own, ["source_no"], ["order", "key", "size"], F.col("size"), "start", bucket).drop("start_all")
 
     # slots take blocks; a block's repeats are its slots
-    ranked = schedule(goals.select("source_no", "low", "high"), slots if total else 0)
+    ranked = schedule(goals.select("source_no", "low", "high"), slots).unionByName(own_slots(goals, slots))
     block_of = small(goals.select(F.col("source_no").alias("__no"), F.col("blocks").alias("__blocks")), BROADCAST_SOURCES)
     used = (
         ranked.join(block_of, F.col("source_no") == F.col("__no"))
@@ -178,14 +208,15 @@ def mix(
     near = lambda word: F.floor(word * F.col("blocks").cast("double") / F.col("source_size")).cast("long")
     first, last_word = near(F.col("start")), near(F.col("start") + F.col("size") - 1)
     zero = F.lit(0).cast("long")
-    touched = F.sequence(F.greatest(zero, first - 1), F.least(F.col("blocks") - 1, last_word + 1))
-    pieces = placed.where("size > 0").withColumn("block", F.explode(touched))
+    touched = F.sequence(F.greatest(zero, first - 1), F.least(F.col("open") - 1, last_word + 1))
+    reached = (F.col("size") > 0) & (F.col("start") < start_of("open"))
+    pieces = placed.where(reached).withColumn("block", F.explode(touched))
     part = F.least(F.col("start") + F.col("size"), start_of("block + 1")) - F.greatest(F.col("start"), start_of("block"))
     pieces = pieces.withColumn("part", part).where("part > 0")
     pieces = pieces.join(used, (F.col("source_no") == F.col("__no")) & (F.col("block") == F.col("__block")), "left")
     taken = F.coalesce(F.sum(F.col("part") * F.col("times")), zero).alias("taken")
     whole_docs = pieces.groupBy("source_no", "start", "key", "size", "source_size", "target").agg(taken)
-    rows = whole_docs.drop("source_no", "start").unionByName(placed.where("size = 0").select("key", "size", "source_size", "target", zero.alias("taken")))
+    rows = whole_docs.drop("source_no", "start").unionByName(placed.where(~reached).select("key", "size", "source_size", "target", zero.alias("taken")))
     return rows.withColumnRenamed("key", key)
 
 

@@ -46,6 +46,45 @@ def test_capped_sources_and_reruns(spark):
     assert all(abs(e[1] - want[s]) < 1e-6 * want[s] and abs(e[2] - e[1]) <= 0.03 * e[1] + 5 for s, e in sums.items())
 
 
+def test_small_sources_do_not_depend_on_the_cap_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(op, "LEAST_SLOTS", 512)
+    monkeypatch.setattr(op, "MOST_SLOTS", 512)
+    words = {"a": 60_000, "b": 30_000, "c": 10, "d": 95, "e": 333, "f": 1}  # a slot is worth about 177 words
+    rows = [(i, "w " * 5, s) for s, n in words.items() for i in range(n // 5)] + [(0, "w " * (n % 5), s) for s, n in words.items() if n % 5]
+    sizes, taken = {}, {}
+    numbered = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("doc_id", F.concat_ws("-", "source", "doc_id", "text"))
+    for r in op.mix(numbered).collect():
+        source = r.doc_id[0]
+        assert 0 <= r.taken <= 3 * r["size"]
+        sizes[source], taken[source] = sizes.get(source, 0) + r["size"], taken.get(source, 0) + r.taken
+    assert sizes == words
+    target = water_filling(words)
+    for s in words:
+        assert abs(taken[s] - target[s]) <= (0.03 if s in "ab" else 0.01) * target[s], s
+    assert all(taken[s] == 3 * words[s] for s in "cdef")
+
+
+def test_many_sources_smaller_than_a_slot(spark, monkeypatch):
+    monkeypatch.setattr(op, "LEAST_SLOTS", 64)
+    monkeypatch.setattr(op, "MOST_SLOTS", 64)
+    words = {f"s{i:03}": 50 + 37 * i % 400 for i in range(200)} | {"t": 90_000}  # one source far larger than its target
+    docs = spark.createDataFrame([(s, "w " * n, s) for s, n in words.items() if s != "t"] + [(f"t{i}", "w " * 30, "t") for i in range(3_000)], "doc_id string, text string, source string")
+    taken = {}
+    for r in op.mix(docs).collect():
+        source = "t" if r.doc_id[0] == "t" else r.doc_id
+        taken[source] = taken.get(source, 0) + r.taken
+    target = water_filling(words)
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in words)
+
+
+def test_own_slots_are_spread(spark):
+    goals = spark.createDataFrame([(1, 64), (2, 3), (3, 0), (4, None)], "source_no int, own_slots bigint")
+    slots = sorted(map(tuple, op.own_slots(goals, 6400).collect()))
+    ones = [(slot, rank) for slot, source, rank in slots if source == 1]
+    assert [rank for _, rank in ones] == list(range(64)) and sum(source == 2 for _, source, _ in slots) == 3 and len(slots) == 67
+    assert all(abs(n - slot / 100) < 4 for n, (slot, _) in enumerate(ones))
+
+
 def test_every_prefix_of_the_schedule_is_mixed(spark):
     shares = spark.createDataFrame([(1, 0, op.POINTS // 2), (2, op.POINTS // 2, op.POINTS * 3 // 4), (3, op.POINTS * 3 // 4, op.POINTS)], "source_no int, low bigint, high bigint")
     slots = sorted(map(tuple, op.schedule(shares, 4000).collect()))
