@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Base rules reject a document outright. The other rules compare a metric with a cutoff, and the cutoff
-of each rule in each stratum is the strictest one of a fixed grid for which labelled good documents
-prove, by an exact binomial bound, that at most a given share of good documents is rejected. All tests
-made (strata x rules x cutoffs) share the error probability (Bonferroni), and the rules of a stratum
-share its permitted share, so both guarantees hold for the verdict as a whole.
+Base rules reject a document outright. The other rules compare a metric with a cutoff. In each stratum the
+cutoffs of all rules are tightened step by step along a fixed path, from the most lenient cutoffs of the
+grid to the strictest ones, and each step tests the verdict of all rules together: labelled good documents
+must prove, by an exact binomial bound, that at most a given share of good documents is rejected. The
+path ends before the first step without proof; as its order is fixed, a true error needs that the first
+step beyond the share is passed, so no correction is due inside a stratum and only strata share the error
+probability (Bonferroni). With 4 strata the first proof takes 217 good labels and no rejection.
 
 Defined results: a null text is the empty text; a null stratum is a stratum of its own; a document
 without labels, or a stratum with too few labels to prove anything, is judged by the base rules alone;
@@ -13,6 +15,8 @@ of repeated labels of one document the best counts; repeated documents are judge
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +107,12 @@ def binomial_tail(n: Column, k: Column, p: float | Column) -> Column:
     return F.aggregate(steps, start, add, lambda acc: acc["total"])
 
 
+def tightening(grid: dict[str, tuple[float, ...]]) -> list[tuple[str, float]]:
+    """The steps of the path: every rule's most lenient cutoff in the order of the rules, then the next ones."""
+    depth = max(map(len, grid.values()), default=0)
+    return [(rule, cutoffs[-1 - i]) for i in range(depth) for rule, cutoffs in grid.items() if i < len(cutoffs)]
+
+
 def thresholds(
     metrics: DataFrame,
     labels: DataFrame,
@@ -116,22 +126,25 @@ def thresholds(
     """One row per stratum with the proven cutoff of each rule (null: none proven)."""
     holdout = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(good).alias("__good")).where("__good = 1")
     held = metrics.where("not base_failed").select(key, stratum, *grid).join(holdout.select(key), key, "left_semi")
-    rejected = [
-        F.count_if(F.col(rule) > cutoff).alias(f"{rule}_{i}") for rule, cutoffs in grid.items() for i, cutoff in enumerate(cutoffs)
-    ]
-    counts = materialize(held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *rejected), "holdout")
-    tests = sum(map(len, grid.values())) * max(1, counts.count())
-    allowed = max_false_rejection / len(grid)
-
-    def strictest(rule: str, cutoffs: tuple[float, ...]) -> Column:
-        choice = F.lit(None).cast("double")
-        for i, cutoff in reversed(list(enumerate(cutoffs))):
-            k = F.col(f"{rule}_{i}")
-            proven = (k <= allowed * F.col("n")) & (binomial_tail(F.col("n"), k, allowed) <= F.ln(F.lit(error_probability / tests)))
-            choice = F.when(proven, F.lit(cutoff)).otherwise(choice)
-        return choice.alias(f"cut_{rule}")
-
-    return counts.select(stratum, F.col("n").alias("n_good"), *[strictest(r, c) for r, c in grid.items()])
+    path = tightening(grid)
+    failing = lambda rule: F.coalesce(*[F.when(F.col(rule) > cutoff, F.lit(i)) for i, (r, cutoff) in enumerate(path) if r == rule])
+    # the first step that rejects a document; all later ones do too
+    first = held.groupBy(stratum, F.array_min(F.array(*map(failing, grid))).alias("__step")).agg(F.count(F.lit(1)).alias("__n"))
+    rejected = [F.sum(F.when(F.col("__step") <= i, F.col("__n")).otherwise(0)) for i in range(len(path))]
+    counts = materialize(first.groupBy(stratum).agg(F.sum("__n").alias("n"), F.array(*rejected).alias("rejected")), "holdout")
+    enough = math.log(error_probability / max(1, counts.count()))
+
+    def proven(k: Column) -> Column:
+        return (k <= max_false_rejection * F.col("n")) & (binomial_tail(F.col("n"), k, max_false_rejection) <= enough)
+
+    unproven = F.array_position(F.transform("rejected", proven), False)
+    counts = materialize(counts.withColumn("steps", F.when(unproven == 0, len(path)).otherwise(unproven - 1)), "steps")
+
+    def strictest(rule: str) -> Column:
+        reached = [F.when(F.col("steps") > i, F.lit(cutoff)) for i, (r, cutoff) in enumerate(path) if r == rule]
+        return F.coalesce(*reversed(reached)).cast("double").alias(f"cut_{rule}")
+
+    return counts.select(stratum, F.col("n").alias("n_good"), *map(strictest, grid))
 
 
 def with_verdict(metrics: DataFrame, cuts: DataFrame, stratum: str, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:

@@ -42,6 +42,30 @@ def test_cutoffs_need_proof(spark):
     assert op.judge(docs, labels).where("not kept").count() == 0
 
 
+def test_few_hundred_labels_prove_cutoffs_in_every_stratum(spark):
+    docs, labels = labelled(spark, 1000, 40)
+    docs = docs.withColumn("lang", F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    rows = op.judge(docs, labels).groupBy((F.col("doc_id") < 1000).alias("good"), "kept").count().collect()
+    assert {(r.good, r.kept): r["count"] for r in rows} == {(True, True): 1000, (False, False): 40}
+    fewer = labels.where("doc_id >= 136 or quality = 0")  # 216 good labels in each stratum, one too few
+    assert op.judge(docs, fewer).where("not kept").count() == 0
+    fewer = labels.where("doc_id >= 132 or quality = 0")  # 217
+    assert op.judge(docs, fewer).where("not kept").count() == 40
+
+
+def test_path_ends_before_the_first_step_without_proof(spark):
+    grid = {"a": (1.0, 2.0, 3.0), "b": (1.0, 2.0)}
+    assert op.tightening(grid) == [("a", 3.0), ("b", 2.0), ("a", 2.0), ("b", 1.0), ("a", 1.0)]
+    # 14 rejected ones of 1000 are too many for a proof of 2 %, 9 are not
+    rows = [(i, "x", False, 2.5 if i < 9 else 0.0, 1.5 if 100 <= i < 105 else 0.0) for i in range(1000)]
+    metrics = spark.createDataFrame(rows, "doc_id bigint, lang string, base_failed boolean, a double, b double")
+    good = metrics.select("doc_id", F.lit(1).alias("quality"))
+    tail = lambda k: sum(math.comb(1000, i) * 0.02**i * 0.98 ** (1000 - i) for i in range(k + 1))
+    assert tail(9) <= 0.05 < tail(14)
+    cuts = op.thresholds(metrics, good, "doc_id", "lang", grid=grid).collect()
+    assert [tuple(r) for r in cuts] == [("x", 1000, 2.0, 2.0)]  # a's 1.0 comes after the step that ends the path
+
+
 def test_false_rejections_are_limited(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     rows = [(i, clean + " #" * (i % 50 == 0) * 40, "en") for i in range(5000)]  # two in a hundred good ones carry symbols
