@@ -23,7 +23,7 @@ def test_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline", *QUERIES} <= names
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, table):
