@@ -1,27 +1,25 @@
-"""The three classifiers on MLlib, with scores and importances as frames."""
+"""The three classifiers, with scores and importances as frames."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.session import ensure_checkpoint_dir, shared_path
+from tablescope.operators import trees
+from tablescope.session import shared_path
 
-MAX_TREE_DEPTH = 30  # the deepest tree MLlib builds
 CANDIDATE_SPLITS = 256
 
 
 @dataclass
 class TrainedModel:
     model_type: str
-    model: Model
+    model: Model | trees.Forest
     features: list[str]
     n_classes: int
     parameters: dict = field(default_factory=dict)
@@ -67,29 +65,16 @@ def train_tree(
     min_samples_split: int = 2,
     min_samples_leaf: int = 1,
     max_bins: int = CANDIDATE_SPLITS,
-    seed: int = 42,
 ) -> TrainedModel:
-    """Gini tree.  ``max_depth=None`` grows to MAX_TREE_DEPTH, which is what the parameters then say.
-
-    MLlib has no test of a node's size before a split, so ``min_samples_split`` above 2 is refused.
-    """
-    depth = MAX_TREE_DEPTH if max_depth is None else max_depth
-    if depth > MAX_TREE_DEPTH:
-        raise ValueError(f"max_depth is {depth}; a tree has at most {MAX_TREE_DEPTH} levels")
-    if min_samples_split > 2:
-        raise ValueError("min_samples_split above 2 is not supported; use min_samples_leaf")
-    estimator = DecisionTreeClassifier(
-        maxDepth=depth,
-        minInstancesPerNode=min_samples_leaf,
-        impurity="gini",
-        maxBins=max_bins,
-        seed=seed,
+    """Gini tree; ``max_depth=None`` grows until no split is legal."""
+    forest = trees.fit_tree(
+        _training_rows(prepared), len(features), n_classes, max_depth, min_samples_split, min_samples_leaf, max_bins
     )
     parameters = {
-        "max_depth": depth, "min_samples_split": min_samples_split, "min_samples_leaf": min_samples_leaf,
+        "max_depth": max_depth, "min_samples_split": min_samples_split, "min_samples_leaf": min_samples_leaf,
         "max_bins": max_bins,
     }
-    return TrainedModel("decision_tree", estimator.fit(_training_rows(prepared)), features, n_classes, parameters)
+    return TrainedModel("decision_tree", forest, features, n_classes, parameters)
 
 
 def train_boosting(
@@ -104,47 +89,27 @@ def train_boosting(
     max_bins: int = CANDIDATE_SPLITS,
     seed: int = 42,
 ) -> TrainedModel:
-    """Boosted trees; more than two classes are trained one against the rest."""
-    ensure_checkpoint_dir(prepared.sparkSession)
-    estimator = GBTClassifier(
-        maxIter=n_estimators,
-        maxDepth=max_depth,
-        maxBins=max_bins,
-        stepSize=learning_rate,
-        subsamplingRate=subsample,
-        featureSubsetStrategy="all" if colsample_bytree == 1.0 else str(colsample_bytree),
-        checkpointInterval=10,
-        seed=seed,
-    )
-    train = _training_rows(prepared)
-    if n_classes > 2:
-        model = OneVsRest(classifier=estimator, parallelism=min(n_classes, 4)).fit(train)
-    else:
-        model = estimator.fit(train)
+    """Second-order boosting: logistic loss for two classes, softmax for more."""
     parameters = {
         "n_estimators": n_estimators, "max_depth": max_depth, "learning_rate": learning_rate,
         "subsample": subsample, "colsample_bytree": colsample_bytree, "max_bins": max_bins,
     }
-    return TrainedModel("gradient_boosting", model, features, n_classes, parameters)
-
-
-def _scores(trained: TrainedModel) -> Column:
-    """Class scores summing to 1; one-vs-rest margins go through the logistic function."""
-    if not isinstance(trained.model, OneVsRestModel):
-        return vector_to_array("probability")
-    sigmoid = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-    total = F.aggregate(sigmoid, F.lit(0.0), lambda a, p: a + p)
-    return F.transform(sigmoid, lambda p: F.when(total > 0, p / total).otherwise(F.lit(0.0)))
+    forest = trees.fit_boosting(_training_rows(prepared), len(features), n_classes, seed=seed, **parameters)
+    return TrainedModel("gradient_boosting", forest, features, n_classes, parameters)
 
 
 def score(trained: TrainedModel, prepared: DataFrame) -> DataFrame:
-    """Add ``prediction`` and ``scores`` (one per class) to the prepared rows."""
-    predicted = trained.model.transform(prepared).withColumn("scores", _scores(trained))
+    """Add ``prediction`` (the lowest class of highest score) and ``scores`` (one per class) to the prepared rows."""
+    if isinstance(trained.model, trees.Forest):
+        scored = prepared.withColumn("scores", trained.model.score_column("features"))
+        best = F.array_position("scores", F.array_max("scores")) - 1
+        return scored.withColumn("prediction", best.cast("double")).drop("features")
+    predicted = trained.model.transform(prepared).withColumn("scores", vector_to_array("probability"))
     return predicted.drop("rawPrediction", "probability", "features")
 
 
 def tree_structure(trained: TrainedModel) -> dict:
-    return {"tree_depth": trained.model.depth, "n_leaves": (trained.model.numNodes + 1) // 2}
+    return {"tree_depth": trained.model.depth, "n_leaves": trained.model.n_leaves}
 
 
 def _importances(trained: TrainedModel) -> tuple[list[float], list[float | None]]:
@@ -154,9 +119,7 @@ def _importances(trained: TrainedModel) -> tuple[list[float], list[float | None]
         size = [float(sum(abs(r[j]) for r in rows) / len(rows)) for j in range(n)]
         signed = [float(rows[0][j]) if len(rows) == 1 else None for j in range(n)]
         return size, signed
-    models = model.models if isinstance(model, OneVsRestModel) else [model]
-    size = [float(sum(m.featureImportances[j] for m in models) / len(models)) for j in range(n)]
-    return size, [None] * n
+    return model.importance(), [None] * n
 
 
 def feature_importance(trained: TrainedModel, prepared: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablescope.operators import evaluate, features, models, split
+from tablescope.operators import evaluate, features, models, split, trees
 from tablescope.operators.ordering import dense_codes, totals_before
 from tablescope.plans.training import prepare, train_and_evaluate
 
@@ -192,10 +194,150 @@ def test_fit_on_train_keeps_rows_of_repeated_keys(spark):
     assert sides[0] == sides[1]
 
 
-def test_tree_parameters_are_what_was_trained(spark):
-    prepared = prepare(learnable(spark), "target", "decision_tree", ["row"])
-    trained = models.train_tree(prepared.frame, prepared.plan.features, 2, max_depth=None)
-    assert trained.parameters["max_depth"] == models.MAX_TREE_DEPTH and trained.parameters["max_bins"] == 256
-    for wrong in ({"max_depth": 50}, {"min_samples_split": 10}):
-        with pytest.raises(ValueError):
-            models.train_tree(prepared.frame, prepared.plan.features, 2, **wrong)
+def training_rows(spark, rows):
+    """(features ..., label) tuples as a prepared frame whose rows all train."""
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])
+    made = spark.createDataFrame([(Vectors.dense([float(v) for v in r[:-1]]), float(r[-1])) for r in rows], schema)
+    return made.withColumn("split", F.lit("train"))
+
+
+def test_tree_tests_the_size_of_a_node_before_its_split(spark):
+    """A split of ten rows into nine and one is legal; a node of fewer rows than the limit stays a leaf."""
+    rows = [(i, 0) for i in range(9)] + [(9, 1)] + [(i, 2) for i in range(20, 40)]
+    frame = training_rows(spark, rows)
+    grown = {n: models.train_tree(frame, ["x"], 3, max_depth=None, min_samples_split=n).model.trees[0][0] for n in (2, 10, 11, 31)}
+    assert grown[2] == grown[10] and grown[10].n_leaves == 3 and sorted(t for t in grown[10].threshold if t) == [8.5, 14.5]
+    assert grown[11].n_leaves == 2 and grown[31].n_leaves == 1
+    assert models.train_tree(frame, ["x"], 3, min_samples_leaf=2).model.trees[0][0].n_leaves == 3
+    assert models.train_tree(frame, ["x"], 3, max_depth=1).model.depth == 1
+
+
+def test_tree_is_not_bound_in_depth(spark):
+    """Alternating classes of a sorted feature, with shares that peel off one value a level."""
+    rows = [(i, i % 2) for i in range(40) for _ in range(1 << min(i, 12))]
+    model = models.train_tree(training_rows(spark, rows), ["x"], 2, max_depth=None).model
+    assert model.depth > 30 or model.n_leaves == 40
+    assert all(model.scores(np.array([[float(i)]]))[0].argmax() == i % 2 for i in range(40))
+
+
+def plain_gini(x, y, n_classes, max_depth, min_split, min_leaf):
+    """Nested dict of a greedy Gini tree over all thresholds, lowest feature and threshold first."""
+    counts = np.bincount(y, minlength=n_classes)
+    own = {"counts": counts.tolist()}
+    if max_depth == 0 or len(y) < max(2, min_split) or (counts > 0).sum() < 2:
+        return own
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for low, high in zip(values, values[1:]):
+            left = x[:, f] <= (low + high) / 2
+            if min(left.sum(), (~left).sum()) < min_leaf:
+                continue
+            purity = sum((np.bincount(y[s], minlength=n_classes) ** 2).sum() / s.sum() for s in (left, ~left))
+            if best is None or round(purity, 9) > round(best[0], 9):
+                best = (purity, f, left)
+    if best is None:
+        return own
+    return own | {"feature": best[1], "left": plain_gini(x[best[2]], y[best[2]], n_classes, max_depth - 1, min_split, min_leaf),
+                  "right": plain_gini(x[~best[2]], y[~best[2]], n_classes, max_depth - 1, min_split, min_leaf)}
+
+
+def as_dict(tree, node=0):
+    own = {"counts": [int(c) for c in tree.value[node]]}
+    if tree.feature[node] < 0:
+        return own
+    return own | {"feature": tree.feature[node], "left": as_dict(tree, tree.left[node]), "right": as_dict(tree, tree.left[node] + 1)}
+
+
+@pytest.mark.parametrize("seed, parameters", [(1, (6, 2, 1)), (2, (20, 12, 1)), (3, (20, 2, 7))])
+def test_tree_equals_plain_growth(spark, seed, parameters):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, (500, 3))
+    y = (x[:, 0] + x[:, 1] * rng.integers(0, 2, 500)) // 5 % 3
+    model = models.train_tree(training_rows(spark, np.column_stack([x, y]).tolist()).repartition(5), list("abc"), 3, *parameters).model
+    assert as_dict(model.trees[0][0]) == plain_gini(x, y, 3, *parameters)
+
+
+def plain_boosting(x, y, n_classes, rounds, depth, rate):
+    """Scores of second-order boosting by trying every threshold, L2 of 1 and a least Hessian of 1."""
+    outputs = 1 if n_classes == 2 else n_classes
+    margin = np.full((len(y), outputs), 4 * (y.mean() - 0.5) if n_classes == 2 else 0.0)
+
+    def grow(rows, g, h, level):
+        weight = -g[rows].sum() / (h[rows].sum() + 1) * rate
+        best = (1e-6, None)
+        if level < depth:
+            for f in range(x.shape[1]):
+                for cut in np.unique(x[rows, f])[:-1]:
+                    left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(h[left].sum(), h[right].sum()) < 1:
+                        continue
+                    gain = sum(s * g[r].sum() ** 2 / (h[r].sum() + 1) for s, r in ((1, left), (1, right), (-1, rows)))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if best[1] is None:
+            return [(rows, weight)]
+        return grow(best[1][0], g, h, level + 1) + grow(best[1][1], g, h, level + 1)
+
+    for _ in range(rounds):
+        if n_classes == 2:
+            p = 1 / (1 + np.exp(-margin))
+            g, h = p - y[:, None], p * (1 - p)
+        else:
+            e = np.exp(margin)
+            p = e / e.sum(axis=1, keepdims=True)
+            g, h = p - np.eye(n_classes)[y], 2 * p * (1 - p)
+        for k in range(outputs):
+            for rows, weight in grow(np.arange(len(y)), g[:, k], h[:, k], 0):
+                margin[rows, k] += weight
+    if n_classes == 2:
+        p = 1 / (1 + np.exp(-margin[:, 0]))
+        return np.column_stack([1 - p, p])
+    e = np.exp(margin)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_boosting_equals_plain_rounds(spark, n_classes):
+    rng = np.random.default_rng(n_classes)
+    x = rng.normal(size=(150, 3)).round(1)
+    y = (np.abs(x[:, 0] + x[:, 1]) + rng.normal(size=150) * 0.3 > 0.8).astype(int) + (n_classes - 2) * (x[:, 2] > 0.5)
+    frame = training_rows(spark, np.column_stack([x, y]).tolist()).repartition(4)
+    trained = models.train_boosting(frame, list("abc"), n_classes, n_estimators=4, max_depth=3)
+    assert np.allclose(trained.model.scores(x), plain_boosting(x, y, n_classes, 4, 3, 0.3), atol=1e-9)
+    scored = models.score(trained, frame).collect()
+    assert all(r["prediction"] == int(np.argmax(r["scores"])) for r in scored)
+
+
+def test_histograms_in_groups_and_by_tree_reduction_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    frame = training_rows(spark, np.column_stack([x, y]).tolist()).repartition(6)
+    one = [f(frame, list("abcd"), 2, max_depth=4, max_bins=32) for f in (models.train_tree, lambda *a, **k: models.train_boosting(*a, n_estimators=3, **k))]
+    for name, value in (("MOST_NUMBERS", 500), ("TASK_CELLS", 100), ("DIRECT_TASKS", 1), ("CHECKPOINT_ROUNDS", 2)):
+        monkeypatch.setattr(trees, name, value)
+    two = [f(frame, list("abcd"), 2, max_depth=4, max_bins=32) for f in (models.train_tree, lambda *a, **k: models.train_boosting(*a, n_estimators=3, **k))]
+    for a, b in zip(one, two):
+        assert np.allclose(a.model.scores(x), b.model.scores(x)) and a.model.n_leaves == b.model.n_leaves
+    assert np.mean(one[1].model.scores(x).argmax(axis=1) == y) > 0.8
+
+
+def test_boosting_by_samples(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 6))
+    y = (x[:, 0] > 0.3).astype(int)
+    frame = training_rows(spark, np.column_stack([x, y]).tolist())
+    both = [models.train_boosting(frame, list("abcdef"), 2, n_estimators=20, max_depth=3, subsample=0.5, colsample_bytree=0.5).model for _ in range(2)]
+    assert both[0].trees == both[1].trees
+    assert all(len({f for f in t.feature if f >= 0}) <= 3 for (t,) in both[0].trees)
+    assert np.mean(both[0].scores(x).argmax(axis=1) == y) > 0.97 and both[0].importance()[0] > 0.5
+
+
+def test_wide_features_are_cut_at_quantiles(spark):
+    frame = training_rows(spark, [(i * i, i % 3, i >= 1500) for i in range(2000)])
+    edges = trees.bin_edges(frame, 2, 64)
+    assert len(edges[0]) == 63 or len(edges[0]) == 64
+    assert edges[1].tolist() == [0.5, 1.5]
+    counts = np.diff(np.searchsorted([i * i for i in range(2000)], [-1, *edges[0], 1e9], side="right"))
+    assert counts.max() < 3 * 2000 / 64
