@@ -1,13 +1,19 @@
-"""Language-model scores: unigram words as the base, and a subword lattice as the model.
-
-The model is a unigram over the pieces of an existing subword vocabulary. A word's probability is the
-sum over all its segmentations into pieces, found by the forward recursion in log space; a text's is the
-product over its words and one end. Pieces start from the ranks the vocabulary file gives them and are
-re-estimated on the training words by expectation maximisation: each pass weighs all segmentations of
-every distinct word by its count. Characters without a piece go through the vocabulary's byte pieces.
-
-Everything is computed once per distinct word. The most frequent words, a bounded number, are sent to
-all tasks; the others meet their documents in a shuffled join, where no key is hot.
+"""Language-model scores: unigram words as the base, and a lattice of subwords and whole words as the model.
+
+The model is a unigram over units: the pieces of an existing subword vocabulary, every word of the training
+texts as a whole, and the end of a text. A word's probability is the sum over all its segmentations into
+units, found by the forward recursion; a text's is the product over its words and one end. A training word
+seen c times has the weight c - D as a whole, D the absolute discount n1 / (n1 + 2 n2) of words seen once
+and twice; what is taken off pays for spelling, so each distinct word counts D times in the estimate of the
+pieces. No unigram vocabulary is installed; the file used is a BPE vocabulary whose scores are merge ranks,
+so they only start the estimate, and expectation maximisation over all segmentations of all distinct
+training words replaces them. Characters without a piece go through the vocabulary's byte pieces.
+
+Everything is computed once per distinct word. The arcs of a word's lattice are built once, as numbers of
+its pieces, and written with it; passes and scores then work on the arcs of many words at a time. Words
+longer than LONGEST, or with characters of several bytes that have no piece, go through the same recursion
+in log space one by one. The most frequent words, a bounded number, are sent to all tasks; the others meet
+their documents in a shuffled join, where no key is hot.
 
 Defined results: a null or blank text has the end as its only token; a null key counts as the empty text
 for the split; repeated rows each get their own result; without training documents every count is 0.
@@ -19,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +34,13 @@ from tablescope.llm.shared import map_arrow, materialize
 from tablescope.llm.tokenizer_files import vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
-PASSES = 2
+PASSES = 4
 SMOOTHING = 0.1
 HOLDOUT, PARTS = 0, 10
 #: Words sent to all tasks, at most.
 FREQUENT_WORDS = 262_144
+#: Longest word, its start included, whose arcs are numbers; no product of so many pieces leaves the doubles.
+LONGEST = 20
 #: A task's word counts are passed on when it holds this many.
 COUNTER_WORDS = 1_000_000
 #: Expected counts are summed as whole numbers of this fraction, so the order of tasks doesn't matter.
@@ -136,47 +145,159 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield packed()
 
 
+def number_arcs(parameters):
+    """(word, times) -> (word, times, n, arcs): characters and arcs of the word's lattice, null where it goes one by one.
+
+    An arc is the number of its piece (bytes follow the pieces) * 32 + its start.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, single = parameters.value
+        lattice = Lattice(pieces, single)
+        number = {p: k << 5 for k, p in enumerate(pieces)}
+        prefixes, first_byte = lattice.prefixes, len(pieces)
+        for batch in batches:
+            sizes, found = [], []
+            for word in batch.column(0).to_pylist():
+                text = WORD_START + word.decode(errors="surrogateescape")
+                n = len(text)
+                arcs: list[int] | None = [] if n <= LONGEST else None
+                for i in range(n) if arcs is not None else ():
+                    alone = True
+                    for j in range(i + 1, n + 1):
+                        part = text[i:j]
+                        if part not in prefixes:
+                            break
+                        own = number.get(part)
+                        if own is not None:
+                            arcs.append(own + i)
+                            alone = alone and j > i + 1
+                    if alone:
+                        spelled = text[i].encode(errors="surrogateescape")
+                        if len(spelled) > 1:
+                            arcs = None
+                            break
+                        arcs.append((first_byte + spelled[0] << 5) + i)
+                sizes.append(n)
+                found.append(arcs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["word", "times", "n", "arcs"])
+
+    return run
+
+
+class Arcs:
+    """The arcs of many words: for each its word, start, end and unit."""
+
+    def __init__(self, batch: pa.RecordBatch, lengths: np.ndarray):
+        column = batch.column(batch.schema.get_field_index("arcs"))
+        n = batch.column(batch.schema.get_field_index("n")).to_numpy()
+        counts = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+        codes = column.flatten().to_numpy().astype(np.int64)
+        self.words, self.n = len(batch), n
+        self.word = np.repeat(np.arange(self.words), counts)
+        self.unit, self.start = codes >> 5, codes & 31
+        self.end = self.start + lengths[self.unit]
+        self.single = np.flatnonzero(counts == 0)  # go one by one
+        self.by_end = np.argsort(self.end, kind="stable")
+        self.ends = np.searchsorted(self.end[self.by_end], np.arange(LONGEST + 2))
+        self.by_start = np.argsort(self.start, kind="stable")
+        self.starts = np.searchsorted(self.start[self.by_start], np.arange(LONGEST + 2))
+
+    def ahead(self, weight: np.ndarray) -> np.ndarray:
+        """(words, places): probability of all ways from the start to each place; ``weight`` per arc."""
+        out = np.zeros((self.words, LONGEST + 2))
+        out[:, 0] = 1
+        for place in range(1, LONGEST + 1):
+            at = self.by_end[self.ends[place] : self.ends[place + 1]]
+            out[:, place] = np.bincount(self.word[at], out[self.word[at], self.start[at]] * weight[at], minlength=self.words)
+        return out
+
+    def behind(self, weight: np.ndarray) -> np.ndarray:
+        """(words, places): probability of all ways from each place to the end of the word."""
+        out = np.zeros((self.words, LONGEST + 2))
+        short = self.n <= LONGEST
+        out[np.flatnonzero(short), self.n[short]] = 1
+        for place in range(LONGEST - 1, -1, -1):
+            at = self.by_start[self.starts[place] : self.starts[place + 1]]
+            out[:, place] += np.bincount(self.word[at], out[self.word[at], self.end[at]] * weight[at], minlength=self.words)
+        return out
+
+
+def unit_table(pieces: dict[str, float], single: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Probability and length of every unit: pieces in their order, then bytes."""
+    weights = np.exp(np.array([*pieces.values(), *single]))
+    return weights, np.array([*map(len, pieces), *[1] * len(single)])
+
+
 def expected_counts(parameters):
-    """(word, times) -> (piece, expected occurrences in GRAINs)."""
+    """Distinct words with arcs -> (unit, expected occurrences in GRAINs), each word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(*parameters.value), Counter()
+        pieces, single = parameters.value
+        weights, lengths = unit_table(pieces, single)
+        lattice = None
+        total, number = np.zeros(len(weights), np.int64), None
         for batch in batches:
-            for word, times in zip(*(c.to_pylist() for c in batch.columns)):
-                for piece, share in lattice.expected(word):
-                    total[piece] += int(share * times * GRAIN + 0.5)
-        names = [p if isinstance(p, str) else f"{WORD_START * 2}{p}" for p in total]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total.values(), pa.decimal128(38, 0))], names=["piece", "grains"])
+            arcs = Arcs(batch, lengths)
+            weight = weights[arcs.unit]
+            ahead, behind = arcs.ahead(weight), arcs.behind(weight)
+            whole = ahead[np.arange(arcs.words), np.minimum(arcs.n, LONGEST)]
+            share = ahead[arcs.word, arcs.start] * weight * behind[arcs.word, arcs.end] / whole[arcs.word]
+            np.add.at(total, arcs.unit, np.floor(share * GRAIN + 0.5).astype(np.int64))
+            if len(arcs.single):
+                lattice = lattice or Lattice(pieces, single)
+                number = number or {p: k for k, p in enumerate(pieces)}
+                for word in batch.column(0).take(pa.array(arcs.single)).to_pylist():
+                    for piece, share in lattice.expected(word):
+                        total[number[piece] if isinstance(piece, str) else len(number) + piece] += int(share * GRAIN + 0.5)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["unit", "grains"])
 
     return run
 
 
-def estimate(words: DataFrame, ends: int, passes: int = PASSES) -> tuple[dict[str, float], list[float], float]:
-    """Log probabilities of pieces, bytes and the end after ``passes`` passes over the distinct words."""
+def estimate(words: DataFrame, ends: int, whole: float, discount: float, passes: int = PASSES) -> tuple[dict[str, float], list[float], float, float]:
+    """Log probabilities of pieces, bytes and the end after ``passes`` passes, and the sum that counts are shares of.
+
+    ``whole`` is the count that whole words keep, ``discount`` what each distinct word counts in the pieces.
+    """
     pieces, single = piece_scores()
-    end = 0.0
+    end, total = 0.0, 1.0
     context = words.sparkSession.sparkContext
     for _ in range(passes):
         parameters = context.broadcast((pieces, single))
-        rows = map_arrow(words.where("times > 0"), expected_counts(parameters), "piece string, grains decimal(38,0)")
-        found = {r.piece: int(r.grains) / GRAIN for r in rows.groupBy("piece").agg(F.sum("grains").cast("decimal(38,0)").alias("grains")).collect()}
+        rows = map_arrow(words.where("times > 0").select("word", "n", "arcs"), expected_counts(parameters), "unit int, grains bigint")
+        counts = np.zeros(len(pieces) + len(single))
+        for r in rows.groupBy("unit").agg(F.sum(F.col("grains").cast("decimal(38,0)")).alias("grains")).collect():
+            counts[r.unit] = int(r.grains) / GRAIN * discount
         parameters.unpersist()
-        total = sum(found.values()) + ends + SMOOTHING * (len(pieces) + len(single) + 1)
-        log = lambda name: math.log((found.get(name, 0.0) + SMOOTHING) / total)  # noqa: E731, B023
-        pieces = {p: log(p) for p in pieces}
-        single = [log(f"{WORD_START * 2}{b}") for b in range(256)]
+        total = float(counts.sum()) + whole + ends + SMOOTHING * (len(counts) + 1)
+        logs = np.log((counts + SMOOTHING) / total).tolist()
+        pieces, single = dict(zip(pieces, logs)), logs[len(pieces) :]
         end = math.log((ends + SMOOTHING) / total)
-    return pieces, single, end
+    return pieces, single, end, total
 
 
-def score_words(parameters):
-    """(word, times) -> (word, times, log10 of its marginal probability)."""
+def score_words(parameters, discount: float, total: float):
+    """Distinct words with arcs -> (word, times, log10 of the word's probability over all segmentations)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*parameters.value)
+        pieces, single = parameters.value
+        weights, lengths = unit_table(pieces, single)
+        lattice = None
         for batch in batches:
-            scores = [lattice.log_probability(w) / LN10 for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "times", "lattice"])
+            arcs = Arcs(batch, lengths)
+            whole = arcs.ahead(weights[arcs.unit])[np.arange(arcs.words), np.minimum(arcs.n, LONGEST)]
+            with np.errstate(divide="ignore"):
+                spelled = np.log(whole)
+            if len(arcs.single):
+                lattice = lattice or Lattice(pieces, single)
+                spelled[arcs.single] = [lattice.log_probability(w) for w in batch.column(0).take(pa.array(arcs.single)).to_pylist()]
+            times = batch.column(1).to_numpy()
+            with np.errstate(divide="ignore"):
+                own = np.log(np.where(times > 0, times - discount, 0) / total)
+            scores = np.logaddexp(own, spelled) / LN10
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["word", "times", "lattice"])
 
     return run
 
@@ -235,15 +356,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"), (part == HOLDOUT).alias("held_out"), F.col(text).alias("text"))
 
     counted = map_arrow(own.select((~F.col("held_out")).alias("train"), "text"), count_words, "word binary, times bigint")
-    words = materialize(counted.groupBy("word").agg(F.sum("times").alias("times")), "words")
+    words = counted.groupBy("word").agg(F.sum("times").alias("times"))
+    start = spark.sparkContext.broadcast(piece_scores())
+    words = materialize(map_arrow(words, number_arcs(start), "word binary, times bigint, n int, arcs array<int>"), "words")
     ends = own.where(~F.col("held_out")).count()
-    tokens, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count_if(F.col("times") > 0)).first()
-    tokens, distinct = tokens + ends, distinct + (ends > 0)
+    said, seen, once, twice = words.agg(F.coalesce(F.sum("times"), F.lit(0)), *[F.count_if(c) for c in (F.col("times") > 0, F.col("times") == 1, F.col("times") == 2)]).first()
+    tokens, distinct = said + ends, seen + (ends > 0)
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
     below = math.log10(tokens + SMOOTHING * (distinct + 1))
 
-    pieces, single, end = estimate(words, ends, passes)
+    pieces, single, end, total = estimate(words, ends, said - discount * seen, discount, passes)
     parameters = spark.sparkContext.broadcast((pieces, single))
-    scored = materialize(map_arrow(words, score_words(parameters), "word binary, times bigint, lattice double"), "scored-words")
+    scored = materialize(map_arrow(words, score_words(parameters, discount, total), "word binary, times bigint, lattice double"), "scored-words")
     scored = scored.withColumn("base", F.log10(F.col("times") + SMOOTHING) - below)
     least = frequent_from(scored, frequent_words)
     table = {bytes(r.word): (r.base, r.lattice) for r in scored.where(F.col("times") >= least).select("word", "base", "lattice").toLocalIterator()}
