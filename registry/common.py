@@ -100,4 +100,4 @@ def shown(v: str, kind: str) -> str:
 
 def text_key(v: str, kind: str) -> str:
     """Key of long texts: a digest, so ties go by digest and not by the text."""
-    return f"CASE WHEN length({v}) > 256 THEN 'sha256:' || sha256({v}) ELSE {v} END" if kind == "string" else v
+    return f"CASE WHEN length({v}) > 256 THEN substr({v}, 1, 256) || sha256({v}) ELSE {v} END" if kind == "string" else v

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from registry.common import fresh_name, li_nulls, read, scratch, union_all
 from tablescope.functions import json_value
 from tablescope.operators.tables import basic_profile
+from tablescope import schema as S
 from tablescope.plans import analysis, insights
+from tablescope.plans.analysis import profile_and_store
 from tablescope.plans.profile import column_profile
+from tablescope.plans.report_texts import MEASURES, NEXT_STEPS, section_texts
+from tablescope.plans.training import train_and_evaluate
 from tablescope.sources import results, workspace
 
 # One training run per line item: family from the flag, scores from the amounts.
@@ -65,7 +69,9 @@ def _quality(spark, sf):
 
 def _available(spark, sf):
     tables = _frame(spark, sf, "(SELECT DISTINCT concat('table_', CAST(o_custkey % 70 AS VARCHAR)) AS table_name FROM orders)")
-    return insights.insights_available(tables, _summaries(spark, sf), _runs(spark, sf)).drop("models")
+    found = insights.insights_available(tables, _summaries(spark, sf), _runs(spark, sf))
+    listed = F.transform("models", lambda m: F.concat(m["model_type"], F.lit("="), F.format_string("%.4f", m["test_accuracy"])))
+    return found.withColumn("models", F.array_join(listed, ","))
 
 
 def _feature_ranking(spark, sf):
@@ -100,6 +106,38 @@ def _save_column_stats(spark, sf):
     )
 
 
+def _stored_runs(spark, sf):
+    """Model summaries written to the store and read back."""
+    namespace = workspace.workflow_namespace(workspace.create_workflow(spark))
+    results.save_model_summary(_runs(spark, sf).drop("target_conversion", "original_rows", "missing_values_handled", "original_features", "dropped_columns"), namespace)
+    return spark.table(f"{namespace}.workflow_model_summary").select("analysis_id", "table_name", "model_type", "test_accuracy", "train_accuracy", "tree_depth")
+
+
+def _result_tables(spark, sf):
+    """Rows of every result table after storing a profile, and whether the tables exist before and after dropping them."""
+    namespace = workspace.workflow_namespace(workspace.create_workflow(spark))
+    profile_and_store(read(spark, sf, "orders"), namespace, "orders", "o_orderstatus")
+    rows = [(t, workspace.table_exists(spark, namespace, t)[0], spark.table(f"{namespace}.{t}").count()) for t in S.RESULT_TABLES]
+    dropped = set(results.drop_result_tables(spark, namespace, confirm=True))
+    rows = [(*r, r[0] in dropped, workspace.table_exists(spark, namespace, r[0])[0]) for r in rows]
+    return spark.createDataFrame(rows, "result_table string, created boolean, stored_rows bigint, dropped boolean, left boolean")
+
+
+def _model_summary_row(spark, sf):
+    """The stored row of a run whose classes follow from one feature."""
+    size = F.when(F.col("l_quantity") > 33, 2).when(F.col("l_quantity") > 16, 1).otherwise(0)
+    df = read(spark, sf, "lineitem").select("l_linenumber", "l_quantity", "l_linestatus", size.alias("size"))
+    row = train_and_evaluate(df, "size", "decision_tree", "lineitem", "w", "multiclass_classification").summary
+    matrix = F.col("confusion_matrix")
+    return row.select(
+        "workflow_id", "table_name", "target_variable", "model_type", "problem_type", "test_accuracy", "test_precision", "test_recall", "test_f1_score",
+        "test_roc_auc", "train_accuracy", "tree_depth", "n_leaves", "max_depth", "total_samples", "total_features", "n_classes",
+        F.array_join("class_labels", ",").alias("class_labels"), F.get("top_features", F.lit(0))["feature"].alias("top_feature"),
+        *[F.get(F.get(matrix, F.lit(i)), F.lit(j)).alias(f"m{i}{j}") for i in range(3) for j in range(3) if i != j],
+        F.array_join("preprocessing_details.encoded_columns", ",").alias("encoded_columns"), F.array_join("recommendations", ",").alias("codes"),
+    )
+
+
 def _report(spark, sf):
     """Everything end to end on the labelled documents: load, profile, train, report."""
     labels = read(spark, sf, "labels")
@@ -132,6 +170,10 @@ QUERIES = {
     "confusion_eligibility": lambda spark, sf: insights.confusion_eligibility(_runs(spark, sf)),
     "insights_available": _available,
     "report_document": _report,
+    "report_texts": lambda spark, sf: section_texts(_summaries(spark, sf), _runs(spark, sf)),
+    "save_model_summary": _stored_runs,
+    "result_tables_life": _result_tables,
+    "model_summary_row": _model_summary_row,
     "get_summary": lambda spark, sf: results.get_summary(_summaries(spark, sf), "a7"),
     "get_column_stats": lambda spark, sf: results.get_column_stats(_stats(spark, sf), "a7"),
     "latest_analysis": lambda spark, sf: results.latest_analysis(_summaries(spark, sf), "table_7"),
@@ -192,7 +234,46 @@ _METRICS = {
 }
 _HAS_TABLES = f"(SELECT DISTINCT table_name FROM (SELECT table_name FROM {_LATEST} UNION ALL SELECT table_name FROM {_NEWEST}))"
 
+def _texts() -> str:
+    """All sentences, section by section, in the words of the operator."""
+    pct = "printf('%.1f%%', {c} * 100)".replace("{c}", "{}")
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    compared = f"(SELECT table_name, string_agg(model_type, ', ' ORDER BY {_FAMILY}) AS names, count(*) AS n FROM {_LATEST} GROUP BY table_name)"
+    first = f"(SELECT * FROM {_LATEST} QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY {_FAMILY}) = 1)"
+    parts = [
+        ("dataset", 0, "size", "'Table ' || table_name || ' has ' || total_rows || ' rows and ' || total_columns || ' columns.'", _NEWEST),
+        ("dataset", 1, "target", "'It is used to predict ' || target_column || '.'", _NEWEST),
+        ("dataset", 2, "duplicates", "CASE WHEN duplicate_percentage > 0 THEN printf('%.2f%% of its rows repeat another row.', duplicate_percentage) END", _NEWEST),
+        ("preprocessing", 0, "imputed", "missing_values_handled || ' missing cells were filled with the median of their column.'", first),
+        ("preprocessing", 1, "dropped", "dropped_columns || ' columns were left out: mostly empty, too many values, or of a kind that can''t be used.'", first),
+        ("preprocessing", 2, "target", "'The target was prepared as ' || target_conversion || '.'", first),
+        ("preprocessing", 3, "scaled", "'Text columns became codes; features were scaled for logistic regression.'", first),
+        ("performance", 0, "models", "n || ' models were compared: ' || names || '.'", compared),
+        ("performance", 1, "best", f"model_type || ' is the most accurate, with ' || {pct.format('test_accuracy')} || ' of the test rows right.'", _BEST),
+        ("performance", 2, "detail", f"'Its precision is ' || {pct.format('test_precision')} || ', its recall ' || {pct.format('test_recall')} || ', its F1 score ' || {pct.format('test_f1_score')} || '.'", _BEST),
+        ("performance", 3, "order", "CASE WHEN test_roc_auc IS NOT NULL THEN printf('Its area under the ROC curve is %.4f.', test_roc_auc) END", _BEST),
+        ("explainability", 0, "measures", quoted(MEASURES), compared),
+        ("conclusion", 0, "summary", f"'The best model is ' || model_type || ' with an accuracy of ' || {pct.format('test_accuracy')} || '.'", _BEST),
+        ("conclusion", 1, "fit", "CASE WHEN train_accuracy - test_accuracy > 0.10 THEN 'It fits the training rows much better than others, which should be mended first.' ELSE 'It does about as well on rows it has not seen.' END", _BEST),
+        *[("next_steps", i, code, quoted(text), _BEST) for i, (code, text) in enumerate(NEXT_STEPS.items())],
+    ]
+    rows = [f"SELECT table_name, '{section}' AS section, {i} AS position, '{code}' AS code, {text} AS text FROM {source}" for section, i, code, text, source in parts]
+    return "SELECT * FROM (" + " UNION ALL ".join(rows) + ") WHERE text IS NOT NULL"
+
+
 SQL = {
+    "report_texts": _texts(),
+    "save_model_summary": f"SELECT analysis_id, table_name, model_type, test_accuracy, train_accuracy, tree_depth FROM {RUNS}",
+    "result_tables_life": """SELECT result_table, TRUE AS created, stored_rows, TRUE AS dropped, FALSE AS left FROM (
+        SELECT 'workflow_metadata' AS result_table, 0 AS stored_rows UNION ALL SELECT 'workflow_eda_summary', 1
+        UNION ALL SELECT 'workflow_eda_column_stats', count(*) FROM information_schema.columns WHERE table_name = 'orders'
+        UNION ALL SELECT 'workflow_target_stats', 1 UNION ALL SELECT 'workflow_target_classes', count(DISTINCT o_orderstatus) FROM orders
+        UNION ALL SELECT 'workflow_model_summary', 0)""",
+    "model_summary_row": """SELECT 'w' AS workflow_id, 'lineitem' AS table_name, 'size' AS target_variable, 'decision_tree' AS model_type,
+        'multiclass_classification' AS problem_type, 1.0::DOUBLE AS test_accuracy, 1.0::DOUBLE AS test_precision, 1.0::DOUBLE AS test_recall,
+        1.0::DOUBLE AS test_f1_score, 1.0::DOUBLE AS test_roc_auc, 1.0::DOUBLE AS train_accuracy, 2 AS tree_depth, 3 AS n_leaves, 10 AS max_depth,
+        count(*) AS total_samples, 3 AS total_features, 3 AS n_classes, '0,1,2' AS class_labels, 'l_quantity' AS top_feature,
+        0 AS m01, 0 AS m02, 0 AS m10, 0 AS m12, 0 AS m20, 0 AS m21, 'l_linestatus' AS encoded_columns, 'good' AS codes FROM lineitem""",
     "model_recommendations": union_all(
         [f"SELECT analysis_id, model_type, '{code}' AS code FROM {RUNS} WHERE {rule}" for code, rule in _RULES.items()]
         + [f"SELECT analysis_id, model_type, 'good' AS code FROM {RUNS} WHERE NOT ({_ANY_RULE})"]
@@ -230,10 +311,11 @@ SQL = {
     "confusion_eligibility": f"""SELECT analysis_id, model_type, n_classes,
         n_classes BETWEEN 2 AND 20 AND target_conversion NOT LIKE 'continuous_to%' AS show_matrix FROM {RUNS}""",
     "insights_available": f"""SELECT t.table_name, s.table_name IS NOT NULL AS eda_available, coalesce(n, 0) AS models_available,
-        s.table_name IS NOT NULL OR coalesce(n, 0) > 0 AS ready_for_insights
+        s.table_name IS NOT NULL OR coalesce(n, 0) > 0 AS ready_for_insights, models
         FROM (SELECT DISTINCT concat('table_', CAST(o_custkey % 70 AS VARCHAR)) AS table_name FROM orders) t
         LEFT JOIN (SELECT DISTINCT table_name FROM {SUMMARIES}) s ON t.table_name = s.table_name
-        LEFT JOIN (SELECT table_name, count(*) AS n FROM {_LATEST} GROUP BY 1) m ON t.table_name = m.table_name""",
+        LEFT JOIN (SELECT table_name, count(*) AS n, string_agg(model_type || '=' || printf('%.4f', test_accuracy), ',' ORDER BY model_type) AS models
+            FROM {_LATEST} GROUP BY 1) m ON t.table_name = m.table_name""",
     "get_summary": f"SELECT * FROM {SUMMARIES} WHERE analysis_id = 'a7'",
     "get_column_stats": f"SELECT * FROM {STATS} WHERE analysis_id = 'a7'",
     "latest_analysis": f"SELECT * FROM {SUMMARIES} WHERE table_name = 'table_7' ORDER BY created_at DESC, analysis_id DESC LIMIT 1",

@@ -21,7 +21,20 @@ def shapes(spark, sf):
     return skew.select("column_name", distribution_shape(F.col("skewness")).alias("shape"))
 
 
+def _part(spark, sf):
+    """part and the first word of its name: a column of 64 values that determines another."""
+    return read(spark, sf, "part").withColumn("p_first", F.split_part("p_name", F.lit(" "), F.lit(1)))
+
+
+def _ranked(frame):
+    return _text(association.target_quality_rank(frame), "suggested_features", "leakage")
+
+
 QUERIES = {
+    "associations_lineitem": lambda spark, sf: association.associations(read(spark, sf, "lineitem")),
+    "target_quality_rank_lineitem": lambda spark, sf: _ranked(read(spark, sf, "lineitem")),
+    "associations_part": lambda spark, sf: association.associations(_part(spark, sf)),
+    "target_quality_rank_part": lambda spark, sf: _ranked(_part(spark, sf)),
     "infer_problem_type": lambda spark, sf: target.infer_problem_type(read(spark, sf, "lineitem")),
     "class_distribution": lambda spark, sf: target.class_distribution(read(spark, sf, "events"), "event_type"),
     "class_distribution_nulls": lambda spark, sf: target.class_distribution(li_nulls(spark, sf), "l_returnflag"),
@@ -89,18 +102,19 @@ def _candidates() -> str:
     return union_all(parts)
 
 
-def _code(c: str, kind: str) -> str:
+def _code(c: str, kind: str, table: str) -> str:
+    """The value as text; numbers and dates of more than 20 values as deciles."""
     if kind == "string":
         return f"coalesce({c}, '?') AS {c}"
     x = f"epoch_us({c})::DOUBLE" if kind == "timestamp_ntz" else f"{c}::DOUBLE"
-    edges = [f"(SELECT quantile_cont({x}, {i / 10}) FROM orders)" for i in range(1, 10)]
-    return " + ".join(f"CAST({x} > {e} AS INTEGER)" for e in edges) + f" AS {c}"
+    edges = " + ".join(f"CAST({x} > (SELECT quantile_cont({x}, {i / 10}) FROM {table}) AS INTEGER)" for i in range(1, 10))
+    return f"CASE WHEN (SELECT count(DISTINCT {c}) FROM {table}) > 20 THEN CAST({edges} AS VARCHAR) ELSE CAST({x} AS VARCHAR) END AS {c}"
 
 
-def _pairs() -> str:
-    """Mutual information over the smaller entropy for every pair of columns of orders."""
-    names = list(ORDERS)
-    coded = "coded AS MATERIALIZED (SELECT " + ", ".join(_code(c, t) for c, t in ORDERS.items()) + " FROM orders)"
+def _pairs(table: str, kinds: dict[str, str]) -> str:
+    """Mutual information over the smaller entropy for every pair of columns of a table."""
+    names = list(kinds)
+    coded = "coded AS MATERIALIZED (SELECT " + ", ".join(_code(c, t, table) for c, t in kinds.items()) + f" FROM {table})"
     single = "single AS (" + union_all(
         [f"SELECT '{c}' AS c, sum(n * log2(n)) AS s FROM (SELECT count(*) AS n FROM coded GROUP BY {c})" for c in names]
     ) + ")"
@@ -119,33 +133,22 @@ def _pairs() -> str:
     return ", ".join([coded, single, joint, value, both])
 
 
-def _facts() -> str:
+def _facts(table: str, kinds: dict[str, str]) -> str:
     return union_all(
         [
             f"""SELECT '{c}' AS column_name, {i} AS ordinal, {t in ('bigint', 'int', 'double')} AS number,
-            {t in ('bigint', 'int')} AS whole, count(*)::DOUBLE AS total, count({c}) AS filled, count(DISTINCT {c}) AS u FROM orders"""
-            for i, (c, t) in enumerate(ORDERS.items())
+            {t in ('bigint', 'int')} AS whole, count(*)::DOUBLE AS total, count({c}) AS filled, count(DISTINCT {c}) AS u FROM {table}"""
+            for i, (c, t) in enumerate(kinds.items())
         ]
     )
 
 
-SQL = {
-    "infer_problem_type": union_all([_problem(c, t) for c, t in LI.items()]),
-    "class_distribution": _distribution("events", "event_type"),
-    "class_distribution_nulls": _distribution(LI_NULLS, "l_returnflag"),
-    "class_balance": _balance("labels", "quality"),
-    "class_balance_nulls": _balance(LI_NULLS, "l_returnflag"),
-    "regression_target_stats": f"SELECT *, {_SHAPE} AS distribution_shape FROM {_regression('events', 'value')}",
-    "distribution_shape": union_all(
-        [f"SELECT '{c}' AS column_name, {_SHAPE} AS shape FROM {_regression('events', c)}" for c in numeric_of("events")]
-    ),
-    "supervised_profile": f"""SELECT 'o_orderstatus' AS target_column, 'multiclass_classification' AS problem_type, *
-        FROM ({_balance('orders', 'o_orderstatus')})""",
-    "supervised_profile_regression": f"""SELECT 'o_totalprice' AS target_column, 'regression' AS problem_type, *,
-        {_SHAPE} AS distribution_shape FROM {_regression('orders', 'o_totalprice')}""",
-    "target_candidates": _candidates(),
-    "associations": f"WITH {_pairs()} SELECT * FROM both_ways",
-    "target_quality_rank": f"""WITH {_pairs()}, facts AS ({_facts()}),
+_PART = TABLE_COLUMNS["part"] | {"p_first": "string"}
+_PART_SQL = "(SELECT *, split_part(p_name, ' ', 1) AS p_first FROM part)"
+
+
+def _ranking(table: str, kinds: dict[str, str]) -> str:
+    return f"""WITH {_pairs(table, kinds)}, facts AS ({_facts(table, kinds)}),
         placed AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY association DESC, partner) AS place
             FROM both_ways WHERE association <= 0.99),
         strongest AS (SELECT column_name, avg(association) FILTER (WHERE place <= 3) AS top3, max(association) AS best,
@@ -154,7 +157,7 @@ SQL = {
             WHERE association > 0.99 GROUP BY 1),
         scored AS (SELECT f.column_name, ordinal, CAST(round(100 * (0.35 * coalesce(top3, 0.0)
             + 0.25 * CASE WHEN u BETWEEN 2 AND 20 THEN 1.0 WHEN number THEN 0.7 ELSE 0.3 END
-            + 0.25 * (filled / total) + 0.15 * (ordinal + 1) / {len(ORDERS)}), 0) AS INTEGER) AS importance_score,
+            + 0.25 * (filled / total) + 0.15 * (ordinal + 1) / {len(kinds)}), 0) AS INTEGER) AS importance_score,
             CASE WHEN number AND u > 20 THEN 'regression' WHEN u = 2 THEN 'binary_classification'
             ELSE 'multiclass_classification' END AS problem_type,
             CASE WHEN coalesce(best, 0.0) >= 0.5 THEN 'HIGH' WHEN coalesce(best, 0.0) >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END
@@ -162,5 +165,28 @@ SQL = {
             FROM facts f LEFT JOIN strongest s ON f.column_name = s.column_name LEFT JOIN leaks l ON f.column_name = l.column_name
             WHERE filled / total >= 0.5 AND u >= 2 AND NOT ((NOT number OR whole) AND u / total > 0.95))
         SELECT * EXCLUDE (ordinal) FROM (SELECT *, CAST(row_number() OVER (ORDER BY importance_score DESC, ordinal DESC) AS INTEGER)
-            AS rank FROM scored) WHERE rank <= 5""",
+            AS rank FROM scored) WHERE rank <= 5"""
+
+
+SQL = {
+    "infer_problem_type": union_all([_problem(c, t) for c, t in LI.items()]),
+    "class_distribution": _distribution("events", "event_type"),
+    "class_distribution_nulls": _distribution(LI_NULLS, "l_returnflag"),
+    "class_balance": _balance("labels", "quality"),
+    "class_balance_nulls": _balance(LI_NULLS, "l_returnflag"),
+    "regression_target_stats": f"SELECT *, {_SHAPE} AS distribution_shape FROM {_regression('events', 'value')}",
+    "distribution_shape": union_all(
+        [f"SELECT '{c}' AS column_name, {_SHAPE} AS shape FROM {_regression('events', c)}" for c in numeric_of("events")]
+    ),
+    "supervised_profile": f"""SELECT 'o_orderstatus' AS target_column, 'multiclass_classification' AS problem_type, *
+        FROM ({_balance('orders', 'o_orderstatus')})""",
+    "supervised_profile_regression": f"""SELECT 'o_totalprice' AS target_column, 'regression' AS problem_type, *,
+        {_SHAPE} AS distribution_shape FROM {_regression('orders', 'o_totalprice')}""",
+    "target_candidates": _candidates(),
+    "associations": f"WITH {_pairs('orders', ORDERS)} SELECT * FROM both_ways",
+    "target_quality_rank": _ranking("orders", ORDERS),
+    "associations_lineitem": f"WITH {_pairs('lineitem', LI)} SELECT * FROM both_ways",
+    "target_quality_rank_lineitem": _ranking("lineitem", LI),
+    "associations_part": f"WITH {_pairs(_PART_SQL, _PART)} SELECT * FROM both_ways",
+    "target_quality_rank_part": _ranking(_PART_SQL, _PART),
 }

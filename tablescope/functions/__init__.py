@@ -15,9 +15,9 @@ TEXT_PATTERNS = {
     "alphanumeric": r"^[a-zA-Z0-9]+$",
 }
 
-# Strings longer than this are grouped by digest so that shuffles carry 71 bytes, not the text.
+# Of longer strings this much and a digest is the grouping key, so that shuffles don't carry the text.
+# Keys sort like the strings themselves, but for long ones that begin alike, which go by digest.
 LONG_TEXT = 256
-DIGEST_PREFIX = "sha256:"
 
 
 def finite(value: Column) -> Column:
@@ -51,8 +51,11 @@ def display(value: Column, data_type: T.DataType) -> Column:
 
 
 def compact_text(value: Column) -> Column:
-    """Grouping key of a string: the string itself, or a digest when it is long."""
-    digest = F.concat(F.lit(DIGEST_PREFIX), F.sha2(value, 256))
+    """Grouping key of a string: the string itself, or its beginning and a digest when it is long.
+
+    Only keys of long strings are longer than LONG_TEXT.
+    """
+    digest = F.concat(F.substring(value, 1, LONG_TEXT), F.sha2(value, 256))
     return F.when(F.length(value) > LONG_TEXT, digest).otherwise(value)
 
 

@@ -1,8 +1,10 @@
 """Rank prediction targets by how well the other columns explain them.
 
-Every column is reduced to at most 21 codes, so the joint counts of two columns are at most
-441 groups.  One aggregate counts all column pairs; partial aggregation leaves each task with a
-few hundred groups per pair, however many rows it read.
+Every value of a column counts, of text and numbers alike: cells are compared by 64-bit hashes, and pairs of
+cells are counted as they are. Only numbers and dates with more values than ``levels`` are cut into deciles
+first, as single prices or seconds would explain everything. One aggregate counts all column pairs; partial
+aggregation combines common pairs before the shuffle, and no list of values passes through the driver.
+Text columns that are nearly unique name their rows and explain nothing; they take no part.
 """
 
 from __future__ import annotations
@@ -14,14 +16,11 @@ from pyspark.sql import types as T
 
 from tablescope import schema as S
 from tablescope.functions import finite, problem_type, round_half_up, safe_divide
-from tablescope.operators.frequency import supported_columns, top_values, unique_stats
+from tablescope.operators.frequency import supported_columns, unique_stats
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.tables import describe_table, null_stats
 
 # Fixed values of the ranking.
-NULL_CODE = 20
-OTHER_CODE = 19
-CODES = 21
 FEW_VALUES = 20
 DECILES = [i / 10 for i in range(1, 10)]
 LEAKAGE = 0.99
@@ -50,13 +49,13 @@ def _bucket(value: Column, edges: list[float], first: int = 0) -> Column:
     return F.when(value > F.lit(edges[middle]), right).otherwise(left)
 
 
-def coded_columns(df: DataFrame, unique_counts: dict[str, int]) -> DataFrame:
-    """One array column ``k`` with a code 0..20 per supported column.
+def paired_columns(df: DataFrame, ratios: dict[str, float]) -> list[str]:
+    """Columns that take part: all supported ones but texts whose values are nearly all different."""
+    return [n for n in supported_columns(df) if _as_number(df, n) is not None or ratios[n] <= IDENTIFIER_RATIO]
 
-    Numbers and dates with many values get their decile, other columns the place of the value
-    among the commonest ones.
-    """
-    names = supported_columns(df)
+
+def coded_columns(df: DataFrame, names: list[str], unique_counts: dict[str, int], levels: int = FEW_VALUES) -> DataFrame:
+    """One array column ``k`` with a 64-bit code per column: the hash of the value, or its decile; null is 0."""
     numbers = {n: _as_number(df, n) for n in names}
     base = df.select(
         *[
@@ -65,55 +64,41 @@ def coded_columns(df: DataFrame, unique_counts: dict[str, int]) -> DataFrame:
         ]
     )
     value = {n: F.col(f"x{i}") for i, n in enumerate(names)}
-    many = [n for n in names if numbers[n] is not None and unique_counts[n] > FEW_VALUES]
-    few = [n for n in names if numbers[n] is not None and n not in many]
-    texts = [n for n in names if numbers[n] is None]
+    many = [n for n in names if numbers[n] is not None and unique_counts[n] > levels]
     edges = exact_quantiles(base, {n: value[n] for n in many}, DECILES) if many else {}
-    listed: dict[str, list] = {n: [] for n in texts}
-    if few:
-        # at most 20 values per column: their number was counted before
-        row = base.agg(*[F.array_sort(F.collect_set(value[n])).alias(f"v{i}") for i, n in enumerate(few)]).first()
-        listed.update({n: row[f"v{i}"] for i, n in enumerate(few)})
-    if texts:
-        position = {f"x{names.index(n)}": n for n in texts}
-        for r in top_values(base.select(*position), limit=OTHER_CODE).orderBy("column_name", "rank").collect():
-            listed[position[r["column_name"]]].append(r["value"])
     codes = []
     for n in names:
         x = value[n]
-        if n in many:
-            code = _bucket(x, edges[n])
-        elif listed[n]:
-            place = F.array_position(F.array(*[F.lit(v) for v in listed[n]]), x)
-            code = F.when(place > 0, place - 1).otherwise(OTHER_CODE)
-        else:
-            code = F.lit(OTHER_CODE)
-        codes.append(F.when(x.isNull(), NULL_CODE).otherwise(code).cast("int"))
-    return base.select(F.array(*codes).alias("k"))
-
-
-def associations(df: DataFrame, unique_counts: dict[str, int] | None = None) -> DataFrame:
+        code = _bucket(x, edges[n]).cast("bigint") + 1 if n in many else F.xxhash64(x)
+        codes.append(F.when(x.isNull(), F.lit(0).cast("bigint")).otherwise(code))
+    return base.select(F.array(*codes).cast("array<bigint>").alias("k"))
+
+
+def associations(
+    df: DataFrame, facts: dict[str, tuple[int, float]] | None = None, levels: int = FEW_VALUES
+) -> DataFrame:
     """(column_name, partner, association) in both directions.
 
     Association is mutual information over the smaller entropy, so 1 means one column
-    determines the other.
+    determines the other.  ``facts`` has the distinct values of each column and their share of
+    the rows, where these are known.
     """
-    if unique_counts is None:
-        unique_counts = {r["column_name"]: r["unique_count"] for r in unique_stats(df).collect()}
-    names = supported_columns(df)
-    width, size = len(names), CODES * CODES
+    if facts is None:
+        facts = {r["column_name"]: (r["unique_count"], r["cardinality_ratio"]) for r in unique_stats(df).collect()}
+    names = paired_columns(df, {n: ratio for n, (_, ratio) in facts.items()})
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, partner string, association double")
+    width = len(names)
     # rows of equal codes are counted first; then each kind of row meets its column pairs (a, b) with
     # a <= b; the pair (a, a) gives the entropy of a
-    kinds = coded_columns(df, unique_counts).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    kinds = coded_columns(df, names, {n: unique for n, (unique, _) in facts.items()}, levels).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     left = kinds.select("k", "rows", F.posexplode("k").alias("a", "code_a"))
     both = left.select(
         "rows", "a", "code_a", F.posexplode(F.slice("k", F.col("a") + 1, width)).alias("step", "code_b")
     )
-    number = F.col("a") * (width + 1) + F.col("step")
-    cell = number * size + F.col("code_a") * CODES + F.col("code_b")
-    counted = both.select(cell.alias("cell"), "rows").groupBy("cell").agg(F.sum("rows").alias("n"))
-    pair = F.floor(F.col("cell") / size).cast("int")
-    sums = counted.groupBy(pair.alias("pair")).agg(
+    number = F.col("a") * width + F.col("a") + F.col("step")
+    counted = both.groupBy(number.alias("pair"), "code_a", "code_b").agg(F.sum("rows").alias("n"))
+    sums = counted.groupBy("pair").agg(
         F.sum("n").alias("rows"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n")
     )
     # at most (columns ** 2) / 2 rows from here on
@@ -147,7 +132,7 @@ def target_quality_rank(df: DataFrame, keep: int = 5) -> DataFrame:
     )
     rows = stats.collect()  # one row per column
     known = df.sparkSession.createDataFrame(rows, stats.schema)
-    pairs = associations(df, {r["column_name"]: r["unique_count"] for r in rows})
+    pairs = associations(df, {r["column_name"]: (r["unique_count"], r["cardinality_ratio"]) for r in rows})
     order = W.partitionBy("column_name").orderBy(F.desc("association"), F.asc("partner"))
     usable = pairs.where(F.col("association") <= LEAKAGE).withColumn("place", F.row_number().over(order))
     partner = F.struct("place", "partner")

@@ -17,9 +17,11 @@ from pyspark.sql import types as T
 from tablescope import schema as S
 from tablescope.operators.frequency import unique_stats
 from tablescope.operators.numeric import as_double
-from tablescope.operators.ordering import dense_codes
+from tablescope.operators.lookup import look_up
+from tablescope.operators.ordering import totals_before
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.target import require_column
+from tablescope.session import checkpointed
 
 # Fixed values of the preparation.
 MAX_MISSING = 0.5
@@ -28,7 +30,8 @@ MAX_CATEGORIES = {"logistic_regression": 50, "decision_tree": 100, "gradient_boo
 FEW_CLASSES = 10
 MANY_CLASSES = 50
 BIN_LABELS = ["High", "Low", "Medium"]  # the three bins in code order
-LABELS_IN_PLAN = 10_000  # above this many string classes the codes stay in a table
+MOST_VALUES = 10_000  # distinct values of a column whose list goes through the driver
+LABELS_SHOWN = 10_000  # classes that reports list by name
 
 
 class DegenerateBins(ValueError):
@@ -108,11 +111,36 @@ def label_encode(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     return df.select("*", *codes)
 
 
+def code_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, value, code) for all values of the columns by place, codes 0..k-1 in ascending order, null as MISSING."""
+    cells = [F.struct(F.lit(i).alias("c"), F.coalesce(_text(df, c), F.lit(MISSING)).alias("value")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).distinct()
+    return totals_before(values, ["value"], {"code": F.lit(1)}, within=["c"])
+
+
+def label_encode_by_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``label_encode`` with any number of values: the codes are a table and are joined, column by column."""
+    table = checkpointed(code_table(df, columns))
+    sizes = {r["c"]: r["count"] for r in table.groupBy("c").count().collect()}
+    names = df.columns
+    for i, c in enumerate(columns):
+        facts = table.where(F.col("c") == i).select(F.col("value").alias("of"), (F.col("code") * 1).alias(f"{c}_code"))
+        df = look_up(df, F.coalesce(_text(df, c), F.lit(MISSING)), facts, sizes.get(i, 0))
+    return df.select(*map(S.quoted, names), *[F.col(S.quoted(f"{c}_code")).cast("int").alias(f"{c}_code") for c in columns])
+
+
 def category_values(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Ascending values of each column, MISSING standing for null.
+    """Ascending values of each column, MISSING standing for null; at most MOST_VALUES, counted before."""
+    if not columns:
+        return {}
+    for r in unique_stats(df, columns).collect():
+        if r["unique_count"] > MOST_VALUES:
+            raise ValueError(f"column {r['column_name']!r} has {r['unique_count']} distinct values; use label_encode_by_table")
+    return _listed_values(df, columns)
 
-    Only for columns whose distinct count was checked against the category limit.
-    """
+
+def _listed_values(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The lists of columns whose distinct values were counted."""
     if not columns:
         return {}
     sets = [F.collect_set(F.coalesce(_text(df, c), F.lit(MISSING))).alias(f"v{i}") for i, c in enumerate(columns)]
@@ -218,7 +246,7 @@ def fit_features(
             if unique[c] > max_categories:
                 plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
                 kept.remove(c)
-        plan.encoded = category_values(rows, [c for c in categories if c in kept])
+        plan.encoded = _listed_values(rows, [c for c in categories if c in kept])
 
     plan.features = kept
     plan.numeric = [c for c in kept if c not in plan.encoded]
@@ -269,15 +297,14 @@ def _fit_target(rows: DataFrame, plan: FeaturePlan) -> None:
     else:
         plan.target_conversion = f"numeric_as_is ({distinct} classes)"
     plan.n_classes = distinct
-    if distinct > LABELS_IN_PLAN:
-        # a code list this long stays a table and is joined, not inlined
-        plan.label_codes = dense_codes(rows.select(_text(rows, target).alias("__value")), "__value")
-        return
-    values = rows.select(F.col(S.quoted(target)).alias("value"), _text(rows, target).alias("text")).distinct().collect()
-    if S.is_numeric(data_type):
-        plan.labels = [r["text"] for r in sorted(values, key=lambda r: r["value"])]
-    else:
-        plan.labels = sorted({r["text"] for r in values}, key=lambda v: v.encode())
+    # the codes are a table for any number of classes; numbers go by value, everything else by text
+    text = _text(rows, target).alias("of")
+    order = [F.col(S.quoted(target)).alias("value")] if S.is_numeric(data_type) else []
+    values = rows.select(text, *order).distinct()
+    coded = totals_before(values, ["value"] if order else ["of"], {"code": F.lit(1)})
+    plan.label_codes = checkpointed(coded.select("of", F.col("code").cast("double").alias("__label")))
+    if distinct <= LABELS_SHOWN:
+        plan.labels = [r["of"] for r in plan.label_codes.orderBy("__label").collect()]
 
 
 def feature_columns(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = None) -> DataFrame:
@@ -301,13 +328,8 @@ def with_label(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     rows = drop_null_target(df, plan.target)
     if plan.edges is not None:
         label = _position(quantile_bin3(as_double(rows, plan.target), plan.edges), plan.labels)
-    elif plan.labels is not None:
-        label = _position(_text(rows, plan.target), plan.labels)
-    else:
-        codes = plan.label_codes.withColumnRenamed("code", "__code")
-        rows = rows.join(codes, _text(rows, plan.target) == F.col("__value")).drop("__value")
-        return rows.withColumn("__label", F.col("__code").cast("double")).drop("__code")
-    return rows.withColumn("__label", label.cast("double"))
+        return rows.withColumn("__label", label.cast("double"))
+    return look_up(rows, _text(rows, plan.target), plan.label_codes, plan.n_classes)
 
 
 def scaled_features(df: DataFrame, plan: FeaturePlan, keep: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import schema as S
-from tablescope.functions import DIGEST_PREFIX, LONG_TEXT, compact_text, display, percentage, safe_divide
+from tablescope.functions import LONG_TEXT, compact_text, display, percentage, safe_divide
 
 
 def _key_type(data_type: T.DataType) -> str:
@@ -95,7 +95,7 @@ def restore_long_text(df: DataFrame, found: DataFrame, value: str) -> DataFrame:
         return found
     rows = found.collect()
     local = df.sparkSession.createDataFrame(rows, found.schema)
-    digests = {(r["c"], r[value]) for r in rows if (r[value] or "").startswith(DIGEST_PREFIX)}
+    digests = {(r["c"], r[value]) for r in rows if len(r[value] or "") > LONG_TEXT}
     if not digests:
         return local
     keys = df.sparkSession.createDataFrame(sorted(digests), "c int, __key string")

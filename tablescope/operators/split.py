@@ -1,23 +1,26 @@
 """Exact stratified train/test split, the same on any cluster and any partitioning.
 
-Rows are ordered by a hash of (seed, key).  The first ``quota`` rows of each class train.  The
-cut is the hash at rank quota-1, found as an order statistic, so no class is ever sorted in one
-task and the split itself is a plain filter.
+Rows are ordered by a hash of (seed, key), and the first ``quota`` rows of each class train.  One path
+serves any number of classes: quotas are a frame with a row per class; a count per class and stretch of the
+hash tells in which stretch each class reaches its quota; the values of these stretches alone are counted
+one by one, which gives the hash at the cut.  Rows at the very cut, copies of one key, are numbered where
+they lie, by the number of such rows in the partitions before.  No class, key or stretch is gathered, and
+no class reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope import schema as S
+from tablescope.operators.lookup import look_up
 from tablescope.operators.ordering import totals_before
-from tablescope.operators.quantiles import order_statistics
+from tablescope.session import checkpointed
 
 HASH_DIGITS = 13  # 52 bits, exact as a double
-MAX_CUTS = 200  # classes handled by one cut each
+STRETCHES = 4096  # of the hash, per class
 
 
 def row_hash(keys: list[str], seed: int) -> Column:
@@ -27,21 +30,52 @@ def row_hash(keys: list[str], seed: int) -> Column:
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double")
 
 
-def train_quotas(class_counts: dict, test_size: float) -> dict:
-    """Training rows per class: proportional shares, largest remainders rounded up."""
-    total = sum(class_counts.values())
-    n_train = total - math.ceil(test_size * total)
-    if min(class_counts.values()) < 2:
+def train_quotas(counts: DataFrame, test_size: float) -> DataFrame:
+    """(class, rows) with the training rows of each class: proportional, largest remainders rounded up.
+
+    Ties of remainders go by class.  The sums are one row, the classes stay a frame.
+    """
+    total, classes, fewest = counts.agg(F.sum("rows"), F.count(F.lit(1)), F.min("rows")).first()
+    total = total or 0
+    n_train = total - -int(-(test_size * total) // 1)
+    if not classes or fewest < 2:
         raise ValueError("every class needs at least two rows for a stratified split")
-    if n_train < len(class_counts) or total - n_train < len(class_counts):
+    if n_train < classes or total - n_train < classes:
         raise ValueError("too few rows to put every class on both sides of the split")
-    shares = {c: n_train * n / total for c, n in class_counts.items()}
-    quotas = {c: math.floor(s) for c, s in shares.items()}
-    spare = n_train - sum(quotas.values())
-    by_remainder = sorted(shares, key=lambda c: (-(shares[c] - quotas[c]), c))
-    for c in by_remainder[:spare]:
-        quotas[c] += 1
-    return quotas
+    share = F.lit(float(n_train)) * F.col("rows") / F.lit(float(total))
+    shares = counts.withColumns({"whole": F.floor(share), "left": -(share - F.floor(share))})
+    shares = checkpointed(shares)
+    spare = n_train - shares.agg(F.sum("whole")).first()[0]
+    placed = totals_before(shares, ["left", "class"], {"place": F.lit(1)})
+    return placed.select("class", "rows", (F.col("whole") + F.when(F.col("place") < spare, 1).otherwise(0)).alias("quota"))
+
+
+def by_class(rows: DataFrame, facts: DataFrame, classes: int) -> DataFrame:
+    """``rows`` (with ``__class``) and the columns of their class in ``facts`` (with ``class``, a row each)."""
+    salt = F.xxhash64("__hash", F.spark_partition_id())
+    return look_up(rows, F.col("__class"), facts.withColumnRenamed("class", "of"), classes, salt)
+
+
+def _reached(counts: DataFrame, by: str, before: Column) -> DataFrame:
+    """Of (class, by, n) rows the one in which each class reaches its quota, and the rows below it."""
+    upto = F.sum("n").over(W.partitionBy("class").orderBy(by).rowsBetween(W.unboundedPreceding, -1))
+    below = before + F.coalesce(upto, F.lit(0))
+    found = counts.withColumn("below", below)
+    return found.where((F.col("below") < F.col("quota")) & (F.col("below") + F.col("n") >= F.col("quota")))
+
+
+def class_cuts(hashed: DataFrame, quotas: DataFrame, classes: int) -> DataFrame:
+    """(class, cut, room, ties): the hash at which a class reaches its quota, the places left there, and its rows."""
+    stretch = F.floor(F.col("__hash") / (16**HASH_DIGITS // STRETCHES)).cast("int")
+    counted = hashed.groupBy(F.col("__class").alias("class"), stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
+    known = quotas.select(F.col("class").alias("of"), "quota")
+    counted = counted.join(known, F.col("class").eqNullSafe(F.col("of"))).drop("of")
+    at = checkpointed(_reached(counted, "stretch", F.lit(0)).select("class", "stretch", "quota", "below"))
+
+    inside = by_class(hashed.select("__class", "__hash"), at, classes).where(stretch == F.col("stretch"))
+    values = inside.groupBy(F.col("__class").alias("class"), "__hash", "quota", F.col("below").alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    cut = _reached(values, "__hash", F.col("first"))
+    return cut.select("class", F.col("__hash").alias("__cut"), (F.col("quota") - F.col("below")).alias("__room"), F.col("n").alias("__ties"))
 
 
 def stratified_split(
@@ -50,56 +84,26 @@ def stratified_split(
     """Add ``split`` ('train' / 'test') with exact quotas per class.
 
     ``keys`` should identify a row.  Rows with the same hash at the very cut are numbered to
-    keep the quota exact.
+    keep the quota exact.  A class whose quota is 0 has test rows only; a null label is a class.
     """
-    counts = {r[label]: r["count"] for r in df.groupBy(S.quoted(label)).count().collect()}
+    hashed = df.withColumns({"__hash": row_hash(keys, seed), "__class": F.col(S.quoted(label))})
+    counts = checkpointed(df.groupBy(F.col(S.quoted(label)).alias("class")).agg(F.count(F.lit(1)).alias("rows")))
+    classes = counts.count()
     quotas = train_quotas(counts, test_size)
-    value = row_hash(keys, seed)
-    if len(counts) > MAX_CUTS:
-        return _split_by_place(df.withColumn("__hash", value), label, quotas)
-    names = {f"class_{i}": c for i, c in enumerate(sorted(counts))}
-    in_class = {n: F.when(F.col(S.quoted(label)) == F.lit(c), value) for n, c in names.items()}
-    cuts = order_statistics(
-        df,
-        in_class,
-        {n: [quotas[c] - 1] for n, c in names.items() if quotas[c]},
-        {n: counts[c] for n, c in names.items()},
-    )
-    cut_of = {c: cuts.get((n, quotas[c] - 1), -1.0) for n, c in names.items()}
-    hashed = df.withColumn("__hash", value)
-    cut = F.coalesce(*[F.when(F.col(S.quoted(label)) == F.lit(c), F.lit(cut_of[c])) for c in cut_of])
-
-    at_cut = hashed.where(F.col("__hash") == cut)
-    up_to = {
-        r[label]: (r["below"], r["ties"])
-        for r in hashed.groupBy(S.quoted(label))
-        .agg(F.count_if(F.col("__hash") < cut).alias("below"), F.count_if(F.col("__hash") == cut).alias("ties"))
-        .collect()
-    }
-    need = {c: quotas[c] - up_to[c][0] for c in quotas}
-    if all(need[c] == up_to[c][1] for c in quotas):
-        side = F.when(F.col("__hash") <= cut, "train").otherwise("test")
-        return hashed.withColumn("split", side).drop("__hash")
-
-    # Copies of one key straddle the cut: number them where they lie, without gathering them.
-    numbered = totals_before(at_cut, [], {"__place": F.lit(1)}, within=[label], keep_partitioning=True)
-    room = F.coalesce(*[F.when(F.col(S.quoted(label)) == F.lit(c), F.lit(n)) for c, n in need.items()])
-    ties = numbered.withColumn("split", F.when(F.col("__place") < room, "train").otherwise("test")).drop("__place")
-    side = F.when(F.col("__hash") < cut, "train").otherwise("test")
-    others = hashed.where(F.col("__hash") != cut).withColumn("split", side)
-    return others.unionByName(ties).drop("__hash")
-
-
-def _split_by_place(hashed: DataFrame, label: str, quotas: dict) -> DataFrame:
-    """Split for many classes: each row's place in its class from a distributed ordering."""
-    placed = totals_before(hashed, ["__hash"], {"__place": F.lit(1)}, within=[label])
-    room = hashed.sparkSession.createDataFrame(
-        [(c, q) for c, q in quotas.items()],
-        hashed.select(F.col(S.quoted(label)).alias("__class"), F.lit(0).cast("bigint").alias("__room")).schema,
-    )
-    joined = placed.join(F.broadcast(room), F.col(S.quoted(label)) == F.col("__class"))  # one row per class
-    side = F.when(F.col("__place") < F.col("__room"), "train").otherwise("test")
-    return joined.withColumn("split", side).drop("__hash", "__place", "__class", "__room")
+    cuts = class_cuts(hashed, quotas, classes)
+    none = quotas.where("quota = 0").select("class", F.lit(-1.0).alias("__cut"), F.lit(0).cast("bigint").alias("__room"), F.lit(0).cast("bigint").alias("__ties"))
+    cuts = checkpointed(cuts.unionByName(none))
+
+    placed = by_class(hashed, cuts, classes)
+    own = ["__hash", "__class", "__cut", "__room", "__ties"]
+    if cuts.where("__room < __ties").isEmpty():
+        return placed.withColumn("split", F.when(F.col("__hash") <= F.col("__cut"), "train").otherwise("test")).drop(*own)
+    # copies of one key straddle a cut: number them where they lie, without gathering them
+    straddling = (F.col("__hash") == F.col("__cut")) & (F.col("__room") < F.col("__ties"))
+    numbered = totals_before(placed.where(straddling), [], {"__place": F.lit(1)}, within=["__class"], keep_partitioning=True)
+    ties = numbered.withColumn("split", F.when(F.col("__place") < F.col("__room"), "train").otherwise("test")).drop("__place", *own)
+    side = F.when(F.col("__hash") <= F.col("__cut"), "train").otherwise("test")
+    return placed.where(~straddling).withColumn("split", side).drop(*own).unionByName(ties)
 
 
 def hash_split(df: DataFrame, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:

@@ -12,7 +12,7 @@ from tablescope import schema as S
 from tablescope.functions import analysis_id as new_analysis_id
 from tablescope.operators import evaluate, models
 from tablescope.operators.features import (
-    LABELS_IN_PLAN, MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, report_row, scaled_features,
+    MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, report_row, scaled_features,
     with_label,
 )
 from tablescope.operators.split import stratified_split
@@ -28,6 +28,10 @@ TRAINERS = {
 }
 
 
+MOST_CLASSES = 10_000  # scores of one row are an array of as many numbers
+MATRIX_CLASSES = 200
+
+
 @dataclass
 class Prepared:
     frame: DataFrame  # features vector, label, split
@@ -60,7 +64,7 @@ def prepare(
     keyed = rows.withColumn("__row_key", F.md5(F.concat_ws("\u0001", *cells)))
 
     plan = fit_features(rows, own_target, limit, scale, shown=shown)
-    if plan.n_classes > LABELS_IN_PLAN:
+    if plan.n_classes > MOST_CLASSES:
         raise ValueError(f"target {target!r} has {plan.n_classes} classes, too many to train a classifier")
     if not plan.features:
         raise ValueError("no usable feature is left after the preparation")
@@ -77,13 +81,13 @@ def prepare(
 
 
 def evaluation(scored: DataFrame, n_classes: int) -> dict:
-    """All metrics of both sides as plain numbers (one or two rows per query)."""
+    """All metrics of both sides as plain numbers (one or two rows per query).
+
+    The matrix of all classes is laid out up to MATRIX_CLASSES; beyond, ``confusion_counts`` has its cells.
+    """
     by = ["split"]
-    counts = evaluate.confusion_counts(scored, by).collect()  # classes ** 2 rows per side
-    local = scored.sparkSession.createDataFrame(
-        [(r["split"], int(r["label"]), int(r["prediction"]), r["n"]) for r in counts],
-        "split string, label int, prediction int, n bigint",
-    )
+    # sparse: pairs of classes that occur, never all of them
+    local = checkpointed(evaluate.confusion_counts(scored, by))
     result: dict = {}
     for r in evaluate.accuracy_of(local, by).collect():
         result[f"{r['split']}_accuracy"] = r["accuracy"]
@@ -96,11 +100,12 @@ def evaluation(scored: DataFrame, n_classes: int) -> dict:
     else:
         curve = evaluate.roc_auc_ovr(test, n_classes)
     result["test_roc_auc"] = curve.first()["roc_auc"]
-    matrix = [[0] * n_classes for _ in range(n_classes)]
-    for r in counts:
-        if r["split"] == "test":
+    result["confusion_matrix"] = None
+    if n_classes <= MATRIX_CLASSES:
+        matrix = [[0] * n_classes for _ in range(n_classes)]
+        for r in local.where("split = 'test'").collect():
             matrix[int(r["label"])][int(r["prediction"])] = r["n"]
-    result["confusion_matrix"] = matrix
+        result["confusion_matrix"] = matrix
     return result
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.schema import quoted
+from tablescope.sources.csv_records import read_records
 
 # Fixed values of the inference.
 MISSING_WORDS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None"]
@@ -27,29 +28,38 @@ def normalize_table_name(file_name: str) -> str:
     return stem.replace("-", "_").replace(" ", "_")
 
 
-def read_text_columns(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
-    """All CSV columns as trimmed text, named by the header.
+def table_name_of(file_name: Column) -> Column:
+    """``normalize_table_name`` for a column of file names."""
+    stem = F.regexp_replace(F.regexp_extract(file_name, r"[^/]*$", 0), r"\.[^.]*$", "")
+    return F.translate(stem, "- ", "__")
+
 
-    ``multiline`` allows line breaks inside quotes but makes each file one task.
+def read_texts(spark: SparkSession, path: str | list[str], multiline: bool = False) -> tuple[DataFrame, int]:
+    """All CSV columns as trimmed text, named by the header, and the records that were never closed.
+
+    ``multiline`` allows line breaks inside quotes: the lines of a record are put together first, range
+    by range of the files (``csv_records``).
     """
-    options = dict(quote='"', escape='"', multiLine=multiline)
+    options = dict(quote='"', escape='"')
     first = path if isinstance(path, str) else path[0]
     # read as data: the reader itself would rename headers that collide
-    header = spark.read.csv(first, header=False, **options).first()
+    header = spark.read.csv(first, header=False, multiLine=multiline, **options).first()
     names = [(n or f"_c{i}").strip() for i, n in enumerate(header or [])]
     lowered = [n.lower() for n in names]
     if len(set(lowered)) < len(lowered):
         raise ValueError(f"column names differ only in case or spaces: {names}")
+    options.update(mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    if multiline:
+        records, unclosed = read_records(spark, path)
+        ddl = ", ".join(f"{quoted(n)} string" for n in names)
+        cells = F.from_csv("record", ddl, {k: str(v) for k, v in options.items()})
+        return records.select(cells.alias("cells")).select("cells.*"), unclosed
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(
-        path,
-        header=True,
-        mode="PERMISSIVE",
-        enforceSchema=True,
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
-        **options,
-    )
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options), 0
+
+
+def read_text_columns(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    return read_texts(spark, path, multiline)[0]
 
 
 def infer_types(texts: DataFrame) -> DataFrame:
@@ -156,13 +166,14 @@ def csv_ingest(
     """Load a CSV into a catalog table, replacing it, and report what happened.
 
     Types are voted by all rows, or by the first ``sample_rows``.  Line breaks inside quotes are
-    looked for unless ``multiline`` says; with them each file is one task, which the report
-    tells.  The counts are observed while the rows are written.
+    looked for unless ``multiline`` says; with them records are put together from lines, which the
+    report tells.  A quote that is never closed takes the rest of its file: one rejected row.  The
+    counts are observed while the rows are written.
     """
     if multiline is None:
         multiline = has_broken_lines(spark, path)
     schema = schema or infer_csv_schema(spark, path, sample_rows, multiline)
-    texts = read_text_columns(spark, path, multiline)
+    texts, unclosed = read_texts(spark, path, multiline)
     _, bad = _cells(texts, schema)
     seen = Observation(f"load_{normalize_table_name(table)}")
     watched = texts.observe(
@@ -177,9 +188,10 @@ def csv_ingest(
         "table_name": table,
         "file_size_mb": source_size_mb(spark, path),
         "multiline": multiline,
-        "rows_read": counts["rows_read"],
+        "rows_read": counts["rows_read"] + unclosed,
         "rows_loaded": loaded,
-        "rows_rejected": counts["rows_read"] - loaded,
+        "rows_rejected": counts["rows_read"] + unclosed - loaded,
+        "unclosed_quotes": unclosed,
         "rejected_cells": {f.name: counts[f"rejected_{i}"] for i, f in enumerate(schema.fields)},
     }
 

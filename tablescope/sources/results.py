@@ -1,23 +1,59 @@
-"""The result store: small parquet tables next to the data, changed by append or rewrite."""
+"""The result store: append-only logs, one commit per change, and views of what is committed.
+
+No row is ever rewritten. A change of any number of tables writes its rows to their logs under a new commit
+id, and counts once that id stands in the table of commits, which is written last; until then no reader sees
+any of it. Results are added by rows of kind ``put``; an analysis is removed by a ``delete`` row, which hides
+what was committed up to then; a chosen target is a ``target`` row for the analyses so far; of metadata the
+newest row of a key counts. So writers never lose each other's changes, and nothing is read while it is
+overwritten. A result table as users know it is a view over its log; a reader that keeps the list of commits
+it began with (``committed``, ``results_at``) sees the same rows however many writers follow.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.schema import RESULT_TABLES, quoted, result_schema
-from tablescope.session import checkpointed
+
+COMMITS = "workflow_commits"
+LOG = "workflow_log_"  # before the name of a result table
+#: Everything the store keeps in a namespace; no table of data may be called like these.
+STORE_TABLES = [COMMITS, *[LOG + t for t in RESULT_TABLES], *RESULT_TABLES]
 
 
 def _name(namespace: str, table: str) -> str:
     return f"{quoted(namespace)}.{quoted(table)}"
 
 
+def current_rows_sql(namespace: str, table: str, commits: str | None = None) -> str:
+    """SELECT of a result table's rows; ``commits`` is a relation in place of all commits."""
+    names = [f.name for f in result_schema(table).fields]
+    log = f"""(SELECT l.*, c.at AS __at FROM {_name(namespace, LOG + table)} l JOIN {commits or _name(namespace, COMMITS)} c ON l.__commit = c.commit)"""
+    if table == "workflow_metadata":
+        newest = "struct(updated_at, __at, __commit)"
+        return f"SELECT key, max_by(value, {newest}) AS value, max_by(updated_at, {newest}) AS updated_at FROM {log} GROUP BY key"
+    shown = {n: f"r.{quoted(n)}" for n in names}
+    joins = f"""LEFT JOIN (SELECT analysis_id AS of, max(__at) AS at FROM {log} WHERE __kind = 'delete' GROUP BY analysis_id) d
+        ON r.analysis_id <=> d.of AND r.__at <= d.at"""
+    if table == "workflow_eda_summary":
+        joins += f""" LEFT JOIN (SELECT table_name AS of, max(__at) AS at, max_by(struct(target_column, problem_type), struct(__at, __commit)) AS choice
+            FROM {log} WHERE __kind = 'target' GROUP BY table_name) t ON r.table_name = t.of AND r.__at <= t.at"""
+        for n in ("target_column", "problem_type"):
+            shown[n] = f"IF(t.of IS NULL, r.{n}, t.choice.{n})"
+    columns = ", ".join(f"{v} AS {quoted(n)}" for n, v in shown.items())
+    return f"SELECT {columns} FROM {log} r {joins} WHERE r.__kind = 'put' AND d.at IS NULL"
+
+
 def create_result_tables(spark: SparkSession, namespace: str) -> None:
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(namespace, COMMITS)} (commit STRING, at TIMESTAMP) USING parquet")
     for table, ddl in RESULT_TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(namespace, table)} ({ddl}) USING parquet")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(namespace, LOG + table)} ({ddl}, __kind STRING, __commit STRING) USING parquet")
+        spark.sql(f"CREATE VIEW IF NOT EXISTS {_name(namespace, table)} AS {current_rows_sql(namespace, table)}")
 
 
 def drop_result_tables(spark: SparkSession, namespace: str, confirm: bool = False) -> list[str]:
@@ -25,7 +61,9 @@ def drop_result_tables(spark: SparkSession, namespace: str, confirm: bool = Fals
     if not confirm:
         return []
     for table in RESULT_TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_name(namespace, table)}")
+        spark.sql(f"DROP VIEW IF EXISTS {_name(namespace, table)}")
+        spark.sql(f"DROP TABLE IF EXISTS {_name(namespace, LOG + table)}")
+    spark.sql(f"DROP TABLE IF EXISTS {_name(namespace, COMMITS)}")
     return list(RESULT_TABLES)
 
 
@@ -38,17 +76,41 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*columns)
 
 
-def append_results(df: DataFrame, namespace: str, table: str) -> None:
-    conform(df, result_schema(table)).write.mode("append").insertInto(_name(namespace, table))
+def write_change(df: DataFrame, namespace: str, table: str, commit: str, kind: str = "put") -> None:
+    """Add rows to a table's log under a commit that readers don't know yet."""
+    rows = conform(df, result_schema(table)).withColumns({"__kind": F.lit(kind), "__commit": F.lit(commit)})
+    rows.write.mode("append").insertInto(_name(namespace, LOG + table))
+
+
+def publish(spark: SparkSession, namespace: str, commit: str) -> None:
+    """Make all rows of a commit count, at once."""
+    row = spark.range(1).select(F.lit(commit).alias("commit"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("append").insertInto(_name(namespace, COMMITS))
+    for table in [COMMITS, *[LOG + t for t in RESULT_TABLES]]:
+        spark.catalog.refreshTable(_name(namespace, table))
 
 
-def rewrite_results(df: DataFrame, namespace: str, table: str) -> None:
-    """Replace a result table by a frame that may be derived from it.
+def new_commit() -> str:
+    return uuid.uuid4().hex
 
-    The new rows are checkpointed first, so the table is not read while it is overwritten.
-    """
-    fresh = checkpointed(conform(df, result_schema(table)))
-    fresh.write.mode("overwrite").insertInto(_name(namespace, table), overwrite=True)
+
+def append_results(df: DataFrame, namespace: str, table: str) -> str:
+    """Add rows to a result table as one commit; returns its id."""
+    commit = new_commit()
+    write_change(df, namespace, table, commit)
+    publish(df.sparkSession, namespace, commit)
+    return commit
+
+
+def committed(spark: SparkSession, namespace: str) -> list[str]:
+    """The commits so far: what a reader keeps to see one state (a short list, one entry per change)."""
+    return [r["commit"] for r in spark.table(_name(namespace, COMMITS)).orderBy("at", "commit").collect()]
+
+
+def results_at(spark: SparkSession, namespace: str, table: str, commits: list[str]) -> DataFrame:
+    """A result table as of the given commits."""
+    listed = ", ".join(f"'{c}'" for c in commits) or "''"
+    return spark.sql(current_rows_sql(namespace, table, f"(SELECT * FROM {_name(namespace, COMMITS)} WHERE commit IN ({listed}))"))
 
 
 def save_summary(summary: DataFrame, namespace: str) -> None:
@@ -88,12 +150,12 @@ def without_analysis(frame: DataFrame, analysis_id: str) -> DataFrame:
 
 
 def delete_analysis(spark: SparkSession, namespace: str, analysis_id: str) -> None:
-    """Remove the column statistics first, then the summary."""
-    tables = (
-        "workflow_eda_column_stats", "workflow_target_classes", "workflow_target_stats", "workflow_eda_summary",
-    )
-    for table in tables:
-        rewrite_results(without_analysis(spark.table(_name(namespace, table)), analysis_id), namespace, table)
+    """Hide all rows that an analysis has so far in any table, in one commit."""
+    gone = spark.range(1).select(F.lit(analysis_id).alias("analysis_id"))
+    commit = new_commit()
+    for table in ("workflow_eda_column_stats", "workflow_target_classes", "workflow_target_stats", "workflow_eda_summary"):
+        write_change(gone, namespace, table, commit, "delete")
+    publish(spark, namespace, commit)
 
 
 def merge_metadata(current: DataFrame, changes: DataFrame) -> DataFrame:
@@ -108,8 +170,7 @@ def put_metadata(spark: SparkSession, namespace: str, key: str, value: Column) -
     change = spark.range(1).select(
         F.lit(key).alias("key"), F.to_json(value).alias("value"), F.current_timestamp().alias("updated_at")
     )
-    merged = merge_metadata(spark.table(_name(namespace, "workflow_metadata")), change)
-    rewrite_results(merged, namespace, "workflow_metadata")
+    append_results(change, namespace, "workflow_metadata")
 
 
 def with_selected_target(summaries: DataFrame, table_name: str, target: str, problem_type: str) -> DataFrame:
@@ -126,16 +187,21 @@ def with_selected_target(summaries: DataFrame, table_name: str, target: str, pro
 def select_target(
     spark: SparkSession, namespace: str, table_name: str, target: str, problem_type: str, score: int | None = None
 ) -> None:
-    """Write the choice into the summaries and the workflow metadata."""
-    summaries = spark.table(_name(namespace, "workflow_eda_summary"))
-    rewrite_results(with_selected_target(summaries, table_name, target, problem_type), namespace, "workflow_eda_summary")
+    """Write the choice for the summaries so far and into the workflow metadata, in one commit."""
     choice = F.struct(
         F.lit(target).alias("variable"),
         F.lit(table_name).alias("table"),
         F.lit(problem_type).alias("type"),
         F.lit(score).cast("int").alias("score"),
     )
-    put_metadata(spark, namespace, "target_variable", choice)
+    row = spark.range(1).select(
+        F.lit(table_name).alias("table_name"), F.lit(target).alias("target_column"), F.lit(problem_type).alias("problem_type"),
+        F.lit("target_variable").alias("key"), F.to_json(choice).alias("value"), F.current_timestamp().alias("updated_at"),
+    )
+    commit = new_commit()
+    write_change(row, namespace, "workflow_eda_summary", commit, "target")
+    write_change(row, namespace, "workflow_metadata", commit)
+    publish(spark, namespace, commit)
 
 
 def list_model_results(runs: DataFrame, model_type: str | None = None, table_name: str | None = None) -> DataFrame:

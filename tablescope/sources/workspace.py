@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.schema import RESULT_TABLES, quoted
-from tablescope.sources.results import create_result_tables
+from tablescope.schema import quoted
+from tablescope.sources.results import STORE_TABLES, create_result_tables
 
 PREFIX = "workflow_"
 
@@ -43,7 +43,7 @@ def table_exists(spark: SparkSession, namespace: str, table: str) -> tuple[bool,
 def find_data_table(spark: SparkSession, namespace: str) -> str | None:
     """First table of the namespace that is not one of the result tables."""
     names = sorted(t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary)
-    return next((n for n in names if n not in RESULT_TABLES), None)
+    return next((n for n in names if n not in STORE_TABLES), None)
 
 
 def table_scan(spark: SparkSession, namespace: str, table: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.operators import evaluate, features, models, split, trees
+from tablescope.operators import evaluate, features, lookup, models, split, trees
 from tablescope.operators.ordering import dense_codes, totals_before
 from tablescope.plans.training import prepare, train_and_evaluate
 
@@ -93,6 +93,64 @@ def test_split_with_many_classes(spark):
     assert {r["count"] for r in done.where("split = 'train'").groupBy("y").count().collect()} == {8}
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_split_of_many_classes_with_one_shared_key(spark, monkeypatch, broadcast):
+    """300 classes, one of a third of all rows, and a key that every class shares in many copies."""
+    monkeypatch.setattr(lookup, "MOST_BROADCAST", broadcast)
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 300).alias("y"),
+        F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("row"),
+    ).repartition(11)
+    done = split.stratified_split(df, "y", ["k"])
+    assert done.columns == ["y", "k", "row", "split"] and done.select("row").distinct().count() == done.count() == 12_000
+    sizes = {r["y"]: (r["n"], r["t"]) for r in done.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("t")).collect()}
+    assert sum(t for _, t in sizes.values()) == 9600
+    assert all(abs(t - 0.8 * n) < 1 for n, t in sizes.values())
+    # every row below the cut of its class trains, every row above it doesn't
+    value = split.row_hash(["k"], 42)
+    edges = done.withColumn("h", value).groupBy("y").agg(F.max(F.when(F.col("split") == "train", F.col("h"))).alias("a"), F.min(F.when(F.col("split") == "test", F.col("h"))).alias("b"))
+    assert edges.where("a > b").isEmpty()
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_twenty_thousand_classes_are_encoded_and_evaluated_like_three(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lookup, "MOST_BROADCAST", broadcast)
+    for classes in (3, 20_000):
+        df = spark.range(60_000).select((F.col("id") * 1.0).alias("x"), F.format_string("c%05d", F.col("id") % classes).alias("y"))
+        plan = features.fit_features(df, "y")
+        assert plan.n_classes == classes and (plan.labels is None) == (classes > features.LABELS_SHOWN)
+        coded = features.apply_features(df, plan, ["y"])
+        assert coded.where("label <> cast(substring(y, 2, 5) AS double)").isEmpty() and coded.count() == 60_000
+        scored = coded.withColumn("prediction", F.when(F.col("x") % 5 == 0, 0.0).otherwise(F.col("label")))
+        row = evaluate.precision_recall_f1(scored, classes).first()
+        share = scored.where("prediction = label").count() / 60_000
+        assert row["recall"] == pytest.approx(share)
+    assert evaluate.confusion_counts(scored).count() < 2 * 20_000
+
+
+def test_codes_by_table_equal_codes_by_list(spark, monkeypatch):
+    df = spark.createDataFrame([("b", True, 1), ("a", None, 2), (None, False, 3), ("c", True, 4), ("a", True, 5)], "s string, t boolean, i int")
+    values = features.category_values(df, ["s", "t"])
+    by_list = sorted(map(tuple, features.label_encode(df, values).collect()), key=repr)
+    for broadcast in (50_000, 0):
+        monkeypatch.setattr(lookup, "MOST_BROADCAST", broadcast)
+        table = features.label_encode_by_table(df, ["s", "t"])
+        assert table.columns == ["s", "t", "i", "s_code", "t_code"] and sorted(map(tuple, table.collect()), key=repr) == by_list
+    monkeypatch.setattr(features, "MOST_VALUES", 2)
+    with pytest.raises(ValueError, match="distinct values"):
+        features.category_values(df, ["s"])
+
+
+def test_quotas_round_up_the_largest_remainders(spark):
+    counts = spark.createDataFrame([("a", 7), ("b", 5), ("c", 5), ("d", 3)], "class string, rows bigint")
+    got = {r["class"]: r["quota"] for r in split.train_quotas(counts, 0.3).collect()}
+    assert got == {"a": 5, "b": 4, "c": 3, "d": 2}
+    for rows in ([("a", 2), ("b", 1)], [("a", 2), ("b", 2)], []):
+        with pytest.raises(ValueError):
+            split.train_quotas(spark.createDataFrame(rows, "class string, rows bigint"), 0.2)
+
+
 def test_split_needs_two_rows_per_class(spark):
     with pytest.raises(ValueError, match="two rows"):
         split.stratified_split(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, y string"), "y", ["id"])

@@ -1,6 +1,7 @@
 """Hand-computed answers and properties of the profiler."""
 
 import datetime
+import hashlib
 import math
 
 import numpy as np
@@ -193,3 +194,25 @@ def test_plans_stay_narrow(spark, table):
     plan = frequency.top_values(li, ["l_suppkey", "l_partkey"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in plan or "l_extendedprice" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_ties_of_texts_of_255_to_257_characters(spark):
+    """One order for all lengths: by text, only longer ones with the same first 256 characters go by digest."""
+    texts = [c * n for n in (3, 255, 256, 257, 300) for c in "ba"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r["value"] for r in frequency.top_values(df, limit=20).orderBy("rank").collect()]
+    key = lambda t: t if len(t) <= 256 else t[:256] + hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted(texts, key=key)
+    assert got[:3] == ["aaa", "a" * 255, "a" * 256] and frequency.frequency_summary(df).first()["mode_value"] == "aaa"
+
+
+def test_duplicates_by_digest(spark):
+    """Nulls, neighbours that run together, zeros of both signs, NaN, nested and binary cells."""
+    rows = [
+        ("ab", "c", 0.0, [1], b"x"), ("ab", "c", -0.0, [1], b"x"), ("a", "bc", 0.0, [1], b"x"), (None, "c", float("nan"), None, None),
+        (None, "c", float("nan"), None, None), ("-", "c", float("nan"), None, None), ("", None, None, [], b""), (None, "", None, [None], b""),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, x double, l array<int>, z binary")
+    row = tables.duplicate_rows(df).first()
+    assert (row["total_rows"], row["duplicate_rows"]) == (8, 2)
+    assert tables.duplicate_rows(df.where("false")).first()["duplicate_rows"] == 0

@@ -21,6 +21,52 @@ bad,5,z
 """
 
 
+def records_of(spark, folder, content, name="t.csv", chunk=None):
+    """Records of a file cut into ranges of ``chunk`` bytes, beside those of the reader that takes a file in one task."""
+    path = folder / name
+    path.write_bytes(content.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, str(chunk or 1 << 27))
+    try:
+        texts, unclosed = csv.read_texts(spark, str(path), multiline=True)
+        tasks = spark.read.text(str(path)).rdd.getNumPartitions()
+        rows = [tuple(r) for r in texts.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = spark.read.schema(texts.schema).csv(
+        str(path), header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    return rows, [tuple(r) for r in whole.collect()], unclosed, tasks
+
+
+@pytest.mark.parametrize("chunk", [7, 40, 333, 1 << 27])
+def test_quoted_line_breaks_over_ranges(spark, tmp_path, chunk):
+    cells = ['plain', '"a, b"', '"two\nlines"', '"three\n\n""quoted"", lines"', '', '"x\n' + "y\n" * 30 + 'z"', ' "spaces" ', '5" pipe', '""', '"x ""q""\n,y"', '"a""\n"""']
+    lines = ["id,first,second"] + [f"{i},{cells[i % 11]},{cells[(i * 7 + i // 11) % 11]}" for i in range(120)]
+    rows, whole, unclosed, tasks = records_of(spark, tmp_path, "\n".join(lines) + "\n", chunk=chunk)
+    assert sorted(rows, key=repr) == sorted(whole, key=repr) and len(rows) == 120 and unclosed == 0
+    assert tasks > 10 or chunk > 300
+
+
+@pytest.mark.parametrize("chunk", [9, 60, 1 << 27])
+def test_unclosed_quote_is_one_rejected_row(spark, tmp_path, chunk):
+    content = 'a,b\n1,x\n2,"y\ny"\n3,"never\n4,closed\n' + "5,z\n" * 50
+    rows, _, unclosed, _ = records_of(spark, tmp_path, content, chunk=chunk)
+    assert sorted(rows) == [("1", "x"), ("2", "y\ny")] and unclosed == 1
+    report = csv.csv_ingest(spark, str(tmp_path / "t.csv"), f"unclosed_{chunk}")
+    assert (report["rows_read"], report["rows_loaded"], report["rows_rejected"], report["unclosed_quotes"]) == (3, 2, 1, 1)
+
+
+def test_header_over_ranges_and_several_files(spark, tmp_path):
+    rows, whole, _, _ = records_of(spark, tmp_path, '"a\n' + "a" * 50 + '",b\n1,"x\n"\n\n2,y', chunk=8)
+    assert sorted(rows) == sorted(whole) == [("1", "x\n"), ("2", "y")]
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_text(f'a,b\n{i},"u\nv"\n')
+    texts = csv.read_text_columns(spark, [str(tmp_path / f"f{i}.csv") for i in range(3)], multiline=True)
+    assert sorted(map(tuple, texts.collect())) == [(str(i), "u\nv") for i in range(3)]
+
+
 def test_tolerant_csv(spark, tmp_path):
     path = tmp_path / "my-data file.csv"
     path.write_text(CSV)
@@ -164,3 +210,41 @@ def test_upload_train_report(spark, tmp_path):
     assert len(exported["column_statistics"]) == 4
     with pytest.raises(ValueError, match="unsupported"):
         export.export_results(stats, stats, path, "xml")
+
+
+def summaries(spark, *rows):
+    return spark.createDataFrame([(a, t, n) for a, t, n in rows], "analysis_id string, table_name string, total_rows bigint")
+
+
+def test_interleaved_writers_lose_nothing(spark):
+    """Two writers begin, write and publish across each other; a pinned reader sees neither, a later one both."""
+    namespace = workspace.workflow_namespace(workspace.create_workflow(spark))
+    table = f"{namespace}.workflow_eda_summary"
+    results.append_results(summaries(spark, ("a", "t", 1)), namespace, "workflow_eda_summary")
+    pinned = results.committed(spark, namespace)
+    first, second = results.new_commit(), results.new_commit()
+    results.write_change(summaries(spark, ("b", "t", 2)), namespace, "workflow_eda_summary", first)
+    results.write_change(summaries(spark, ("c", "t", 3)), namespace, "workflow_eda_summary", second)
+    assert [r.analysis_id for r in spark.table(table).collect()] == ["a"]
+    results.publish(spark, namespace, second)
+    assert sorted(r.analysis_id for r in spark.table(table).collect()) == ["a", "c"]
+    results.delete_analysis(spark, namespace, "a")
+    results.publish(spark, namespace, first)
+    assert sorted(r.analysis_id for r in spark.table(table).collect()) == ["b", "c"]
+    old = results.results_at(spark, namespace, "workflow_eda_summary", pinned)
+    assert [tuple(r)[:2] for r in old.collect()] == [("a", "t")] and old.columns == spark.table(table).columns
+    results.append_results(summaries(spark, ("a", "t", 9)), namespace, "workflow_eda_summary")
+    assert {r.analysis_id: r.total_rows for r in spark.table(table).collect()} == {"a": 9, "b": 2, "c": 3}
+
+
+def test_a_choice_holds_for_the_analyses_so_far(spark):
+    namespace = workspace.workflow_namespace(workspace.create_workflow(spark))
+    results.append_results(summaries(spark, ("a", "t", 1), ("b", "other", 1)), namespace, "workflow_eda_summary")
+    results.select_target(spark, namespace, "t", "x", "regression")
+    results.select_target(spark, namespace, "t", "y", "binary_classification", 7)
+    results.append_results(summaries(spark, ("c", "t", 1)), namespace, "workflow_eda_summary")
+    rows = {r.analysis_id: (r.target_column, r.problem_type) for r in spark.table(f"{namespace}.workflow_eda_summary").collect()}
+    assert rows == {"a": ("y", "binary_classification"), "b": (None, None), "c": (None, None)}
+    kept = spark.table(f"{namespace}.workflow_metadata").collect()
+    assert [(r.key, json.loads(r.value)["variable"]) for r in kept] == [("target_variable", "y")]
+    assert workspace.find_data_table(spark, namespace) is None
