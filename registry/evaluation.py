@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from registry.common import read
 from tablescope.operators import evaluate, features, models
-from tablescope.plans.training import prepare, train_and_evaluate
+from tablescope.plans.training import cross_validate, prepare, train_and_evaluate
 
 
 def _binary(spark, sf):
@@ -170,6 +170,19 @@ def _structure_of_sizes(spark, sf):
     return importance.select("feature", F.round("importance", 9).alias("importance"), F.lit(facts["tree_depth"]).alias("tree_depth"), F.lit(facts["n_leaves"]).alias("n_leaves"))
 
 
+def _out_of_fold(spark, sf):
+    """Every line once, in the fold of its order, scored by a tree that saw no line of that order."""
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(_THREE_SIZES).alias("target"))
+    done = cross_validate(df, "target", "decision_tree", ["l_orderkey"], folds=4, keep=["l_orderkey", "l_linenumber"])
+    return done.scored.select("fold", "l_orderkey", "l_linenumber", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def _out_of_fold_metrics(spark, sf):
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(_THREE_SIZES).alias("target"))
+    done = cross_validate(df, "target", "gradient_boosting", ["l_orderkey"], folds=4, n_estimators=3, max_depth=2)
+    return done.metrics.select("fold", "rows", "accuracy", "precision", "recall", "f1")
+
+
 def _first_coefficient(spark, sf):
     """The feature that decides has the largest coefficient, with the sign of its codes."""
     prepared = prepare(_flagged(spark, sf, "l_linestatus"), "target", "logistic_regression")
@@ -223,6 +236,8 @@ QUERIES = {
     "tree_structure_importance": _structure_of_sizes,
     "logistic_predictions": _logistic_predictions,
     "coef_importance_first": _first_coefficient,
+    "out_of_fold_scores": _out_of_fold,
+    "out_of_fold_metrics": _out_of_fold_metrics,
     "score": _score,
     "tree_structure": _tree_structure,
     "coef_importance": _importance("logistic_regression", models.train_logistic),
@@ -249,7 +264,12 @@ def _auc(source: str, positive: str, score: str, by: str = "1") -> str:
 
 _SIZES = f"SELECT l_quantity::DOUBLE AS l_quantity, {_THREE_SIZES} AS prediction, count(*) AS count FROM lineitem GROUP BY ALL"
 
+_FOLD = "CAST(floor(CAST('0x' || substring(md5('42-' || l_orderkey), 1, 13) AS BIGINT)::DOUBLE * 4 / 4503599627370496) AS INTEGER)"
+
 SQL = {
+    "out_of_fold_scores": f"SELECT {_FOLD} AS fold, l_orderkey, l_linenumber, {_THREE_SIZES} AS label, {_THREE_SIZES} AS prediction FROM lineitem",
+    "out_of_fold_metrics": f"""SELECT {_FOLD} AS fold, count(*) AS rows, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall,
+        1.0::DOUBLE AS f1 FROM lineitem GROUP BY 1""",
     "accuracy": f"SELECT split, round(avg(CAST(label = prediction AS INTEGER)), 6) AS accuracy FROM {_BINARY} GROUP BY split",
     "precision_recall_f1_binary": f"""SELECT split, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1
         FROM {_class_metrics(_BINARY)} WHERE k = 1""",

@@ -47,7 +47,14 @@ _TEXTS = """(SELECT url AS value FROM pages UNION ALL SELECT c_name FROM custome
     UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT p_name FROM part
     UNION ALL SELECT '+' || (p_partkey + 1000000) FROM part)"""
 
+def _profile_embeddings(spark, sf):
+    """A table with a column of an unsupported type, some of it null: its shares stand beside the full statistics of others."""
+    df = read(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
+    return column_profile(df).select("column_name", "data_type", "total_count", F.round("null_percentage", 6).alias("null_percentage"), "unique_count", "max_value")
+
+
 QUERIES = {
+    "profile_embeddings": _profile_embeddings,
     "table_summary": lambda spark, sf: tables.table_summary(
         orders_copies(spark, sf), "orders", target="o_orderstatus", exclude=["o_orderkey"]
     ),
@@ -194,6 +201,11 @@ _BASIC = _per_column(
 _TYPES = "CASE column_name " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in LI.items()) + " END AS data_type"
 
 SQL = {
+    "profile_embeddings": """WITH e AS (SELECT * REPLACE (CASE WHEN vec_id % 7 <> 0 THEN embedding END AS embedding) FROM embeddings)
+        SELECT 'vec_id' AS column_name, 'bigint' AS data_type, count(*) AS total_count, round((count(*) - count(vec_id)) * 100.0::DOUBLE / count(*), 6) AS null_percentage,
+        count(DISTINCT vec_id) AS unique_count, CAST(max(vec_id) AS VARCHAR) AS max_value FROM e
+        UNION ALL SELECT 'embedding', 'array<float>', count(*), round((count(*) - count(embedding)) * 100.0::DOUBLE / count(*), 6), NULL, NULL FROM e
+        UNION ALL SELECT 'label', 'int', count(*), round((count(*) - count(label)) * 100.0::DOUBLE / count(*), 6), count(DISTINCT label), CAST(max(label) AS VARCHAR) FROM e""",
     "table_summary": f"""SELECT 'orders' AS table_name, count(*) AS total_rows, 5 AS total_columns, count(*) - d AS duplicate_rows,
         round((count(*) - d) * 100.0 / count(*), 2) AS duplicate_percentage, 'o_orderstatus' AS target_column,
         'supervised' AS analysis_type FROM {ORDERS_COPIES}, (SELECT count(*) AS d FROM (SELECT DISTINCT * FROM {ORDERS_COPIES}))

@@ -7,6 +7,7 @@ numeric feature columns plus ``label`` without a shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
@@ -160,11 +161,15 @@ def missing_shares(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, in
 def tertile_edges(df: DataFrame, column: str) -> tuple[float, float]:
     low, high = exact_quantiles(df, {column: as_double(df, column)}, [1 / 3, 2 / 3])[column]
     row = df.agg(F.min(as_double(df, column)), F.max(as_double(df, column))).first()
-    if len({row[0], low, high, row[1]}) < 4:
-        raise DegenerateBins(f"column {column!r} is too concentrated for three quantile bins")
+    _check_edges(column, (row[0], row[1]), (low, high))
     return low, high
 
 
+def _check_edges(column: str, ends: tuple, edges: tuple) -> None:
+    if len({*ends, *edges}) < 4:
+        raise DegenerateBins(f"column {column!r} is too concentrated for three quantile bins")
+
+
 def quantile_bin3(value: Column, edges: tuple[float, float]) -> Column:
     """Low / Medium / High with right-closed bins."""
     return F.when(value <= F.lit(edges[0]), "Low").when(value <= F.lit(edges[1]), "Medium").when(value.isNotNull(), "High")
@@ -213,13 +218,13 @@ def fit_features(
     require_column(df, target)
     plan = FeaturePlan(target, original_features=len(df.columns) - 1, shown=shown or {})
     names = [c for c in df.columns if c != target]
-    all_rows, null_targets = missing_shares(df, [target])
-    plan.original_rows, plan.rows_dropped = all_rows, null_targets[target]
+    base = base_statistics(df, target, names, fit_on)
+    plan.original_rows, plan.rows_dropped = base["rows"], base["null_targets"]
     rows = drop_null_target(df, target)
     if fit_on is not None:
         rows = rows.where(fit_on)
 
-    count, missing = missing_shares(rows, names)
+    count, missing = base["used"], base["missing"]
     kept = []
     for c in names:
         if count and missing[c] / count > MAX_MISSING:
@@ -239,29 +244,92 @@ def fit_features(
         boolean = isinstance(df.schema[c].dataType, T.BooleanType)
         return S.is_text(df.schema[c].dataType) or (boolean and missing[c] > 0)
 
+    # distinct values of all candidates and of the target, from one frequency count
     categories = [c for c in kept if is_category(c)]
-    if categories:
-        unique = {r["column_name"]: r["unique_count"] for r in unique_stats(rows, categories).collect()}
-        for c in categories:
-            if unique[c] > max_categories:
-                plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
-                kept.remove(c)
-        plan.encoded = _listed_values(rows, [c for c in categories if c in kept])
+    unique = {r["column_name"]: r["unique_count"] for r in unique_stats(rows, [*categories, target]).collect()}
+    for c in categories:
+        if unique[c] > max_categories:
+            plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
+            kept.remove(c)
+    frequencies = listed_frequencies(rows, [c for c in categories if c in kept])
+    plan.encoded = {c: list(found) for c, found in frequencies.items()}
 
     plan.features = kept
     plan.numeric = [c for c in kept if c not in plan.encoded]
     plan.decisions.update({plan.shown.get(c, c): "encoded" if c in plan.encoded else "numeric" for c in kept})
     gaps = [c for c in plan.numeric if missing[c]]
-    if gaps:
-        medians = exact_quantiles(rows, {c: as_double(df, c) for c in gaps}, [0.5])
-        plan.medians = {c: m[0] for c, m in medians.items() if m is not None}
-        plan.missing_values_handled = sum(missing[c] for c in gaps)
-    _fit_target(rows, plan)
-    if scale and kept:
-        plan.scaling = scaling_of(feature_columns(rows, plan), kept)
+    binned = S.is_numeric(df.schema[target].dataType) and unique[target] > MANY_CLASSES
+    # medians and the target's tertiles are one search for order statistics
+    wanted = {c: as_double(rows, c) for c in [*gaps, *([target] if binned else [])]}
+    found = exact_quantiles(rows, wanted, [1 / 3, 0.5, 2 / 3]) if wanted else {}
+    plan.medians = {c: found[c][1] for c in gaps if found[c] is not None}
+    plan.missing_values_handled = sum(missing[c] for c in gaps)
+    edges = None
+    if binned:
+        edges = found[target][0], found[target][2]
+        _check_edges(target, base["target_range"], edges)
+    _fit_target(rows, plan, unique[target], edges)
+    if scale:
+        plan.scaling = {c: _scaling_of(c, plan, base, frequencies) for c in kept}
     return plan
 
 
+def base_statistics(df: DataFrame, target: str, names: list[str], fit_on: Column | None = None) -> dict:
+    """Rows, null targets, and over the rows that count: missing cells, means and variances. One aggregate."""
+    used = ~is_missing(df, target)
+    if fit_on is not None:
+        used = used & F.coalesce(fit_on, F.lit(False))
+    exprs = [F.count(F.lit(1)).alias("rows"), F.count_if(is_missing(df, target)).alias("null_targets"), F.count_if(used).alias("used")]
+    numbers = [i for i, c in enumerate(names) if S.is_numeric(df.schema[c].dataType) or isinstance(df.schema[c].dataType, T.BooleanType)]
+    for i, c in enumerate(names):
+        exprs.append(F.count_if(used & is_missing(df, c)).alias(f"m{i}"))
+    for i in numbers:
+        value = F.when(used, as_double(df, names[i]))
+        exprs += [F.avg(value).alias(f"a{i}"), F.var_pop(value).alias(f"v{i}")]
+    if S.is_numeric(df.schema[target].dataType):
+        value = F.when(used, as_double(df, target))
+        exprs += [F.min(value).alias("low"), F.max(value).alias("high")]
+    row = df.agg(*exprs).first().asDict()
+    return {
+        "rows": row["rows"], "null_targets": row["null_targets"], "used": row["used"],
+        "missing": {c: row[f"m{i}"] for i, c in enumerate(names)},
+        "moments": {names[i]: (row[f"a{i}"], row[f"v{i}"]) for i in numbers},
+        "target_range": (row.get("low"), row.get("high")),
+    }
+
+
+def listed_frequencies(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Rows per value, ascending by value, of columns whose distinct values were counted; null is MISSING."""
+    if not columns:
+        return {}
+    cells = [F.struct(F.lit(i).alias("c"), F.coalesce(_text(df, c), F.lit(MISSING)).alias("value")) for i, c in enumerate(columns)]
+    counted = df.select(F.inline(F.array(*cells))).groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
+    found: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for r in sorted(counted.collect(), key=lambda r: (r["c"], r["value"].encode())):
+        found[columns[r["c"]]][r["value"]] = r["n"]
+    return found
+
+
+def _scaling_of(column: str, plan: FeaturePlan, base: dict, frequencies: dict) -> tuple[float | None, float | None]:
+    """Mean and population deviation of a feature after encoding and imputing, from the statistics at hand."""
+    if column in frequencies:
+        counts = list(frequencies[column].values())
+        total = sum(counts)
+        if not total:
+            return None, None
+        mean = sum(i * n for i, n in enumerate(counts)) / total
+        return mean, math.sqrt(sum(n * (i - mean) ** 2 for i, n in enumerate(counts)) / total)
+    mean, variance = base["moments"][column]
+    if mean is None:
+        return None, None
+    filled = base["missing"][column] if column in plan.medians else 0
+    known = base["used"] - base["missing"][column]
+    value = plan.medians.get(column, 0.0)
+    whole = (known * mean + filled * value) / (known + filled)
+    spread = (known * (variance + (mean - whole) ** 2) + filled * (value - whole) ** 2) / (known + filled)
+    return whole, math.sqrt(spread)
+
+
 def target_policy(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """How each column would be turned into classes if it were the target."""
     stats = unique_stats(df, columns)
@@ -281,17 +349,15 @@ def column_decisions(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     return df.sparkSession.createDataFrame(list(plan.decisions.items()), "column_name string, decision string")
 
 
-def _fit_target(rows: DataFrame, plan: FeaturePlan) -> None:
+def _fit_target(rows: DataFrame, plan: FeaturePlan, distinct: int, edges: tuple[float, float] | None) -> None:
     """Codes of the target: categories, numeric classes as they are, or three quantile bins."""
     target, data_type = plan.target, rows.schema[plan.target].dataType
-    distinct = unique_stats(rows, [target]).first()["unique_count"]
-    if not S.is_numeric(data_type):
-        plan.target_conversion = "categorical_encoded"
-    elif distinct > MANY_CLASSES:
+    if edges is not None:
         plan.target_conversion = "continuous_to_3_classes (Low, Medium, High)"
-        plan.edges = tertile_edges(rows, target)
-        plan.labels, plan.n_classes = list(BIN_LABELS), len(BIN_LABELS)
+        plan.edges, plan.labels, plan.n_classes = edges, list(BIN_LABELS), len(BIN_LABELS)
         return
+    if not S.is_numeric(data_type):
+        plan.target_conversion = "categorical_encoded"
     elif distinct <= FEW_CLASSES:
         plan.target_conversion = f"numeric_categorical ({distinct} classes)"
     else:

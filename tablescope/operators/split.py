@@ -30,10 +30,11 @@ def row_hash(keys: list[str], seed: int) -> Column:
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double")
 
 
-def train_quotas(counts: DataFrame, test_size: float) -> DataFrame:
-    """(class, rows) with the training rows of each class: proportional, largest remainders rounded up.
+def train_quotas(counts: DataFrame, test_size: float) -> tuple[DataFrame, int]:
+    """(class, rows, quota) with the training rows of each class, and the number of classes.
 
-    Ties of remainders go by class.  The sums are one row, the classes stay a frame.
+    Quotas are proportional, largest remainders rounded up; ties of remainders go by class.  The sums
+    are one row, the classes stay a frame.
     """
     total, classes, fewest = counts.agg(F.sum("rows"), F.count(F.lit(1)), F.min("rows")).first()
     total = total or 0
@@ -44,10 +45,10 @@ def train_quotas(counts: DataFrame, test_size: float) -> DataFrame:
         raise ValueError("too few rows to put every class on both sides of the split")
     share = F.lit(float(n_train)) * F.col("rows") / F.lit(float(total))
     shares = counts.withColumns({"whole": F.floor(share), "left": -(share - F.floor(share))})
-    shares = checkpointed(shares)
     spare = n_train - shares.agg(F.sum("whole")).first()[0]
     placed = totals_before(shares, ["left", "class"], {"place": F.lit(1)})
-    return placed.select("class", "rows", (F.col("whole") + F.when(F.col("place") < spare, 1).otherwise(0)).alias("quota"))
+    quota = F.col("whole") + F.when(F.col("place") < spare, 1).otherwise(0)
+    return placed.select("class", "rows", quota.alias("quota")), classes
 
 
 def by_class(rows: DataFrame, facts: DataFrame, classes: int) -> DataFrame:
@@ -88,8 +89,7 @@ def stratified_split(
     """
     hashed = df.withColumns({"__hash": row_hash(keys, seed), "__class": F.col(S.quoted(label))})
     counts = checkpointed(df.groupBy(F.col(S.quoted(label)).alias("class")).agg(F.count(F.lit(1)).alias("rows")))
-    classes = counts.count()
-    quotas = train_quotas(counts, test_size)
+    quotas, classes = train_quotas(counts, test_size)
     cuts = class_cuts(hashed, quotas, classes)
     none = quotas.where("quota = 0").select("class", F.lit(-1.0).alias("__cut"), F.lit(0).cast("bigint").alias("__room"), F.lit(0).cast("bigint").alias("__ties"))
     cuts = checkpointed(cuts.unionByName(none))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope import schema as S
@@ -15,7 +15,7 @@ from tablescope.operators.features import (
     MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, report_row, scaled_features,
     with_label,
 )
-from tablescope.operators.split import stratified_split
+from tablescope.operators.split import HASH_DIGITS, row_hash, stratified_split
 from tablescope.operators.target import require_column
 from tablescope.plans.insights import flat_runs, recommendation_codes
 from tablescope.session import checkpointed
@@ -191,3 +191,65 @@ def train_and_evaluate(
     codes = flat_runs(row).select("analysis_id", recommendation_codes().alias("codes"))
     row = row.drop("recommendations").join(codes, "analysis_id").withColumnRenamed("codes", "recommendations")
     return TrainingRun(conform(row, schema), importance, scored, trained)
+
+
+def fold_of(keys: list[str], folds: int, seed: int = 42) -> Column:
+    """Fold 0..folds-1 of a row by the hash of its key; copies of a key share a fold."""
+    return F.floor(row_hash(keys, seed) * folds / 16**HASH_DIGITS).cast("int")
+
+
+@dataclass
+class OutOfFold:
+    scored: DataFrame  # fold, label, prediction, scores: every usable row once, by a model that did not see it
+    metrics: DataFrame  # one row per fold
+    models: list[models.TrainedModel]
+
+
+def cross_validate(
+    df: DataFrame,
+    target: str,
+    model_type: str,
+    keys: list[str] | None = None,
+    folds: int = 5,
+    seed: int = 42,
+    keep: list[str] | None = None,
+    **parameters,
+) -> OutOfFold:
+    """Train ``folds`` times, each time without one fold, and score that fold.
+
+    Labels are coded once over all rows; which columns are used, codes, medians and scaling are learnt
+    anew from the other folds, so nothing of a fold is known to the model that scores it.  A fold without
+    rows is skipped.  ``keep`` names columns that the scored frame carries along.
+    """
+    if folds < 2:
+        raise ValueError("at least two folds are needed")
+    require_column(df, target)
+    shown = {f"f{i}": c for i, c in enumerate(df.columns)}
+    place = {c: n for n, c in shown.items()}
+    kept = {c: f"__keep{i}" for i, c in enumerate(keep or [])}
+    rows = df.toDF(*shown)
+    rows = rows.withColumns({"__fold": fold_of([place[k] for k in keys or df.columns], folds, seed), **{n: F.col(place[c]) for c, n in kept.items()}})
+    whole = fit_features(rows.select(*shown), place[target], MAX_CATEGORIES[model_type], shown=shown)
+    labelled = checkpointed(with_label(rows, whole))
+    parts, trained = [], []
+    for fold in sorted(r["__fold"] for r in labelled.select("__fold").distinct().collect()):  # at most ``folds`` numbers
+        side = F.when(F.col("__fold") == fold, "test").otherwise("train")
+        learned = fit_features(labelled.where(F.col("__fold") != fold).select(*shown), place[target], MAX_CATEGORIES[model_type], model_type == "logistic_regression", shown=shown)
+        if not learned.features:
+            raise ValueError("no usable feature is left after the preparation")
+        own = ["__fold", "__label", "split", *kept.values()]
+        frame = assemble_features(scaled_features(labelled.withColumn("split", side), learned, own), learned).withColumnRenamed("__label", "label")
+        frame = checkpointed(frame)
+        model = TRAINERS[model_type](frame, [shown[c] for c in learned.features], whole.n_classes, **parameters)
+        trained.append(model)
+        scored = models.score(model, frame.where("split = 'test'"))
+        parts.append(scored.select(F.col("__fold").alias("fold"), "label", "prediction", "scores", *[F.col(n).alias(c) for c, n in kept.items()]))
+    if not parts:
+        raise ValueError("there are no rows to train on")
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    scored = checkpointed(scored)
+    counts = evaluate.confusion_counts(scored, ["fold"])
+    metrics = evaluate.accuracy_of(counts, ["fold"]).join(evaluate.precision_recall_f1_of(counts, whole.n_classes, ["fold"]), "fold")
+    return OutOfFold(scored, metrics.join(scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows")), "fold"), trained)

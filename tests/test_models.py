@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablescope.operators import evaluate, features, lookup, models, split, trees
 from tablescope.operators.ordering import dense_codes, totals_before
-from tablescope.plans.training import prepare, train_and_evaluate
+from tablescope.plans.training import cross_validate, prepare, train_and_evaluate
 
 
 def learnable(spark, n=600):
@@ -54,6 +54,23 @@ def test_tertiles(spark):
         features.tertile_edges(hot, "y")
 
 
+def test_scaling_from_statistics_equals_the_scaled_columns(spark):
+    """Means and deviations after encoding and imputing come from counts and moments, not from another pass."""
+    rng = np.random.default_rng(6)
+    rows = [
+        (i, None if i % 4 == 0 else float(rng.normal(1e6, 3)), [None, "x", "y", "zz"][i % 4] if i % 3 else "x", i % 2 == 0, None if i % 5 == 0 else i % 3 == 0, 7.0, ["p", "q", None][i % 3])
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "id int, gap double, text string, flag boolean, holes boolean, same double, y string")
+    for fit_on in (None, F.col("id") < 300):
+        plan = features.fit_features(df, "y", 50, scale=True, fit_on=fit_on)
+        used = df if fit_on is None else df.where(fit_on)
+        direct = features.scaling_of(features.feature_columns(features.drop_null_target(used, "y"), plan), plan.features)
+        assert list(plan.scaling) == plan.features == list(direct)
+        for c in plan.features:
+            assert plan.scaling[c] == pytest.approx(direct[c], rel=1e-9, abs=1e-9), c
+
+
 def test_scaling_uses_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, c double")
     rows = features.standard_scale(df, features.scaling_of(df, ["x", "c"])).collect()
@@ -144,7 +161,7 @@ def test_codes_by_table_equal_codes_by_list(spark, monkeypatch):
 
 def test_quotas_round_up_the_largest_remainders(spark):
     counts = spark.createDataFrame([("a", 7), ("b", 5), ("c", 5), ("d", 3)], "class string, rows bigint")
-    got = {r["class"]: r["quota"] for r in split.train_quotas(counts, 0.3).collect()}
+    got = {r["class"]: r["quota"] for r in split.train_quotas(counts, 0.3)[0].collect()}
     assert got == {"a": 5, "b": 4, "c": 3, "d": 2}
     for rows in ([("a", 2), ("b", 1)], [("a", 2), ("b", 2)], []):
         with pytest.raises(ValueError):
@@ -252,6 +269,25 @@ def test_fit_on_train_keeps_rows_of_repeated_keys(spark):
     assert sides[0] == sides[1]
 
 
+def test_out_of_fold_scores_know_nothing_of_their_fold(spark):
+    """A target that only a row's key tells can be learnt from copies of the key, so folds keep copies together."""
+    rng = np.random.default_rng(4)
+    rows = [(k, float(k), int(rng.integers(0, 2)), None if c else 1.0) for k in range(120) for c in range(4)]
+    rows = [(k, x, rows[4 * (i // 4)][2], z) for i, (k, x, _, z) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k int, x double, y int, sparse double")
+    done = cross_validate(df, "y", "decision_tree", ["k"], folds=3, keep=["k"])
+    found = done.scored.collect()
+    assert len(found) == 480 and {r.fold for r in found} == {0, 1, 2} and len(done.models) == 3
+    assert done.scored.groupBy("k").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
+    assert all("sparse" not in m.features for m in done.models)
+    share = sum(r.label == r.prediction for r in found) / 480
+    assert share < 0.7
+    kept = {r.fold: (r.rows, r.accuracy) for r in done.metrics.collect()}
+    assert sum(n for n, _ in kept.values()) == 480 and sum(n * a for n, a in kept.values()) == pytest.approx(480 * share)
+    with pytest.raises(ValueError, match="two folds"):
+        cross_validate(df, "y", "decision_tree", folds=1)
+
+
 def training_rows(spark, rows):
     """(features ..., label) tuples as a prepared frame whose rows all train."""
     schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])
