@@ -19,7 +19,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from tablescope.llm.shared import map_arrow
 from tablescope.llm.tokenizer_files import Cache, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
+#: Characters of the texts whose ids and decoded texts are held at a time.
+SLICE_CHARACTERS = 1 << 20
 _coders: dict[str, ForcedBoundaryCoder] = {}
 
 #: Texts of these characters only are in normal form and have simple lower case; their classes are stated
@@ -155,6 +159,19 @@ def coder(path: str) -> ForcedBoundaryCoder:
     return _coders[path]
 
 
+def slices_by_characters(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``most`` characters of a text column; one longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low = held = 0
+    for i, length in enumerate(lengths):
+        if i > low and held + length > most:
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += int(length)
+    if low < len(lengths):
+        yield batch.slice(low)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", name: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns ``keep``, n_tokens, ids (array), decoded."""
     kept = [f"__keep{i}" for i in range(len(keep))]
@@ -163,11 +180,17 @@ def encode_documents(docs: DataFrame, text: str = "text", name: str = VOCABULARY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(vocabulary(name)).encode_parts
         for batch in batches:
-            parts = [encode(value.as_py()) for value in batch.column(batch.num_columns - 1)]
-            ids = [[int(i) for p in ps for i in p[1].split(" ")] for ps in parts]
-            decoded = [" ".join([p[2] for p in ps]) for ps in parts]
-            made = [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, "n_tokens", "ids", "decoded"])
+            for rows in slices_by_characters(batch, batch.num_columns - 1, SLICE_CHARACTERS):
+                counts, ids, decoded = [], [], []
+                for value in rows.column(rows.num_columns - 1):
+                    parts = encode(value.as_py())
+                    ids.append(np.fromstring(" ".join([p[1] for p in parts]), np.int32, sep=" "))
+                    decoded.append(" ".join([p[2] for p in parts]))
+                    counts.append(len(ids[-1]))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                made = [pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=[*kept, "n_tokens", "ids", "decoded"])
 
     fields = "".join(f"{k} {own.schema[k].dataType.simpleString()}, " for k in kept)
     rows = map_arrow(own, run, f"{fields}n_tokens bigint, ids array<int>, decoded string")
