@@ -1,20 +1,27 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Components are turned into integers. A vector is cut into 1, 2, 4, ... segments, and of each segment the
-mean and the deviation are kept. For two vectors with means m, m' and deviations s, s' over a segment of
-length L the inner product over it is at most L * (m * m' + s * s') (Cauchy-Schwarz on the centred
-parts); on distances this is the familiar lower bound L * ((m - m')^2 + (s - s')^2). A query keeps the
-k-th best exact score found so far; candidates whose bound is below it are dropped at the coarsest
-level that shows it, and only the survivors of the finest level are scored exactly. Bounds equal to the
-k-th score survive, so ties are settled exactly, by the smaller key.
+Components are turned into integers. Vectors are turned onto the principal axes of all rows (their second
+moments are one distributed sum), which keeps every inner product and brings what vectors share to the
+front. A turned vector is cut into 1, 2, 4, ... segments of about equal moments, down to single components,
+and of each segment the mean and the deviation are kept. For two vectors with means m, m' and deviations s, s' over a segment
+of length L the inner product over it is at most L * (m * m' + s * s') (Cauchy-Schwarz on the centred
+parts); on distances this is the familiar lower bound L * ((m - m')^2 + (s - s')^2).
+
+A first pass scores every query against one block of vectors; its k-th best score there can only be below
+the true one, and goes to all blocks as the query's threshold. In each block a query's candidates go
+through the levels from coarse to fine: those whose bound is below the threshold are dropped, the next
+level looks at the survivors only, and the survivors of the last level are scored exactly in integers.
+Bounds are widened by the rounding of doubles and bounds equal to the threshold survive, so ties are
+settled exactly, by the smaller key.
 
 Vectors and queries are packed into blocks; every query block meets every vector block, one pair at a
 time, so memory is bounded by two blocks. Each pair returns the queries' k best of the block, and the
 k best of these are the answer.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor
-do rows with a null key; of rows that repeat a key the smallest vector counts; where lengths differ the
-missing components are 0; fewer than k candidates give fewer rows.
+do rows with a null key; components beyond 2 ** 26 in size after scaling count as that size, so that no
+score leaves 64 bits; of rows that repeat a key the smallest vector counts; where lengths differ the
+missing components are 0; fewer than k candidates give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.shared import map_arrow, materialize
+from tablescope.llm.whitening import products_of
 
 K = 5
 SCALE = 256
@@ -35,8 +43,10 @@ QUERY_EVERY = 50
 BLOCK = 4096
 #: Queries that go through the levels together.
 QUERY_STEP = 256
-#: Finest level: this many segments.
-SEGMENTS = 16
+#: Size at which scaled components stop.
+MOST_COMPONENT = 1 << 26
+#: Above this share of survivors a level is one matrix product for all queries; below, it is taken for the survivors alone.
+DENSE = 0.25
 
 
 def usable(vector: Column) -> Column:
@@ -48,27 +58,18 @@ def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame
     """(key, values): one row per key, components floor(scale * x) as long."""
     own = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     own = own.where(F.col("key").isNotNull() & usable(F.col("vector")))
-    values = F.transform("vector", lambda x: F.floor(x * scale).cast("long"))
+    limit = F.lit(float(MOST_COMPONENT))
+    values = F.transform("vector", lambda x: F.floor(F.greatest(F.least(x * scale, limit), -limit)).cast("long"))
     return own.select("key", values.alias("values")).groupBy("key").agg(F.min("values").alias("values"))
 
 
-def statistics(matrix: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, means * sqrt(length) and deviations * sqrt(length) of each row's segments."""
-    cuts = np.linspace(0, matrix.shape[1], min(segments, matrix.shape[1]) + 1).astype(int)
-    lengths = np.diff(cuts)
-    sums = np.add.reduceat(matrix, cuts[:-1], axis=1)
-    squares = np.add.reduceat(matrix * matrix, cuts[:-1], axis=1)
+def statistics(matrix: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means * sqrt(length) and deviations * sqrt(length) of each row's segments, which begin at ``cuts``."""
+    lengths = np.diff([*cuts, matrix.shape[1]])
+    sums = np.add.reduceat(matrix, cuts, axis=1)
+    squares = np.add.reduceat(matrix * matrix, cuts, axis=1)
     spread = np.sqrt(np.maximum(squares - sums * sums / lengths, 0))
-    return lengths, sums / np.sqrt(lengths), spread
-
-
-def upper_bounds(queries: np.ndarray, vectors: np.ndarray, segments: int) -> np.ndarray:
-    """Upper bound of every inner product, widened by the rounding of doubles."""
-    _, mean_q, spread_q = statistics(queries, segments)
-    _, mean_v, spread_v = statistics(vectors, segments)
-    bound = mean_q @ mean_v.T + spread_q @ spread_v.T
-    reach = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
-    return bound + 1e-9 * (reach + 1)
+    return sums / np.sqrt(lengths), spread
 
 
 def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -78,76 +79,121 @@ def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def best_of_block(query_keys: np.ndarray, queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query key, key, score) of each query's k best vectors of the block; the query itself is left out."""
+def levels_of(moments: np.ndarray) -> list[np.ndarray]:
+    """Beginnings of the segments from coarse to fine; ``moments`` of the axes are falling.
+
+    The 1, 2, 4, ... segments of a level hold about equal shares of the moments, so the first axes soon stand
+    alone and the weak ones stay together. At the last level every component is a segment.
+    """
+    width = len(moments)
+    shares = np.cumsum(np.maximum(moments, 0) + 1e-12 * max(float(np.max(moments)), 1e-300))
+    shares = shares / shares[-1]
+    levels = []
+    for i in range(width.bit_length() - 1):
+        ends = np.searchsorted(shares, np.arange(1, 1 << i) / (1 << i)) + 1
+        levels.append(np.unique([0, *ends[ends < width]]))
+    return [*levels, np.arange(width)]
+
+
+def principal_axes(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The second moments of all rows along their axes, largest first, and the axes as orthonormal rows."""
+    filled = F.when(F.size("values") < width, F.concat("values", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("values")))).otherwise(F.col("values"))
+    rows = map_arrow(own.select(filled.alias("x")), products_of(np.zeros(width, np.int64)), "i int, values array<double>")
+    moments = np.zeros((width, width))
+    for r in rows.select("i", F.posexplode("values").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        moments[r.i, r.i + r.j] = moments[r.i + r.j, r.i] = r.v
+    values, axes = np.linalg.eigh(moments)
+    return values[::-1], axes.T[::-1]
+
+
+def survivors(
+    queries: np.ndarray, vectors: np.ndarray, levels: list[np.ndarray], floors: np.ndarray, alive: np.ndarray, shares: list[float] | None = None
+) -> np.ndarray:
+    """Pairs of turned queries and vectors that no level drops; ``alive`` are those to begin with."""
+    reach = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
+    slack = floors[:, None] - 1e-9 * (reach + 1)
+    for cuts in levels:
+        own = [np.hstack(statistics(part, cuts)) for part in (queries, vectors)]
+        if alive.mean() > DENSE:
+            alive &= own[0] @ own[1].T >= slack
+        else:
+            for i in range(len(queries)):
+                left = np.flatnonzero(alive[i])
+                alive[i, left] = own[1][left] @ own[0][i] >= slack[i, left]
+        if shares is not None:
+            shares.append(float(alive.mean()))
+        if not alive.any():
+            break
+    return alive
+
+
+def best_of_block(
+    query_keys: np.ndarray, queries: np.ndarray, floors: np.ndarray, keys: np.ndarray, vectors: np.ndarray, axes: np.ndarray,
+    levels: list[np.ndarray], k: int, shares: list[float] | None = None,
+) -> tuple[np.ndarray, ...]:
+    """(query key, key, score) of each query's k best vectors of the block that reach its floor; the query itself is left out."""
     found: list[tuple[np.ndarray, ...]] = []
-    levels = [1 << i for i in range(SEGMENTS.bit_length()) if 1 << i <= min(SEGMENTS, vectors.shape[1])]
-    as_floats = vectors.astype(float)
+    turned = vectors @ axes.T
     for low in range(0, len(queries), QUERY_STEP):
         part, own = queries[low : low + QUERY_STEP], query_keys[low : low + QUERY_STEP]
-        bound = upper_bounds(part.astype(float), as_floats, levels[0])
-        itself = own[:, None] == keys[None, :]
-        alive = ~itself
-        # the vectors of highest bound at the finest level give each query its first k scores
-        finest = upper_bounds(part.astype(float), as_floats, levels[-1])
-        first = min(k + 1, len(keys))
-        probe = np.argpartition(-finest, first - 1, axis=1)[:, :first]
-        scores = np.einsum("ij,ikj->ik", part, vectors[probe]).astype(float)
-        scores[itself[np.arange(len(part))[:, None], probe]] = -np.inf
-        scores = -np.sort(-scores, axis=1)
-        floor = scores[:, k - 1] if scores.shape[1] >= k else np.full(len(part), -np.inf)
-        for level in levels:
-            alive &= bound >= floor[:, None]
-            if not alive.any():
-                break
-            if level != levels[-1]:
-                bound = np.minimum(bound, upper_bounds(part.astype(float), as_floats, level * 2)) if level * 2 != levels[-1] else np.minimum(bound, finest)
+        alive = survivors(part @ axes.T, turned, levels, floors[low : low + QUERY_STEP], own[:, None] != keys[None, :], shares)
         for i in range(len(part)):
-            survivors = np.flatnonzero(alive[i])
-            exact = vectors[survivors] @ part[i]
-            order = np.lexsort((keys[survivors], -exact))[:k]
-            found.append((np.full(len(order), own[i]), keys[survivors][order], exact[order]))
+            left = np.flatnonzero(alive[i])
+            exact = vectors[left] @ part[i]
+            order = np.lexsort((keys[left], -exact))[:k]
+            found.append((np.full(len(order), own[i]), keys[left][order], exact[order]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
 
-def search_blocks(k: int):
-    def rows_of(batch: pa.RecordBatch, keys: str, values: str, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def search_blocks(axes: np.ndarray, levels: list[np.ndarray], k: int):
+    def rows_of(batch: pa.RecordBatch, keys: str, values: str, i: int) -> tuple[np.ndarray, np.ndarray]:
         own = batch.column(values)[i].values
         cuts, flat = np.asarray(own.offsets), own.values.to_numpy(zero_copy_only=False)
-        return batch.column(keys)[i].values.to_numpy(zero_copy_only=False), [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return batch.column(keys)[i].values.to_numpy(zero_copy_only=False), padded([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], len(axes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 query_keys, queries = rows_of(batch, "query_keys", "queries", i)
                 keys, vectors = rows_of(batch, "keys", "vectors", i)
-                width = max(map(len, [*queries, *vectors]))
-                out = best_of_block(query_keys, padded(queries, width), keys, padded(vectors, width), k)
+                floors = batch.column("floors")[i].values.to_numpy(zero_copy_only=False)
+                out = best_of_block(query_keys, queries, floors, keys, vectors, axes, levels, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "key", "score"])
 
     return run
 
 
+def packed(df: DataFrame, blocks: int, number: str) -> DataFrame:
+    """Rows (key, values, floor) in blocks of near BLOCK rows; a hash decides the block."""
+    df = df.withColumn(number, F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    return df.groupBy(number).agg(F.sort_array(F.collect_list(F.struct("key", "values", "floor"))).alias("rows"))
+
+
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE) -> DataFrame:
     """Every query's k best: query_id, rank (from 1), key, score. Queries: keys divisible by ``query_every``."""
     own = materialize(integers(vectors, key, vector, scale), "vectors")
-    count = own.count()
+    count, width = own.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("values")), F.lit(1))).first()
+    moments, axes = principal_axes(own, width)
+    levels = levels_of(moments)
     blocks = max(1, -(-count // BLOCK))
     query_blocks = max(1, -(-count // (BLOCK * query_every)))
-
-    def packed(df: DataFrame, number: int, names: tuple[str, str, str]) -> DataFrame:
-        # a hash decides the block, so its rows are near BLOCK; blocks are lists of bounded expected size
-        df = df.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(number)))
-        rows = F.sort_array(F.collect_list(F.struct("key", "values")))
-        df = df.groupBy("block").agg(rows.alias("rows"))
-        return df.select(F.col("block").alias(names[0]), F.col("rows.key").alias(names[1]), F.col("rows.values").alias(names[2]))
-
-    data = packed(own, blocks, ("block", "keys", "vectors"))
-    queries = packed(own.where(F.col("key") % query_every == 0), query_blocks, ("query_block", "query_keys", "queries"))
-    # the query set, in blocks, against all blocks: one row per pair of blocks, dealt by the vector block
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = data.join(pairs, "block").select("query_keys", "queries", "keys", "vectors")
-    found = map_arrow(met, search_blocks(k), "query_id bigint, key bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    nothing = F.lit(float("-inf"))
+    data = packed(own.withColumn("floor", nothing), blocks, "block").select("block", F.col("rows.key").alias("keys"), F.col("rows.values").alias("vectors"))
+    data = materialize(data, "vector-blocks")
+
+    def meet(queries: DataFrame, last: int) -> DataFrame:
+        """The query set, in blocks, against the vector blocks 0 to ``last``: one row per pair, dealt by the vector block."""
+        rows = packed(queries, query_blocks, "query_block").select(F.col("rows.key").alias("query_keys"), F.col("rows.values").alias("queries"), F.col("rows.floor").alias("floors"))
+        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+        met = data.where(F.col("block") <= last).join(pairs, "block").select("query_keys", "queries", "floors", "keys", "vectors")
+        found = map_arrow(met, search_blocks(axes, levels, k), "query_id bigint, key bigint, score bigint")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = own.where(F.col("key") % query_every == 0).withColumn("floor", nothing)
+    if blocks > 1:
+        first = meet(queries, 0).where(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").cast("double").alias("own_floor"))
+        queries = queries.join(first, "key", "left").withColumn("floor", F.coalesce("own_floor", "floor")).drop("own_floor")
+        queries = materialize(queries, "query-floors")
+    ranked = meet(queries, blocks - 1)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")

@@ -30,8 +30,46 @@ def test_bounds_hold():
     random = np.random.default_rng(1)
     a, b = random.integers(-300, 300, (40, 33)).astype(float), random.integers(-300, 300, (50, 33)).astype(float)
     last = None
-    for segments in (1, 2, 4, 8, 16):
-        bound = op.upper_bounds(a, b, segments)
-        assert (bound >= a @ b.T).all()
-        assert last is None or bound.mean() < last
+    for cuts in op.levels_of(np.geomspace(9, 1, 33)):
+        (m, s), (n, t) = op.statistics(a, cuts), op.statistics(b, cuts)
+        bound = m @ n.T + s @ t.T
+        assert (bound >= a @ b.T - 1e-6).all()
+        assert last is None or bound.mean() < last * 1.1
         last = bound.mean()
+    assert np.allclose(last, (a @ b.T).mean())
+
+
+def shares_of(vectors, k=5):
+    """Share of all pairs left after each level, with the threshold of a first block of a quarter of the rows."""
+    keys = np.arange(len(vectors))
+    moments, axes = np.linalg.eigh((vectors.T @ vectors).astype(float))
+    axes, levels = axes.T[::-1], op.levels_of(moments[::-1])
+    queries = vectors[::50]
+    scores = queries @ vectors[: len(vectors) // 4].T
+    floors = np.sort(scores, axis=1)[:, -k - 1].astype(float)  # the query itself may be in the block
+    shares = []
+    found = op.best_of_block(keys[::50], queries, floors, keys, vectors, axes, levels, k, shares)
+    assert len(found[0]) == k * len(queries)
+    return shares
+
+
+def test_levels_leave_few(table):
+    """Vectors that share a few directions are dropped at coarse levels, the given ones at fine levels; few reach the exact score."""
+    random = np.random.default_rng(2)
+    given = np.array([[math.floor(256 * c) for c in r.embedding] for r in table("embeddings").collect()])
+    spread = random.normal(size=(2000, 64)) * np.geomspace(1, 0.02, 64)
+    mixed = np.floor(256 * spread @ np.linalg.qr(random.normal(size=(64, 64)))[0]).astype(np.int64)
+    coarse = shares_of(mixed)
+    assert coarse[-1] < 0.05 and coarse[-3] < 0.1  # 16 of 64 segments already tell
+    fine = shares_of(given)
+    assert fine[-1] < 0.1 and fine[-2] < 0.8 and fine == sorted(fine, reverse=True)
+
+
+def test_sizes_and_clashing_columns(spark):
+    rows = [(i, [1e300 if i % 2 else -1e300, float(i)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", *[f"'{c}' AS {c}" for c in ("key", "values", "rows", "floor", "block", "rank", "score", "query_id")])
+    usable = {i: [max(-(1 << 26), min(1 << 26, math.floor(256 * x) if abs(x) < 1e30 else int(math.copysign(1 << 26, x)))) for x in v] for i, v in rows}
+    got = {}
+    for r in op.top_k(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute.top_k(usable, 5, 50)
