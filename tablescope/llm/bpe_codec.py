@@ -147,6 +147,11 @@ class ForcedBoundaryCoder:
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for part in self.encode_parts(text) for i in part[1].split(" ")]
 
+    def clear(self) -> None:
+        """Let the caches go. A worker that stays idle would hold them while other stages run."""
+        self.words.clear()
+        self.chunks.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder of its own: tokens joined by single spaces, special ones included."""
         return " ".join(self.token_of[i] for i in ids)
@@ -178,12 +183,12 @@ def encode_documents(docs: DataFrame, text: str = "text", name: str = VOCABULARY
     own = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(vocabulary(name)).encode_parts
+        own = coder(vocabulary(name))
         for batch in batches:
             for rows in slices_by_characters(batch, batch.num_columns - 1, SLICE_CHARACTERS):
                 counts, ids, decoded = [], [], []
                 for value in rows.column(rows.num_columns - 1):
-                    parts = encode(value.as_py())
+                    parts = own.encode_parts(value.as_py())
                     ids.append(np.fromstring(" ".join([p[1] for p in parts]), np.int32, sep=" "))
                     decoded.append(" ".join([p[2] for p in parts]))
                     counts.append(len(ids[-1]))
@@ -191,6 +196,7 @@ def encode_documents(docs: DataFrame, text: str = "text", name: str = VOCABULARY
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 made = [pa.array(counts, pa.int64()), lists, pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=[*kept, "n_tokens", "ids", "decoded"])
+        own.clear()
 
     fields = "".join(f"{k} {own.schema[k].dataType.simpleString()}, " for k in kept)
     rows = map_arrow(own, run, f"{fields}n_tokens bigint, ids array<int>, decoded string")

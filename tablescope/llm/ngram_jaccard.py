@@ -11,7 +11,8 @@ XOR of the codes of its odd bits, which is equal exactly when the bits are.
 Blocks with few odd bits would meet by chance or by one hot shingle. A document leaves its weak blocks
 out if fewer than k - D blocks are weak, since an equal strong block is then certain; otherwise it sends
 them, too. Documents of one key are joined where the Hamming distance of their whole sketches, folded to
-about one bit per element, is at most D: folding cannot raise the distance either. A key with very many
+about one bit per element, is at most D: folding cannot raise the distance either. Keys that the same
+documents share are looked at once. A key with very many
 documents is not gathered: its documents are joined in a chain, which only makes a family larger. A
 family of joined documents is then compared as a whole, in groups of bounded size, by exact intersection
 counts, so that links are complete and verified.
@@ -42,6 +43,8 @@ BAND_GROWTH = Fraction(3, 2)
 STRONG_BITS, SPARE_BLOCKS = 2, Fraction(1, 5)
 #: Documents of one key whose sketches are compared; a larger group is linked in a chain, unseen.
 KEY_DOCUMENTS = 4096
+#: Rows of one key that are held to see which documents share it.
+BUCKET_ROWS = 65_536
 #: A group that is compared at once has at most about so many documents and shingles.
 GROUP_DOCUMENTS, GROUP_SHINGLES = 512, 1_000_000
 #: Key tables up to this many rows are broadcast, larger ones are shuffled.
@@ -149,21 +152,39 @@ def elements_digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
+def buckets(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (hash, key, band) sorted by hash, no hash cut -> (bucket, key, band) of the hashes of several rows.
+
+    The bucket is a hash of all documents that share the key, so hashes shared by the same documents are one bucket.
+    """
+    hashes, keys, band = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    count = np.diff(np.append(first, len(hashes)))
+    bucket = mix(np.add.reduceat(mix(keys.view(np.uint64)), first) ^ mix(band[first].astype(np.uint64) + np.uint64(1)))
+    made = pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, count).view(np.int64)), *rows.columns[1:]], names=["bucket", "key", "band"])
+    return made.filter(pa.array(np.repeat(count > 1, count)))
+
+
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash -> those whose hash the row before or after has, too."""
-    last, matched = None, False  # the last row waits for the next batch
+    """Rows sorted by hash -> the buckets of hashes that several rows have; a hash of very many rows is a bucket of its own."""
+    held, large = None, None  # the rows of the last hash wait for the next batch, unless they are too many
     for batch in batches:
-        if not len(batch):
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(rows):
             continue
-        if last is not None:
-            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        hashes = batch.column(0).to_numpy(zero_copy_only=False)
-        same = hashes[1:] == hashes[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, matched)
-        yield batch.filter(pa.array(np.append(keep[:-1], False)))
-        last, matched = batch.slice(len(batch) - 1), bool(keep[-1])
-    if matched:
-        yield last
+        hashes = rows.column(0).to_numpy(zero_copy_only=False)
+        begin = int(np.count_nonzero(hashes == large)) if large is not None else 0
+        end = max(begin, len(hashes) - int(np.count_nonzero(hashes == hashes[-1])))
+        if begin:
+            yield rows.slice(0, begin).rename_columns(["bucket", "key", "band"])
+        if end > begin:
+            yield buckets(rows.slice(begin, end - begin))
+        held = rows.slice(end) if end < len(rows) else None
+        if held is not None and len(held) > BUCKET_ROWS:
+            yield held.rename_columns(["bucket", "key", "band"])
+            held, large = None, hashes[-1]
+    if held is not None:
+        yield buckets(held)
 
 
 def joined(sketches: np.ndarray, differ: int) -> np.ndarray:
@@ -182,7 +203,7 @@ def joined(sketches: np.ndarray, differ: int) -> np.ndarray:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, key, differ, sketch) sorted by hash -> links of documents that may be similar."""
+    """Rows (bucket, key, differ, sketch) sorted by bucket -> links of documents that may be similar."""
     current, keys, rows, chained = None, [], [], None
 
     def links(differ: int) -> np.ndarray:
@@ -201,10 +222,10 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     differ_before = 0
     for batch in batches:
         out = []
-        for hash_, key, differ, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-            if hash_ != current:
+        for bucket, key, differ, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != current:
                 out.append(links(differ_before))
-                current, keys, rows, chained, differ_before = hash_, [], [], None, differ
+                current, keys, rows, chained, differ_before = bucket, [], [], None, differ
             if chained is not None:
                 out.append(np.array([[chained, key]]))
                 chained = key
@@ -328,9 +349,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     copies = materialize(copies.join(firsts, "key", "left_anti"), "copies")
     rows = found.where("size > 0").join(small(copies, BROADCAST_ROWS), "key", "left_anti")
     sent = rows.select(F.explode("keys").alias("hash"), "key", "band").repartition(partitions, "hash").sortWithinPartitions("hash")
-    met = materialize(map_arrow(sent, shared, "hash bigint, key bigint, band int"), "shared-keys")
-    met = met.join(rows.select("key", "band", "differ", "sketch"), ["key", "band"]).select("hash", "key", "differ", "sketch")
-    met = met.repartition(partitions, "hash").sortWithinPartitions("hash", "key")
+    met = materialize(map_arrow(sent, shared, "bucket bigint, key bigint, band int").distinct(), "shared-keys")
+    # shuffled at every size: the sketches grow with the documents
+    met = met.join(rows.select("key", "band", "differ", "sketch").hint("merge"), ["key", "band"]).select("bucket", "key", "differ", "sketch")
+    met = met.repartition(partitions, "bucket").sortWithinPartitions("bucket", "key")
     candidates = map_arrow(met, meet, "a bigint, b bigint")
     families = materialize(connected_components(candidates), "families")
 

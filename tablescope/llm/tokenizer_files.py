@@ -26,6 +26,9 @@ class Cache:
     def __init__(self, make: Callable[[list[str]], Iterable]):
         self.make, self.young, self.old = make, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def of(self, pieces: list[str]) -> list:
         if len(self.young) > CACHE_ENTRIES:
             self.young, self.old = {}, self.young

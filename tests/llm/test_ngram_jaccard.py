@@ -1,4 +1,5 @@
 import brute
+import pyarrow as pa
 import random
 from llm_fixtures import documents, none, odd  # noqa: F401
 
@@ -71,3 +72,17 @@ def test_hot_key_falls_back_to_a_chain(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"hash": [5] * 6, "key": list(range(6)), "differ": [0] * 6, "sketch": [bytes([i] * 8) for i in range(6)]})
     pairs = {tuple(p) for out in op.meet(iter([batch])) for p in zip(*(c.to_pylist() for c in out.columns))}
     assert pairs == {(i, i + 1) for i in range(5)}
+
+
+def test_keys_shared_by_the_same_documents_are_one_bucket(monkeypatch):
+    rows = [(1, 7, 0), (1, 8, 0), (2, 8, 0), (3, 8, 0), (3, 7, 0), (4, 7, 1), (4, 8, 1), (5, 7, 0), (5, 8, 0), (5, 9, 0)]
+    whole = pa.RecordBatch.from_pydict({"hash": pa.array([r[0] for r in rows]), "key": pa.array([r[1] for r in rows]), "band": pa.array([r[2] for r in rows], pa.int32())})
+    for most in (100, 1):  # cut into batches of any size; hashes of too many rows stand for themselves
+        monkeypatch.setattr(op, "BUCKET_ROWS", most)
+        for size in (1, 3, 10):
+            found = pa.Table.from_batches(op.shared(whole.slice(i, size) for i in range(0, len(rows), size)))
+            sets = {}
+            for bucket, key, band in zip(*(c.to_pylist() for c in found.columns)):
+                sets.setdefault((bucket, band), set()).add(key)
+            assert sorted((band, sorted(keys)) for (_, band), keys in sets.items()) == [(0, [7, 8])] * (1 if most > 1 else len(sets) - 2) + [(0, [7, 8, 9]), (1, [7, 8])]
+            assert found.num_rows == 9 and (most == 1 or len(sets) == 3)

@@ -50,6 +50,18 @@ def test_codec_frames(odd, none):
     assert bpe_codec.encode_documents(odd, keep=("doc_id", "key", "words")).columns == ["doc_id", "key", "words", "n_tokens", "ids", "decoded"]
 
 
+def test_workers_hold_no_caches_after_encoding(spark):
+    frame = spark.createDataFrame([(i, "heldbynobody") for i in range(40)], "doc_id bigint, text string").repartition(4)
+    assert bpe_codec.encode_documents(frame).where("n_tokens > 0").count() == 40
+
+    def held(batches):
+        for batch in batches:
+            caches = [cache for c in bpe_codec._coders.values() for cache in (c.words, c.chunks)]
+            yield batch.from_pydict({"held": [any("heldbynobody" in g for cache in caches for g in (cache.young, cache.old))]})
+
+    assert not any(r.held for r in spark.range(0, 8, 1, 8).mapInArrow(held, "held boolean").collect())
+
+
 def test_cache_forgets_in_generations(monkeypatch):
     monkeypatch.setattr("tablescope.llm.tokenizer_files.CACHE_ENTRIES", 3)
     cache = Cache(lambda pieces: [p.upper() for p in pieces])
