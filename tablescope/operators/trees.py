@@ -19,11 +19,10 @@ of them would otherwise be planned and compiled anew.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
@@ -133,9 +132,11 @@ class Forest:
         """Class scores of a vector column."""
         forest = self
 
-        @F.pandas_udf("array<double>")
-        def of(vectors: pd.Series) -> pd.Series:
-            return pd.Series(list(forest.scores(np.vstack(vectors)))) if len(vectors) else pd.Series([], dtype=object)
+        @F.arrow_udf("array<double>")
+        def of(vectors: pa.Array) -> pa.Array:
+            scores = forest.scores(vectors.flatten().to_numpy().reshape(len(vectors), forest.n_features))
+            ends = np.arange(len(vectors) + 1, dtype=np.int32) * scores.shape[1]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scores.ravel()))
 
         return of(vector_to_array(features))
 
@@ -211,6 +212,14 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
     return made
 
 
+def added(blocks: Iterable[Block], histogram, length: int) -> np.ndarray:
+    """Sum of ``histogram(block)`` over blocks that are seen one at a time."""
+    total = np.zeros(length)
+    for block in blocks:
+        total += histogram(block)
+    return total
+
+
 class InTask:
     """Sums over the blocks of the only partition, inside its task."""
 
@@ -218,10 +227,7 @@ class InTask:
         self.blocks = list(blocks)
 
     def sum(self, histogram, length: int) -> np.ndarray:
-        total = np.zeros(length)
-        for block in self.blocks:
-            total += histogram(block)
-        return total
+        return added(self.blocks, histogram, length)
 
     def map(self, change) -> None:
         self.blocks = [change(b) for b in self.blocks]
@@ -240,7 +246,7 @@ class InJobs:
         """Sum of ``histogram(block)``, a flat array of ``length`` numbers; cells of nothing aren't sent."""
 
         def of_task(own: Iterator[Block]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            total = InTask(own).sum(histogram, length)
+            total = added(own, histogram, length)  # the blocks of a task grow with the table, so they aren't gathered
             at = np.flatnonzero(total)
             yield at.astype(np.int32 if length < 1 << 31 else np.int64), total[at]
 

@@ -435,3 +435,24 @@ def test_wide_features_are_cut_at_quantiles(spark):
     assert edges[1].tolist() == [0.5, 1.5]
     counts = np.diff(np.searchsorted([i * i for i in range(2000)], [-1, *edges[0], 1e9], side="right"))
     assert counts.max() < 3 * 2000 / 64
+
+
+def test_blocks_of_a_task_are_not_gathered():
+    import weakref
+
+    from tablescope.operators import trees
+
+    seen = []
+
+    def blocks():
+        for _ in range(5):
+            block = np.ones(2)
+            seen.append(weakref.ref(block))
+            yield block
+            del block
+
+    def histogram(block):
+        assert sum(r() is not None for r in seen) <= 2
+        return block
+
+    assert trees.added(blocks(), histogram, 2).tolist() == [5.0, 5.0]
