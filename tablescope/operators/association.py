@@ -2,13 +2,19 @@
 
 Every value of a column counts, of text and numbers alike: cells are compared by 64-bit hashes, and pairs of
 cells are counted as they are. Only numbers and dates with more values than ``levels`` are cut into deciles
-first, as single prices or seconds would explain everything. One aggregate counts all column pairs; partial
-aggregation combines common pairs before the shuffle, and no list of values passes through the driver.
+first, as single prices or seconds would explain everything. Tasks count the cells of all column pairs for some
+rows at a time, so only cells and their counts are shuffled, and no list of values passes through the driver.
 Text columns that are nearly unique name their rows and explain nothing; they take no part.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +26,11 @@ from tablescope.operators.frequency import supported_columns, unique_stats
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.tables import describe_table, null_stats
 
+# workers get the functions of this module with each job, so they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows that a task counts at once.
+ROWS_AT_ONCE = 100_000
 # Fixed values of the ranking.
 FEW_VALUES = 20
 DECILES = [i / 10 for i in range(1, 10)]
@@ -39,23 +50,15 @@ def _as_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def _bucket(value: Column, edges: list[float], first: int = 0) -> Column:
-    """Number of edges below the value, found by halving (edges are ascending)."""
-    if not edges:
-        return F.lit(first)
-    middle = len(edges) // 2
-    left = _bucket(value, edges[:middle], first)
-    right = _bucket(value, edges[middle + 1 :], first + middle + 1)
-    return F.when(value > F.lit(edges[middle]), right).otherwise(left)
-
-
 def paired_columns(df: DataFrame, ratios: dict[str, float]) -> list[str]:
     """Columns that take part: all supported ones but texts whose values are nearly all different."""
     return [n for n in supported_columns(df) if _as_number(df, n) is not None or ratios[n] <= IDENTIFIER_RATIO]
 
 
-def coded_columns(df: DataFrame, names: list[str], unique_counts: dict[str, int], levels: int = FEW_VALUES) -> DataFrame:
-    """One array column ``k`` with a 64-bit code per column: the hash of the value, or its decile; null is 0."""
+def coded_columns(
+    df: DataFrame, names: list[str], unique_counts: dict[str, int], levels: int = FEW_VALUES
+) -> tuple[DataFrame, dict[int, list[float]]]:
+    """Columns k0, k1, ...: the 64-bit hash of a value, with 0 for null; or a number that is cut by the edges of its column."""
     numbers = {n: _as_number(df, n) for n in names}
     base = df.select(
         *[
@@ -63,15 +66,61 @@ def coded_columns(df: DataFrame, names: list[str], unique_counts: dict[str, int]
             for i, n in enumerate(names)
         ]
     )
-    value = {n: F.col(f"x{i}") for i, n in enumerate(names)}
-    many = [n for n in names if numbers[n] is not None and unique_counts[n] > levels]
-    edges = exact_quantiles(base, {n: value[n] for n in many}, DECILES) if many else {}
+    many = {n: i for i, n in enumerate(names) if numbers[n] is not None and unique_counts[n] > levels}
+    edges = exact_quantiles(base, {n: F.col(f"x{i}") for n, i in many.items()}, DECILES) if many else {}
     codes = []
-    for n in names:
-        x = value[n]
-        code = _bucket(x, edges[n]).cast("bigint") + 1 if n in many else F.xxhash64(x)
-        codes.append(F.when(x.isNull(), F.lit(0).cast("bigint")).otherwise(code))
-    return base.select(F.array(*codes).cast("array<bigint>").alias("k"))
+    for i, n in enumerate(names):
+        x = F.col(f"x{i}")
+        code = x if n in many else F.when(x.isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(x))
+        codes.append(code.alias(f"k{i}"))
+    # a column without finite numbers has no edges: all its rows are null
+    return base.select(*codes), {i: edges[n] or [] for n, i in many.items()}
+
+
+def _places(column: pa.ChunkedArray, edges: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a column and each row's place among them; a decile's code is the number of edges below, from 1."""
+    if edges is not None:
+        x = column.to_numpy()  # null is NaN
+        return np.arange(len(edges) + 2), np.where(np.isnan(x), 0, np.searchsorted(edges, x, side="left") + 1)
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
+def _pairs_of(rows: pa.Table, edges: dict[int, list[float]]) -> Iterator[pa.RecordBatch]:
+    """(pair, code_a, code_b, n) of some rows: the cells of each column pair (a, b) with a <= b."""
+    width = rows.num_columns
+    columns = [_places(rows.column(i), edges.get(i)) for i in range(width)]
+    for a, (codes_a, place_a) in enumerate(columns):
+        for b, (codes_b, place_b) in enumerate(columns[a:], a):
+            cell = place_a if a == b else place_a * len(codes_b) + place_b
+            cells = len(codes_a) * (1 if a == b else len(codes_b))
+            if cells <= len(place_a):
+                counts = np.bincount(cell, minlength=cells)
+                at = np.flatnonzero(counts)
+                counts = counts[at]
+            else:
+                at, counts = np.unique(cell, return_counts=True)
+            own = (at, at) if a == b else (at // len(codes_b), at % len(codes_b))
+            found = [np.full(len(at), a * width + b, np.int32), codes_a[own[0]], codes_b[own[1]], counts]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["pair", "code_a", "code_b", "n"])
+
+
+def pair_counts(coded: DataFrame, edges: dict[int, list[float]]) -> DataFrame:
+    """(pair, code_a, code_b, n) over all rows; tasks count some rows at a time, whatever the number of values."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= ROWS_AT_ONCE:
+                yield from _pairs_of(pa.Table.from_batches(held), edges)
+                held, rows = [], 0
+        if rows:
+            yield from _pairs_of(pa.Table.from_batches(held), edges)
+
+    some = coded.mapInArrow(count, "pair int, code_a bigint, code_b bigint, n bigint")
+    return some.groupBy("pair", "code_a", "code_b").agg(F.sum("n").alias("n"))
 
 
 def associations(
@@ -88,20 +137,13 @@ def associations(
     names = paired_columns(df, {n: ratio for n, (_, ratio) in facts.items()})
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, partner string, association double")
-    width = len(names)
-    # rows of equal codes are counted first; then each kind of row meets its column pairs (a, b) with
-    # a <= b; the pair (a, a) gives the entropy of a
-    kinds = coded_columns(df, names, {n: unique for n, (unique, _) in facts.items()}, levels).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
-    left = kinds.select("k", "rows", F.posexplode("k").alias("a", "code_a"))
-    both = left.select(
-        "rows", "a", "code_a", F.posexplode(F.slice("k", F.col("a") + 1, width)).alias("step", "code_b")
-    )
-    number = F.col("a") * width + F.col("a") + F.col("step")
-    counted = both.groupBy(number.alias("pair"), "code_a", "code_b").agg(F.sum("rows").alias("n"))
+    # the pair (a, a) gives the entropy of a
+    counted = pair_counts(*coded_columns(df, names, {n: unique for n, (unique, _) in facts.items()}, levels))
     sums = counted.groupBy("pair").agg(
         F.sum("n").alias("rows"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n")
     )
-    # at most (columns ** 2) / 2 rows from here on
+    # at most (columns ** 2) / 2 rows from here on, which are read three times
+    sums = df.sparkSession.createDataFrame(sums.collect(), sums.schema)
     name_at = F.array(*[F.lit(n) for n in names])
     left = F.floor(F.col("pair") / len(names)).cast("int")
     right = (F.col("pair") % len(names)).cast("int")

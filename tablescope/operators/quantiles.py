@@ -11,14 +11,22 @@ sees a few numbers per bracket.
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope.session import checkpointed
 
+# workers get the functions of this module with each job, so they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ACCURACY = 10_000
 VALUES_PER_TASK = 1_000_000
 FEWEST_VALUES = 16
@@ -125,16 +133,41 @@ def _slot(value: Column, ranges: list[tuple[float, float]], first: int = 0) -> C
     )
 
 
+def _places(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``_slot`` of many values; as in Spark, NaN equals itself and is above all numbers."""
+    j = np.searchsorted(high, values, side="left")
+    inside = j < len(high)
+    at = np.minimum(j, len(high) - 1)
+    is_nan = np.isnan(values)
+    below = (values < low[at]) | (np.isnan(low[at]) & ~is_nan)
+    at_low = (values == low[at]) | (np.isnan(low[at]) & is_nan)
+    at_high = (values == high[at]) | (np.isnan(high[at]) & is_nan)
+    return 4 * j + np.where(~inside | below, 0, np.where(at_low, 1, np.where(at_high, 3, 2)))
+
+
 def _grouped(df: DataFrame, columns: dict[str, Column], ranges: dict[str, list]) -> DataFrame:
     """(c, slot, v, n): counts per gap (v null) and per value inside the ranges."""
-    values = df.select(*[columns[n].alias(f"x{i}") for i, n in enumerate(ranges)])
-    placed = values.select("*", *[_slot(F.col(f"x{i}"), r).alias(f"s{i}") for i, r in enumerate(ranges.values())])
-    entries = []
-    for i in range(len(ranges)):
-        slot = F.when(F.col(f"x{i}").isNotNull(), F.col(f"s{i}"))
-        entries += [F.lit(i), slot, F.when(F.col(f"s{i}") % 4 > 0, F.col(f"x{i}"))]
-    stacked = placed.select(F.stack(F.lit(len(ranges)), *entries).alias("c", "slot", "v"))
-    return stacked.where(F.col("slot").isNotNull()).groupBy("c", "slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = [np.array(r, float).T for r in ranges.values()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, (low, high) in enumerate(ends):
+                values = batch.column(c).drop_null().to_numpy()
+                slot = _places(values, low, high)
+                gaps = np.bincount(slot[slot % 4 == 0], minlength=4 * len(low) + 1)
+                gap = np.flatnonzero(gaps)
+                kept, n = np.unique(values[slot % 4 > 0], return_counts=True)
+                found = [
+                    pa.array(np.full(len(gap) + len(kept), c, np.int32)),
+                    pa.array(np.concatenate([gap, _places(kept, low, high)]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(len(gap)), kept]), mask=np.arange(len(gap) + len(kept)) < len(gap)),
+                    pa.array(np.concatenate([gaps[gap], n])),
+                ]
+                yield pa.RecordBatch.from_arrays(found, names=["c", "slot", "v", "n"])
+
+    values = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(ranges)])
+    counted = values.mapInArrow(count, "c int, slot int, v double, n bigint")
+    return counted.groupBy("c", "slot", "v").agg(F.sum("n").alias("n"))
 
 
 def _slot_stats(grouped: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:

@@ -216,3 +216,40 @@ def test_duplicates_by_digest(spark):
     row = tables.duplicate_rows(df).first()
     assert (row["total_rows"], row["duplicate_rows"]) == (8, 2)
     assert tables.duplicate_rows(df.where("false")).first()["duplicate_rows"] == 0
+
+
+def test_pairs_are_counted_before_the_shuffle(spark, monkeypatch):
+    """Rows of all different kinds leave a task as cells and their counts, also cut into many pieces."""
+    from tablescope.operators import association
+
+    monkeypatch.setattr(association, "ROWS_AT_ONCE", 700)
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(4000, 3))
+    rows = [(*map(float, v), "ab"[i % 2] if i % 5 else None, i % 3) for i, v in enumerate(values)]
+    rows[7] = (None, float("nan"), *rows[7][2:])
+    df = spark.createDataFrame(rows, "a double, b double, c double, s string, i int").coalesce(1)
+    names = df.columns
+    coded, edges = association.coded_columns(df, names, dict(zip(names, [4000, 4000, 4000, 2, 3])))
+    assert list(edges) == [0, 1, 2]
+    cells = association.pair_counts(coded, edges)
+    found = {}
+    for r in cells.collect():
+        found.setdefault(divmod(r["pair"], 5), []).append(r["n"])
+    assert len(found) == 15 and all(sum(n) == 4000 for n in found.values())
+    assert sorted(found[0, 0]) == [1, 399] + [400] * 9 and sorted(found[3, 4]) == sorted(
+        np.unique([f"{r[3]}{r[4]}" for r in rows], return_counts=True)[1].tolist()
+    )
+    partial = cells.groupBy().count()  # what is shuffled: at most 12 x 12 cells of each pair and piece
+    assert sum(len(n) for n in found.values()) < 15 * 145 and partial.first()[0] < 15 * 145
+    got = {(r["column_name"], r["partner"]): r["association"] for r in association.associations(df).collect()}
+    assert len(got) == 20 and got["a", "b"] == got["b", "a"] < 0.05
+
+
+def test_places_in_ranges_are_those_of_the_expression(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [-inf, -1.0, -0.0, 0.0, 0.5, 1.0, 2.0, 2.5, 3.0, 4.0, inf, nan]
+    for ranges in ([(0.0, 1.0), (2.0, 2.0), (3.0, 4.0)], [(-1.0, 0.5), (4.0, nan)], [(nan, nan)]):
+        frame = spark.createDataFrame([(v,) for v in values], "x double")
+        expected = [r[0] for r in frame.select(quantiles._slot(F.col("x"), ranges)).collect()]
+        low, high = np.array(ranges, float).T
+        assert quantiles._places(np.array(values), low, high).tolist() == expected, ranges
