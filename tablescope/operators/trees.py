@@ -34,14 +34,17 @@ from tablescope.session import ensure_checkpoint_dir
 # workers get the functions of this module with each job, so they need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Cells (rows x features) that one task should have at least, and histogram numbers of a job.
-TASK_CELLS, MOST_NUMBERS = 2_000_000, 1 << 23
+#: Cells (rows x features) of a table that grows inside one task, or of each task where there are many; cells of
+#: each of a few tasks; histogram numbers of a job.
+TASK_CELLS, JOB_CELLS, MOST_NUMBERS = 2_000_000, 250_000, 1 << 23
 #: Tasks whose sums go to the driver directly; more are merged on executors first.
 DIRECT_TASKS = 16
 #: Rounds between two checkpoints of the blocks.
 CHECKPOINT_ROUNDS = 20
 #: A split must gain more than this (the least gain of the boosting loss; rounding for Gini).
 LEAST_LOSS_GAIN, ROUNDING = 1e-6, 1e-12
+#: Leaves of a tree that bits of one number stand for.
+MASK_LEAVES, ALL_LEAVES = 64, np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -80,6 +83,28 @@ class Tree:
             node[rows] = left[at] + (columns[feature[at], rows] > cut[at])
         return node
 
+    def place(self, bins: np.ndarray, cuts: list[int], n_bins: int) -> np.ndarray:
+        """``route`` over bin numbers below ``n_bins``: each feature's bin leaves some of the leaves open, together one."""
+        leaves = [v for v, f in enumerate(self.feature) if f < 0]
+        if len(leaves) > MASK_LEAVES:
+            return self.route(bins, cuts)
+        under = [0] * len(self.feature)
+        for i, v in enumerate(leaves):
+            under[v] = 1 << i
+        open_: dict[int, np.ndarray] = {}
+        for v in reversed(range(len(self.feature))):  # children come after their parent
+            f = self.feature[v]
+            if f >= 0:
+                left, right = under[self.left[v]], under[self.left[v] + 1]
+                under[v] = left | right
+                mask = open_.setdefault(f, np.full(n_bins, ALL_LEAVES))
+                mask[: cuts[v] + 1] &= ALL_LEAVES ^ np.uint64(right)
+                mask[cuts[v] + 1 :] &= ALL_LEAVES ^ np.uint64(left)
+        found = np.full(bins.shape[1], under[0], np.uint64)
+        for f, mask in open_.items():
+            found &= mask[bins[f]]
+        return np.array(leaves)[np.bitwise_count(found - np.uint64(1))]
+
 
 @dataclass
 class Forest:
@@ -106,11 +131,25 @@ class Forest:
             tree = self.trees[0][0]
             counts = np.array(tree.value, float)[tree.route(columns, tree.threshold)]
             return counts / counts.sum(axis=1, keepdims=True)
-        out = np.full((len(values), 1 if self.n_classes == 2 else self.n_classes), self.start)
+        cuts, n_bins = self._cuts()
+        bins = np.zeros(columns.shape, np.int64)
+        for f, own in enumerate(cuts):  # a value that is no number goes left everywhere
+            bins[f] = np.where(np.isnan(columns[f]), 0, np.searchsorted(own, columns[f], side="left"))
+        out = np.full((1 if self.n_classes == 2 else self.n_classes, len(values)), self.start)
         for round_ in self.trees:
             for k, tree in enumerate(round_):
-                out[:, k] += np.array(tree.value, float)[tree.route(columns, tree.threshold)]
-        return out
+                at = [int(np.searchsorted(cuts[f], t)) if f >= 0 else 0 for f, t in zip(tree.feature, tree.threshold)]
+                out[k] += np.array(tree.value, float)[tree.place(bins, at, n_bins)]
+        return np.ascontiguousarray(out.T)
+
+    def _cuts(self) -> tuple[list[np.ndarray], int]:
+        """The thresholds of each feature over all trees, ascending, and the most bins they make."""
+        found: list[set[float]] = [set() for _ in range(self.n_features)]
+        for tree in (t for round_ in self.trees for t in round_):
+            for f, t in zip(tree.feature, tree.threshold):
+                if f >= 0:
+                    found[f].add(t)
+        return [np.array(sorted(own), float) for own in found], max(map(len, found), default=0) + 1
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         """rows x classes, adding up to 1."""
@@ -179,7 +218,7 @@ def bin_edges(rows: DataFrame, n_features: int, max_bins: int) -> list[np.ndarra
     return [(p[:-1] + p[1:]) / 2 if f not in wide else p[:-1] for f, p in enumerate(points)]
 
 
-#: (number, bins: features x rows, label), and in boosting the margin: rows x outputs.
+#: (number, bins: features x rows, label), and in boosting the margin: rows x outputs, an output after the other.
 Block = tuple
 
 
@@ -198,7 +237,11 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
     ensure_checkpoint_dir(rows.sparkSession)
     count = rows.count()
     packed = rows.select(vector_to_array("features").alias("x"), F.col("label").cast("double")).mapInArrow(pack, "n int, bins binary, label binary")
-    tasks = max(1, min(packed.rdd.getNumPartitions(), -(-count * max(1, len(edges)) // TASK_CELLS)))
+    cells = count * max(1, len(edges))
+    tasks = -(-cells // TASK_CELLS)
+    if tasks > 1:  # their sums still go to the driver directly
+        tasks = max(tasks, min(DIRECT_TASKS, -(-cells // JOB_CELLS)))
+    tasks = max(1, min(packed.rdd.getNumPartitions(), tasks))
     blocks = packed.where("n > 0").rdd.coalesce(tasks)
 
     def unpack(part: int, own: Iterator) -> Iterator[Block]:
@@ -309,11 +352,11 @@ def _groups(nodes: list, numbers: int) -> list[list]:
     return [nodes[i : i + size] for i in range(0, len(nodes), size)]
 
 
-def _slots(tree: Tree, nodes: list[int], bins: np.ndarray) -> np.ndarray:
+def _slots(tree: Tree, nodes: list[int], bins: np.ndarray, n_bins: int) -> np.ndarray:
     """Place in ``nodes`` of each row's node, below 0 for rows elsewhere."""
     place = np.full(len(tree.feature), -1)
     place[nodes] = np.arange(len(nodes))
-    return place[tree.route(bins, tree.bin)]
+    return place[tree.place(bins, tree.bin, n_bins)]
 
 
 # --- classification tree --------------------------------------------------------------------------------------
@@ -358,7 +401,7 @@ def fit_tree(rows: DataFrame, n_features: int, n_classes: int, max_depth: int |
             for nodes in _groups(able, n_features * n_bins * n_classes):
 
                 def counts(block: Block, nodes=nodes) -> np.ndarray:
-                    slot = _slots(tree, nodes, block[1])
+                    slot = _slots(tree, nodes, block[1], n_bins)
                     own = slot >= 0
                     key, bins, label = slot[own] * n_bins, block[1][:, own], block[2][own]
                     out = np.empty((len(nodes), n_features, n_bins, n_classes))
@@ -432,7 +475,7 @@ def fit_boosting(
         if n_classes == 2:
             ones, count = sums.sum(lambda b: np.array([b[2].sum(), len(b[2])], float), 2)
             start = float(4 * (ones / count - 0.5))
-        sums.map(lambda b: (*b[:3], np.full((len(b[2]), outputs), start)))
+        sums.map(lambda b: (*b[:3], np.full((len(b[2]), outputs), start, order="F")))
         draw = np.random.default_rng(seed)
         rounds: list[list[Tree]] = []
         for number in range(n_estimators):
@@ -467,7 +510,7 @@ def fit_boosting(
                 if not frontier:
                     break
             rounds.append(trees)
-            sums.map(_moved(trees))
+            sums.map(_moved(trees, n_bins))
         return start, rounds
 
     start, rounds = grown(blocks, grow)
@@ -484,7 +527,7 @@ def _loss_histogram(nodes: list[tuple[int, int]], shape: tuple, trees: list[Tree
         out = np.zeros(shape)
         for k in sorted({k for k, _ in nodes}):
             at = [i for i, (other, _) in enumerate(nodes) if other == k]
-            slot = _slots(trees[k], [nodes[i][1] for i in at], bins)
+            slot = _slots(trees[k], [nodes[i][1] for i in at], bins, shape[2])
             own = slot >= 0 if drawn is None else (slot >= 0) & drawn
             if own.all():
                 out[at] = _cells(bins, slot, len(at), shape[2], [gradient[:, k], hessian[:, k]])
@@ -495,11 +538,11 @@ def _loss_histogram(nodes: list[tuple[int, int]], shape: tuple, trees: list[Tree
     return loss
 
 
-def _moved(trees: list[Tree]):
+def _moved(trees: list[Tree], n_bins: int):
     """Adds the leaf weights of a round to the margins of a block."""
 
     def move(block: Block) -> Block:
         part, bins, label, margin = block
-        return part, bins, label, margin + np.column_stack([np.array(t.value, float)[t.route(bins, t.bin)] for t in trees])
+        return part, bins, label, margin + np.stack([np.array(t.value, float)[t.place(bins, t.bin, n_bins)] for t in trees]).T
 
     return move

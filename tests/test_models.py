@@ -456,3 +456,27 @@ def test_blocks_of_a_task_are_not_gathered():
         return block
 
     assert trees.added(blocks(), histogram, 2).tolist() == [5.0, 5.0]
+
+
+def test_leaves_by_bits_are_those_of_the_walk():
+    rng = np.random.default_rng(5)
+    for depth in (0, 1, 3, 6, 8):  # the last one has too many leaves for bits
+        tree = trees.Tree()
+        level = [tree.add(0.0, 0)]
+        for d in range(depth):
+            after = []
+            for v in level:
+                tree.feature[v], tree.bin[v] = int(rng.integers(4)), int(rng.integers(9))
+                tree.threshold[v] = tree.bin[v] + 0.5
+                tree.left[v] = tree.add(float(rng.normal()), d + 1)
+                after += [tree.left[v], tree.add(float(rng.normal()), d + 1)]
+            level = after
+        bins = rng.integers(0, 10, (4, 500)).astype(np.uint8)
+        expected = tree.route(bins, tree.bin)
+        assert (tree.place(bins, tree.bin, 10) == expected).all()
+        values = bins.T.astype(float)
+        values[3, 1] = np.nan
+        forest = trees.Forest([[tree], [tree]], 4, 2, boosted=True, start=0.25)
+        leaf = tree.route(np.ascontiguousarray(values.T), tree.threshold)
+        weight = np.array(tree.value)[leaf]
+        assert forest.margins(values)[:, 0].tolist() == (0.25 + weight + weight).tolist()
