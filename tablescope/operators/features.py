@@ -215,63 +215,75 @@ def fit_features(
     ``fit_on`` restricts code lists, medians, scaling and bins to e.g. the training rows; by
     default they see all rows.  ``shown`` has the names for reports, where columns go by others.
     """
+    return fit_plans(df, target, [(max_categories, scale)], fit_on, shown)[0]
+
+
+def fit_plans(
+    df: DataFrame, target: str, kinds: list[tuple[int, bool]], fit_on: Column | None = None, shown: dict[str, str] | None = None
+) -> list[FeaturePlan]:
+    """``fit_features`` for each (max_categories, scale) of ``kinds``, from one look at the table."""
     require_column(df, target)
-    plan = FeaturePlan(target, original_features=len(df.columns) - 1, shown=shown or {})
+    common = FeaturePlan(target, original_features=len(df.columns) - 1, shown=shown or {})
     names = [c for c in df.columns if c != target]
     base = base_statistics(df, target, names, fit_on)
-    plan.original_rows, plan.rows_dropped = base["rows"], base["null_targets"]
+    common.original_rows, common.rows_dropped = base["rows"], base["null_targets"]
     rows = drop_null_target(df, target)
     if fit_on is not None:
         rows = rows.where(fit_on)
 
     count, missing = base["used"], base["missing"]
-    kept = []
+    usable = []
     for c in names:
         if count and missing[c] / count > MAX_MISSING:
-            plan.drop(c, "sparse", f"{missing[c] / count:.1%} missing")
+            common.drop(c, "sparse", f"{missing[c] / count:.1%} missing")
         else:
-            kept.append(c)
-    for c in list(kept):
+            usable.append(c)
+    for c in list(usable):
         data_type = df.schema[c].dataType
         if S.is_datetime(data_type):
-            plan.drop(c, "datetime", "datetime")
-            kept.remove(c)
+            common.drop(c, "datetime", "datetime")
+            usable.remove(c)
         elif not S.is_supported(data_type):
-            plan.drop(c, "unsupported", "unsupported type")
-            kept.remove(c)
+            common.drop(c, "unsupported", "unsupported type")
+            usable.remove(c)
 
     def is_category(c: str) -> bool:
         boolean = isinstance(df.schema[c].dataType, T.BooleanType)
         return S.is_text(df.schema[c].dataType) or (boolean and missing[c] > 0)
 
     # distinct values of all candidates and of the target, from one frequency count
-    categories = [c for c in kept if is_category(c)]
+    categories = [c for c in usable if is_category(c)]
     unique = {r["column_name"]: r["unique_count"] for r in unique_stats(rows, [*categories, target]).collect()}
-    for c in categories:
-        if unique[c] > max_categories:
-            plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
-            kept.remove(c)
-    frequencies = listed_frequencies(rows, [c for c in categories if c in kept])
-    plan.encoded = {c: list(found) for c, found in frequencies.items()}
-
-    plan.features = kept
-    plan.numeric = [c for c in kept if c not in plan.encoded]
-    plan.decisions.update({plan.shown.get(c, c): "encoded" if c in plan.encoded else "numeric" for c in kept})
-    gaps = [c for c in plan.numeric if missing[c]]
+    most = max(limit for limit, _ in kinds)
+    frequencies = listed_frequencies(rows, [c for c in categories if unique[c] <= most])
+
+    common.numeric = [c for c in usable if c not in categories]
+    gaps = [c for c in common.numeric if missing[c]]
     binned = S.is_numeric(df.schema[target].dataType) and unique[target] > MANY_CLASSES
     # medians and the target's tertiles are one search for order statistics
     wanted = {c: as_double(rows, c) for c in [*gaps, *([target] if binned else [])]}
     found = exact_quantiles(rows, wanted, [1 / 3, 0.5, 2 / 3]) if wanted else {}
-    plan.medians = {c: found[c][1] for c in gaps if found[c] is not None}
-    plan.missing_values_handled = sum(missing[c] for c in gaps)
+    common.medians = {c: found[c][1] for c in gaps if found[c] is not None}
+    common.missing_values_handled = sum(missing[c] for c in gaps)
     edges = None
     if binned:
         edges = found[target][0], found[target][2]
         _check_edges(target, base["target_range"], edges)
-    _fit_target(rows, plan, unique[target], edges)
-    if scale:
-        plan.scaling = {c: _scaling_of(c, plan, base, frequencies) for c in kept}
-    return plan
+    _fit_target(rows, common, unique[target], edges)
+
+    plans = []
+    for limit, scale in kinds:
+        plan = replace(common, dropped=[*common.dropped], decisions={**common.decisions})
+        for c in categories:
+            if unique[c] > limit:
+                plan.drop(c, "high_cardinality", f"high cardinality: {unique[c]} unique values")
+        plan.encoded = {c: list(own) for c, own in frequencies.items() if unique[c] <= limit}
+        plan.features = [c for c in usable if c not in categories or c in plan.encoded]
+        plan.decisions.update({plan.shown.get(c, c): "encoded" if c in plan.encoded else "numeric" for c in plan.features})
+        if scale:
+            plan.scaling = {c: _scaling_of(c, plan, base, frequencies) for c in plan.features}
+        plans.append(plan)
+    return plans
 
 
 def base_statistics(df: DataFrame, target: str, names: list[str], fit_on: Column | None = None) -> dict:

@@ -19,8 +19,9 @@ of them would otherwise be planned and compiled anew.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Cells (rows x features) of a table that grows inside one task, or of each task where there are many; cells of
 #: each of a few tasks; histogram numbers of a job.
 TASK_CELLS, JOB_CELLS, MOST_NUMBERS = 2_000_000, 250_000, 1 << 23
+#: Boosting grows inside one task up to so many times TASK_CELLS (cells x outputs): a level of them takes less than a job.
+LONE_TIMES = 3
 #: Tasks whose sums go to the driver directly; more are merged on executors first.
 DIRECT_TASKS = 16
 #: Rounds between two checkpoints of the blocks.
@@ -85,9 +88,13 @@ class Tree:
 
     def place(self, bins: np.ndarray, cuts: list[int], n_bins: int) -> np.ndarray:
         """``route`` over bin numbers below ``n_bins``: each feature's bin leaves some of the leaves open, together one."""
+        return self.placing(cuts, n_bins)(bins)
+
+    def placing(self, cuts: list[int], n_bins: int) -> Callable[[np.ndarray], np.ndarray]:
+        """``place`` as a function of the bins, for many blocks."""
         leaves = [v for v, f in enumerate(self.feature) if f < 0]
         if len(leaves) > MASK_LEAVES:
-            return self.route(bins, cuts)
+            return lambda bins: self.route(bins, cuts)
         under = [0] * len(self.feature)
         for i, v in enumerate(leaves):
             under[v] = 1 << i
@@ -97,13 +104,20 @@ class Tree:
             if f >= 0:
                 left, right = under[self.left[v]], under[self.left[v] + 1]
                 under[v] = left | right
-                mask = open_.setdefault(f, np.full(n_bins, ALL_LEAVES))
+                if f not in open_:
+                    open_[f] = np.full(n_bins, ALL_LEAVES)
+                mask = open_[f]
                 mask[: cuts[v] + 1] &= ALL_LEAVES ^ np.uint64(right)
                 mask[cuts[v] + 1 :] &= ALL_LEAVES ^ np.uint64(left)
-        found = np.full(bins.shape[1], under[0], np.uint64)
-        for f, mask in open_.items():
-            found &= mask[bins[f]]
-        return np.array(leaves)[np.bitwise_count(found - np.uint64(1))]
+        nodes, root = np.array(leaves), np.uint64(under[0])
+
+        def of(bins: np.ndarray) -> np.ndarray:
+            found = np.full(bins.shape[1], root, np.uint64)
+            for f, mask in open_.items():
+                found &= mask.take(bins[f])
+            return nodes.take(np.bitwise_count(found - np.uint64(1)))
+
+        return of
 
 
 @dataclass
@@ -222,8 +236,11 @@ def bin_edges(rows: DataFrame, n_features: int, max_bins: int) -> list[np.ndarra
 Block = tuple
 
 
-def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
-    """The rows (features vector, label) as cached blocks of bin numbers, written once to the checkpoint folder."""
+def blocks_of(rows: DataFrame, edges: list[np.ndarray], outputs: int | None = None) -> RDD:
+    """The rows (features vector, label) as cached blocks of bin numbers, written once to the checkpoint folder.
+
+    With the ``outputs`` of boosting, which takes hundreds of levels, tables of up to LONE_TIMES x TASK_CELLS go to one task.
+    """
     kind = np.uint8 if max(map(len, edges), default=0) < 256 else np.uint16
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +256,8 @@ def blocks_of(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
     packed = rows.select(vector_to_array("features").alias("x"), F.col("label").cast("double")).mapInArrow(pack, "n int, bins binary, label binary")
     cells = count * max(1, len(edges))
     tasks = -(-cells // TASK_CELLS)
+    if outputs is not None and cells * outputs <= LONE_TIMES * TASK_CELLS:
+        tasks = 1
     if tasks > 1:  # their sums still go to the driver directly
         tasks = max(tasks, min(DIRECT_TASKS, -(-cells // JOB_CELLS)))
     tasks = max(1, min(packed.rdd.getNumPartitions(), tasks))
@@ -275,6 +294,10 @@ class InTask:
     def map(self, change) -> None:
         self.blocks = [change(b) for b in self.blocks]
 
+    def keeps(self, numbers: int) -> bool:
+        """Whether there is room for so many numbers a row between two sums."""
+        return numbers * sum(len(b[2]) for b in self.blocks) <= TASK_CELLS
+
     def close(self) -> None:
         self.blocks = []
 
@@ -314,6 +337,9 @@ class InJobs:
         if self.changes % CHECKPOINT_ROUNDS == 0:
             self.blocks.checkpoint()
 
+    def keeps(self, numbers: int) -> bool:
+        return False  # each sum is a job of its own
+
     def close(self) -> None:
         for blocks in (self.before, self.blocks):
             if blocks is not None:
@@ -337,12 +363,13 @@ def grown(blocks: RDD, grow):
 
 
 def _cells(bins: np.ndarray, slot: np.ndarray, slots: int, n_bins: int, channels: list[np.ndarray]) -> np.ndarray:
-    """(slots, features, bins, channels) sums of the rows with a slot; ``channels`` has a weight per row each."""
+    """(slots, features, bins, channels) sums of the rows whose slot is below ``slots``; ``channels`` has a weight per row each."""
     out = np.empty((slots, len(bins), n_bins, len(channels)))
+    first = slot * n_bins
     for f, own in enumerate(bins):
-        key = slot * n_bins + own
+        key = first + own
         for c, weight in enumerate(channels):
-            out[:, f, :, c] = np.bincount(key, weights=weight, minlength=slots * n_bins).reshape(slots, n_bins)
+            out[:, f, :, c] = np.bincount(key, weights=weight, minlength=slots * n_bins)[: slots * n_bins].reshape(slots, n_bins)
     return out
 
 
@@ -429,10 +456,10 @@ def fit_tree(rows: DataFrame, n_features: int, n_classes: int, max_depth: int |
 
 def gradients(label: np.ndarray, margin: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and Hessian of the log loss: rows x outputs."""
-    p = probabilities(margin, n_classes)
     if n_classes == 2:
-        p = p[:, 1:]
+        p = 1 / (1 + np.exp(-margin))
         return p - (label == 1)[:, None], np.maximum(p * (1 - p), 1e-16)
+    p = probabilities(margin, n_classes)
     hit = np.zeros_like(p)
     hit[np.arange(len(hit)), label] = 1
     return p - hit, np.maximum(2 * p * (1 - p), 1e-16)
@@ -466,9 +493,9 @@ def fit_boosting(
     and place, features of ``colsample_bytree`` for each tree.
     """
     edges = bin_edges(rows, n_features, max_bins)
-    blocks = blocks_of(rows, edges)
     n_bins = max(map(len, edges), default=0) + 1
     outputs = 1 if n_classes == 2 else n_classes
+    blocks = blocks_of(rows, edges, outputs)
 
     def grow(sums) -> tuple[float, list[list[Tree]]]:
         start = 0.0
@@ -484,15 +511,19 @@ def fit_boosting(
             for k in range(outputs):
                 picked[k, draw.permutation(n_features)[: max(1, int(np.ceil(colsample_bytree * n_features)))]] = True
             frontier = [(k, tree.add(0.0, 0)) for k, tree in enumerate(trees)]
+            known: dict | None = {} if sums.keeps(outputs) else None
             for level in range(max_depth):
                 found: list[tuple | None] = []
                 totals: list[np.ndarray] = []
                 for nodes in _groups(frontier, n_features * n_bins * 2):
                     shape = (len(nodes), n_features, n_bins, 2)
-                    loss = _loss_histogram(nodes, shape, trees, number, n_classes, subsample, seed)
+                    loss = _loss_histogram(nodes, shape, trees, number, n_classes, subsample, seed, known)
                     cells = sums.sum(loss, int(np.prod(shape))).reshape(shape)
-                    for i, (k, _) in enumerate(nodes):
-                        found += loss_splits(cells[i : i + 1], l2, min_child_weight, picked[k])
+                    done = 0
+                    for k, same in groupby(nodes, lambda node: node[0]):
+                        own = len(list(same))
+                        found += loss_splits(cells[done : done + own], l2, min_child_weight, picked[k])
+                        done += own
                     totals += list(cells[:, 0].sum(axis=1))
                 after = []
                 for (k, v), split, (g, h) in zip(frontier, found, totals):
@@ -517,22 +548,44 @@ def fit_boosting(
     return Forest(rounds, n_features, n_classes, boosted=True, start=start)
 
 
-def _loss_histogram(nodes: list[tuple[int, int]], shape: tuple, trees: list[Tree], number: int, n_classes: int, subsample: float, seed: int):
-    """Gradients and Hessians per (tree, node), feature and bin of a block."""
+def _loss_histogram(
+    nodes: list[tuple[int, int]], shape: tuple, trees: list[Tree], number: int, n_classes: int, subsample: float, seed: int, known: dict | None
+):
+    """Gradients and Hessians per (tree, node), feature and bin of a block.
+
+    ``known`` has those of the rows of each block, once found in this round; without it they are found anew.
+    """
+    groups = {k: [i for i, (other, _) in enumerate(nodes) if other == k] for k in sorted({k for k, _ in nodes})}
+    placing: dict[int, tuple[Callable, np.ndarray]] = {}
+
+    def slots(k: int, bins: np.ndarray) -> np.ndarray:
+        """Place of each row's node among those of tree ``k``, or their number."""
+        if k not in placing:  # made by the task, for all its blocks
+            own = np.full(len(trees[k].feature), len(groups[k]))
+            own[[nodes[i][1] for i in groups[k]]] = np.arange(len(groups[k]))
+            placing[k] = trees[k].placing(trees[k].bin, shape[2]), own
+        node, own = placing[k]
+        return own.take(node(bins))
 
     def loss(block: Block) -> np.ndarray:
         part, bins, label, margin = block
-        gradient, hessian = gradients(label, margin, n_classes)
+        gradient, hessian = known[part] if known and part in known else gradients(label, margin, n_classes)
+        if known is not None:
+            known[part] = gradient, hessian
         drawn = np.random.default_rng((seed, number, part)).random(len(label)) < subsample if subsample < 1 else None
-        out = np.zeros(shape)
-        for k in sorted({k for k, _ in nodes}):
-            at = [i for i, (other, _) in enumerate(nodes) if other == k]
-            slot = _slots(trees[k], [nodes[i][1] for i in at], bins, shape[2])
-            own = slot >= 0 if drawn is None else (slot >= 0) & drawn
-            if own.all():
-                out[at] = _cells(bins, slot, len(at), shape[2], [gradient[:, k], hessian[:, k]])
+        out = np.zeros(shape) if len(groups) > 1 else None
+        for k, at in groups.items():
+            slot = slots(k, bins)
+            if drawn is not None:
+                slot = np.where(drawn, slot, len(at))
+            own = slot < len(at)
+            if 2 * np.count_nonzero(own) > len(own):  # the others are counted beside
+                cells = _cells(bins, slot, len(at), shape[2], [gradient[:, k], hessian[:, k]])
             else:
-                out[at] = _cells(bins[:, own], slot[own], len(at), shape[2], [gradient[own, k], hessian[own, k]])
+                cells = _cells(bins[:, own], slot[own], len(at), shape[2], [gradient[own, k], hessian[own, k]])
+            if out is None:
+                return cells.ravel()
+            out[at] = cells
         return out.ravel()
 
     return loss

@@ -9,7 +9,7 @@ from tablescope.operators.association import target_quality_rank
 from tablescope.operators.target import infer_problem_type, target_candidates
 from tablescope.plans.insights import MODEL_ORDER, report_document
 from tablescope.plans.profile import profile_table
-from tablescope.plans.training import train_and_evaluate
+from tablescope.plans.training import prepare_each, train_and_evaluate
 from tablescope.sources import results
 from tablescope.sources.csv import csv_ingest, normalize_table_name
 from tablescope.sources.workspace import create_workflow, table_scan, workflow_namespace
@@ -53,15 +53,20 @@ def train_all(
     keys: list[str] | None = None,
     model_parameters: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Record the target, train the three families and store their summaries."""
+    """Record the target, train the three families and store their summaries.
+
+    Families share one preparation, except those whose parameters ask for a split of their own.
+    """
     namespace = workflow_namespace(workflow_id)
     df = table_scan(spark, namespace, table)
     kind = infer_problem_type(df, [target]).first()["problem_type"]
     results.select_target(spark, namespace, table, target, kind)
+    parameters = {m: (model_parameters or {}).get(m, {}) for m in MODEL_ORDER}
+    alike = [m for m in MODEL_ORDER if not {"test_size", "seed", "prepared"} & parameters[m].keys()]
+    shared = prepare_each(df, target, alike, keys) if alike else {}
     for model_type in MODEL_ORDER:
-        run = train_and_evaluate(
-            df, target, model_type, table, workflow_id, kind, keys, **(model_parameters or {}).get(model_type, {})
-        )
+        own = {"prepared": shared[model_type]} if model_type in shared else {}
+        run = train_and_evaluate(df, target, model_type, table, workflow_id, kind, keys, **own, **parameters[model_type])
         results.save_model_summary(run.summary, namespace)
     return spark.table(f"{namespace}.workflow_model_summary")
 

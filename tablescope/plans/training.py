@@ -12,8 +12,8 @@ from tablescope import schema as S
 from tablescope.functions import analysis_id as new_analysis_id
 from tablescope.operators import evaluate, models
 from tablescope.operators.features import (
-    MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, report_row, scaled_features,
-    with_label,
+    MAX_CATEGORIES, FeaturePlan, assemble_features, fit_features, fit_plans, report_row,
+    scaled_features, with_label,
 )
 from tablescope.operators.split import HASH_DIGITS, row_hash, stratified_split
 from tablescope.operators.target import require_column
@@ -52,8 +52,20 @@ def prepare(
     ``keys`` identify a row for the split; without them the whole row does.  ``fit_on='train'``
     splits first and learns medians, codes and scaling from the training rows only.
     """
-    scale = model_type == "logistic_regression"
-    limit = MAX_CATEGORIES[model_type]
+    return prepare_each(df, target, [model_type], keys, test_size, seed, fit_on)[model_type]
+
+
+def prepare_each(
+    df: DataFrame,
+    target: str,
+    model_types: list[str],
+    keys: list[str] | None = None,
+    test_size: float = 0.2,
+    seed: int = 42,
+    fit_on: str = "all",
+) -> dict[str, Prepared]:
+    """``prepare`` for several families: statistics and split are made once, equal frames are one frame."""
+    kinds = [(MAX_CATEGORIES[m], m == "logistic_regression") for m in model_types]
     require_column(df, target)
     # columns go by place, so no name of a table can meet one used here
     shown = {f"f{i}": c for i, c in enumerate(df.columns)}
@@ -63,21 +75,35 @@ def prepare(
     cells = [F.coalesce(F.to_json(F.struct(F.col(place[k]).alias(k))), F.lit("")) for k in keys or df.columns]
     keyed = rows.withColumn("__row_key", F.md5(F.concat_ws("\u0001", *cells)))
 
-    plan = fit_features(rows, own_target, limit, scale, shown=shown)
-    if plan.n_classes > MOST_CLASSES:
-        raise ValueError(f"target {target!r} has {plan.n_classes} classes, too many to train a classifier")
-    if not plan.features:
-        raise ValueError("no usable feature is left after the preparation")
+    plans = fit_plans(rows, own_target, kinds, shown=shown)
+    for plan in plans:
+        if plan.n_classes > MOST_CLASSES:
+            raise ValueError(f"target {target!r} has {plan.n_classes} classes, too many to train a classifier")
+        if not plan.features:
+            raise ValueError("no usable feature is left after the preparation")
     # the side is a column of the row itself: no join back, copies of a key stay what they are
-    split = stratified_split(with_label(keyed, plan), "__label", ["__row_key"], test_size, seed)
+    split = stratified_split(with_label(keyed, plans[0]), "__label", ["__row_key"], test_size, seed)
     if fit_on == "train":
-        learned = fit_features(split.where("split = 'train'").select(*shown), own_target, limit, scale, shown=shown)
-        learned.labels, learned.edges, learned.label_codes = plan.labels, plan.edges, plan.label_codes
-        learned.n_classes, learned.target_conversion = plan.n_classes, plan.target_conversion
-        learned.original_rows, learned.rows_dropped = plan.original_rows, plan.rows_dropped
-        plan = learned
-    frame = assemble_features(scaled_features(split, plan, ["__label", "split"]), plan).withColumnRenamed("__label", "label")
-    return Prepared(checkpointed(frame), plan.in_shown_names())
+        learned = fit_plans(split.where("split = 'train'").select(*shown), own_target, kinds, shown=shown)
+        for own, plan in zip(learned, plans):
+            own.labels, own.edges, own.label_codes = plan.labels, plan.edges, plan.label_codes
+            own.n_classes, own.target_conversion = plan.n_classes, plan.target_conversion
+            own.original_rows, own.rows_dropped = plan.original_rows, plan.rows_dropped
+        plans = learned
+    if len(plans) > 1:
+        used = [c for c in shown if any(c in plan.features for plan in plans)]
+        split = checkpointed(split.select("__label", "split", *used))
+    frames: list[tuple[FeaturePlan, DataFrame]] = []
+    for plan in plans:
+        frame = next((f for p, f in frames if _same_features(p, plan)), None)
+        if frame is None:
+            frame = checkpointed(assemble_features(scaled_features(split, plan, ["__label", "split"]), plan).withColumnRenamed("__label", "label"))
+        frames.append((plan, frame))
+    return {m: Prepared(frame, plan.in_shown_names()) for m, (plan, frame) in zip(model_types, frames)}
+
+
+def _same_features(a: FeaturePlan, b: FeaturePlan) -> bool:
+    return (a.features, a.encoded, a.medians, a.scaling) == (b.features, b.encoded, b.medians, b.scaling)
 
 
 def evaluation(scored: DataFrame, n_classes: int) -> dict:

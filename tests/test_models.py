@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablescope.operators import evaluate, features, lookup, models, split, trees
 from tablescope.operators.ordering import dense_codes, totals_before
-from tablescope.plans.training import cross_validate, prepare, train_and_evaluate
+from tablescope.plans.training import cross_validate, prepare, prepare_each, train_and_evaluate
 
 
 def learnable(spark, n=600):
@@ -480,3 +480,77 @@ def test_leaves_by_bits_are_those_of_the_walk():
         leaf = tree.route(np.ascontiguousarray(values.T), tree.threshold)
         weight = np.array(tree.value)[leaf]
         assert forest.margins(values)[:, 0].tolist() == (0.25 + weight + weight).tolist()
+
+
+def test_families_share_statistics_and_split(spark, monkeypatch):
+    from tablescope.plans import training
+
+    df = learnable(spark).withColumn("wide", F.concat(F.lit("w"), F.col("row") % 60))
+    df = df.withColumn("wider", F.concat(F.lit("w"), F.col("row") % 150)).withColumn("a", F.when(F.col("row") % 9 != 0, F.col("a")))
+    families = list(training.TRAINERS)
+    expected = {m: prepare(df, "target", m, ["row"]) for m in families}
+    calls = []
+
+    def counted(function):
+        def call(*args, **kwargs):
+            calls.append(function.__name__)
+            return function(*args, **kwargs)
+
+        return call
+
+    for module, name in ((training, "stratified_split"), (features, "base_statistics"), (features, "unique_stats"), (features, "listed_frequencies")):
+        monkeypatch.setattr(module, name, counted(getattr(module, name)))
+    found = prepare_each(df, "target", families, ["row"])
+    assert sorted(calls) == ["base_statistics", "listed_frequencies", "stratified_split", "unique_stats"]
+    rows = lambda p: sorted((r["split"], r["label"], r["features"].toArray().tolist()) for r in p.frame.collect())
+    for m in families:
+        assert rows(found[m]) == rows(expected[m])
+        for name in ("features", "dropped", "decisions", "encoded", "medians", "scaling", "labels", "numeric", "missing_values_handled", "target_conversion"):
+            assert getattr(found[m].plan, name) == getattr(expected[m].plan, name)
+    assert [len(found[m].plan.dropped) for m in families] == [2, 1, 0]
+    assert len({id(p.frame) for p in found.values()}) == 3
+    alike = prepare_each(learnable(spark), "target", families, ["row"])
+    assert alike["decision_tree"].frame is alike["gradient_boosting"].frame is not alike["logistic_regression"].frame
+
+
+def _blocks(rng, n_classes, sizes=(300, 200, 40)):
+    return [(i, rng.integers(0, 9, (3, n)).astype(np.uint8), rng.integers(0, n_classes, n).astype(np.int32)) for i, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_slopes_are_found_once_a_round(monkeypatch, n_classes):
+    """In one task each block's gradients are kept for the levels of a round; without room they are found anew."""
+    calls = []
+    gradients = trees.gradients
+    monkeypatch.setattr(trees, "gradients", lambda *a: calls.append(1) or gradients(*a))
+    monkeypatch.setattr(trees, "bin_edges", lambda *a: [np.arange(8) + 0.5] * 3)
+    monkeypatch.setattr(trees, "blocks_of", lambda *a: _blocks(np.random.default_rng(3), n_classes))
+    monkeypatch.setattr(trees, "grown", lambda blocks, grow: grow(trees.InTask(iter(blocks))))
+    for subsample in (1.0, 0.6):
+        del calls[:]
+        forest = trees.fit_boosting(None, 3, n_classes, n_estimators=4, max_depth=4, subsample=subsample)
+        assert len(calls) == 4 * 3
+        with monkeypatch.context() as tight:
+            tight.setattr(trees, "TASK_CELLS", 100)
+            assert trees.fit_boosting(None, 3, n_classes, n_estimators=4, max_depth=4, subsample=subsample) == forest
+        assert len(calls) > 8 * 3
+
+
+def test_rows_beside_the_nodes_are_not_counted():
+    rng = np.random.default_rng(4)
+    bins, slot, weight = rng.integers(0, 5, (2, 400)).astype(np.uint8), rng.integers(0, 4, 400), rng.random(400)
+    cells = trees._cells(bins, slot, 3, 5, [weight])
+    own = slot < 3
+    assert (cells == trees._cells(bins[:, own], slot[own], 3, 5, [weight[own]])).all()
+    for f in range(2):
+        for s in range(3):
+            assert np.allclose(cells[s, f, :, 0], [weight[(slot == s) & (bins[f] == b)].sum() for b in range(5)])
+
+
+def test_boosting_in_one_task_up_to_the_work_of_a_job(spark, monkeypatch):
+    df = learnable(spark).repartition(4)
+    frame = prepare(df, "target", "gradient_boosting", ["row"]).frame.select("features", "label").repartition(4)
+    monkeypatch.setattr(trees, "TASK_CELLS", 800)  # 600 rows of 4 features: 2,400 cells
+    edges = trees.bin_edges(frame, 4, 16)
+    parts = [trees.blocks_of(frame, edges, outputs).getNumPartitions() for outputs in (None, 1, 3)]
+    assert parts == [3, 1, 3]
