@@ -8,9 +8,11 @@ keys are searched for. k is fixed per size band; a document sends the keys of it
 next lower bands in which it may be the larger partner. The sketch is kept sparse: a block's key is the
 XOR of the codes of its odd bits, which is equal exactly when the bits are.
 
-Blocks with few odd bits would meet by chance or by one hot shingle. A document leaves its weak blocks
-out if fewer than k - D blocks are weak, since an equal strong block is then certain; otherwise it sends
-them, too. Documents of one key are joined where the Hamming distance of their whole sketches, folded to
+Blocks with few odd bits would meet by chance or by one hot shingle. As at least k - D blocks are equal, the
+k - D - 1 last ones of a document in any order that holds for all documents can be left out, and the first equal
+block stays in both. The order is: strong blocks, weak blocks, empty blocks; among strong and among weak ones those
+of few documents first. So a document leaves out its empty blocks, or all weak ones, before it sends its keys, and
+those of most documents after the documents of a key are known. Documents of one key are joined where the Hamming distance of their whole sketches, folded to
 about one bit per element, is at most D: folding cannot raise the distance either. Keys that the same
 documents share are looked at once. A key with very many
 documents is not gathered: its documents are joined in a chain, which only makes a family larger. A
@@ -29,7 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import connected_components
@@ -45,6 +47,8 @@ STRONG_BITS, SPARE_BLOCKS = 2, Fraction(1, 5)
 KEY_DOCUMENTS = 4096
 #: Rows of one key that are held to see which documents share it.
 BUCKET_ROWS = 65_536
+#: Stands for the power of two of a larger key's documents.
+LARGE = 31
 #: A group that is compared at once has at most about so many documents and shingles.
 GROUP_DOCUMENTS, GROUP_SHINGLES = 512, 1_000_000
 #: Key tables up to this many rows are broadcast, larger ones are shuffled.
@@ -76,10 +80,11 @@ def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(rolling(words, min(shingle, len(words))))
 
 
-def block_keys(elements: np.ndarray, band: int, differ: int, blocks: int) -> np.ndarray:
-    """Keys of the parity sketch's blocks of one set in one band."""
+def block_keys(elements: np.ndarray, band: int, differ: int, blocks: int) -> tuple[np.ndarray, int]:
+    """Keys of the parity sketch's blocks of one set in one band, the last bit telling weak blocks, and how many of
+    the strong keys (as a negative number: of the weak keys) can still be left out."""
     if not differ:  # equal sets only, which are copies
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 0
     seed = np.uint64(band + 1)
     with np.errstate(over="ignore"):
         codes = mix(elements + seed * np.uint64(0x9E3779B97F4A7C15))
@@ -90,13 +95,19 @@ def block_keys(elements: np.ndarray, band: int, differ: int, blocks: int) -> np.
     value = np.bitwise_xor.reduceat(codes, first)
     strong = np.diff(np.append(first, len(codes))) >= STRONG_BITS
     block = which[first]
-    if blocks - strong.sum() >= blocks - differ:  # too many weak blocks: they count as well, empty ones included
+    spare = blocks - differ - 1
+    weak = blocks - int(strong.sum())
+    if weak > spare:  # too many weak blocks: they count as well; empty ones go first, those of the highest numbers
         empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block)
+        gone = min(len(empty), spare)
+        empty, spare = empty[: len(empty) - gone], gone - spare
         block, value = np.concatenate([block, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
+        strong = np.concatenate([strong, np.zeros(len(empty), bool)])
     else:
-        block, value = block[strong], value[strong]
+        block, value, strong, spare = block[strong], value[strong], strong[strong], spare - weak
     with np.errstate(over="ignore"):
-        return mix(value ^ mix(block * np.uint64(0xD6E8FEB86659FD93) + seed))
+        keys = mix(value ^ mix(block * np.uint64(0xD6E8FEB86659FD93) + seed))
+    return keys >> np.uint64(1) << np.uint64(1) | (~strong).astype(np.uint64), spare
 
 
 def folded_sketch(elements: np.ndarray, high: int) -> bytes:
@@ -106,19 +117,19 @@ def folded_sketch(elements: np.ndarray, high: int) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def in_bands(elements: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bytes, np.ndarray]]:
-    """(band, most differing elements, folded sketch, keys) in all bands in which a document can have a
+def in_bands(elements: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bytes, np.ndarray, int]]:
+    """(band, most differing elements, folded sketch, keys, spare keys) in all bands in which a document can have a
     partner; its own band comes last."""
     size, found = len(elements), []
     for i, (low, high, differ, blocks) in enumerate(known):
         if low > size:
             break
         if size * percent <= high * 100:  # own band, or a lower one whose largest sets it can join
-            found.append((i, differ, folded_sketch(elements, high), block_keys(elements, i, differ, blocks)))
-    return found or [(-1, 0, b"", np.empty(0, np.uint64))]
+            found.append((i, differ, folded_sketch(elements, high), *block_keys(elements, i, differ, blocks)))
+    return found or [(-1, 0, b"", np.empty(0, np.uint64), 0)]
 
 
-SKETCH = "key bigint, size bigint, digest binary, own boolean, band int, differ int, sketch binary, keys array<bigint>"
+SKETCH = "key bigint, size bigint, digest binary, own boolean, band int, differ int, sketch binary, spare int, keys array<bigint>"
 
 
 def sketches(shingle: int, percent: int):
@@ -134,14 +145,14 @@ def sketches(shingle: int, percent: int):
                 if len(elements) and (not known or known[-1][1] < len(elements)):
                     known = bands(2 * len(elements), percent)
                 found, digest = in_bands(elements, percent, known), elements_digest(elements)
-                for n, (band, differ, sketch, keys) in enumerate(found):
-                    rows.append((key, len(elements), digest, n == len(found) - 1, band, differ, sketch, keys.view(np.int64)))
+                for n, (band, differ, sketch, keys, spare) in enumerate(found):
+                    rows.append((key, len(elements), digest, n == len(found) - 1, band, differ, sketch, spare, keys.view(np.int64)))
             if rows:
                 *plain, keys = zip(*rows)
                 lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
                 columns = [*(pa.array(c, t) for c, t in zip(plain, types)), pa.ListArray.from_arrays(lengths, np.concatenate(keys))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "own", "band", "differ", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "digest", "own", "band", "differ", "sketch", "spare", "keys"])
 
     return run
 
@@ -156,15 +167,28 @@ def buckets(rows: pa.RecordBatch) -> pa.RecordBatch:
     """Rows (hash, key, band) sorted by hash, no hash cut -> (bucket, key, band) of the hashes of several rows.
 
     The bucket is a hash of all documents that share the key, so hashes shared by the same documents are one bucket.
+    Buckets are ordered by their number of documents, in powers of two; the last bit still tells weak blocks.
     """
     hashes, keys, band = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     count = np.diff(np.append(first, len(hashes)))
     bucket = mix(np.add.reduceat(mix(keys.view(np.uint64)), first) ^ mix(band[first].astype(np.uint64) + np.uint64(1)))
+    bucket = ordered(bucket, np.log2(count).astype(np.uint64), hashes[first])
     made = pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, count).view(np.int64)), *rows.columns[1:]], names=["bucket", "key", "band"])
     return made.filter(pa.array(np.repeat(count > 1, count)))
 
 
+def ordered(bucket: np.ndarray, power: np.ndarray | int, hashes: np.ndarray) -> np.ndarray:
+    """Non-negative numbers that sort by ``power``, ending in the last bit of the hashes."""
+    return np.uint64(power) << np.uint64(58) | bucket >> np.uint64(7) << np.uint64(1) | hashes.view(np.uint64) & np.uint64(1)
+
+
+def bucket_of_its_own(rows: pa.RecordBatch) -> pa.RecordBatch:
+    hashes = rows.column(0).to_numpy(zero_copy_only=False)
+    bucket = ordered(mix(hashes.view(np.uint64)), LARGE, hashes)
+    return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *rows.columns[1:]], names=["bucket", "key", "band"])
+
+
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hash -> the buckets of hashes that several rows have; a hash of very many rows is a bucket of its own."""
     held, large = None, None  # the rows of the last hash wait for the next batch, unless they are too many
@@ -176,12 +200,12 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = int(np.count_nonzero(hashes == large)) if large is not None else 0
         end = max(begin, len(hashes) - int(np.count_nonzero(hashes == hashes[-1])))
         if begin:
-            yield rows.slice(0, begin).rename_columns(["bucket", "key", "band"])
+            yield bucket_of_its_own(rows.slice(0, begin))
         if end > begin:
             yield buckets(rows.slice(begin, end - begin))
         held = rows.slice(end) if end < len(rows) else None
         if held is not None and len(held) > BUCKET_ROWS:
-            yield held.rename_columns(["bucket", "key", "band"])
+            yield bucket_of_its_own(held)
             held, large = None, hashes[-1]
     if held is not None:
         yield buckets(held)
@@ -328,6 +352,16 @@ def compare_groups(percent: int):
     return run
 
 
+def without_spare(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (bucket, key, band, hashes) without the buckets of most documents that a document in a band can leave out."""
+    weak = F.col("bucket").bitwiseAND(F.lit(1).cast("bigint"))
+    known = met.join(rows.select("key", "band", "spare").hint("merge"), ["key", "band"])
+    # the hashes of this bucket and of those that come after it; those left out already come after all
+    behind = F.sum("hashes").over(Window.partitionBy("key", "band").orderBy(weak.desc(), F.col("bucket").desc()))
+    most = F.greatest(F.when(weak == 1, -F.col("spare")).otherwise(F.col("spare")), F.lit(0))
+    return known.withColumn("behind", behind).where(F.col("behind") > most).select("bucket", "key", "band")
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable by links), n_links."""
     spark = docs.sparkSession
@@ -349,7 +383,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     copies = materialize(copies.join(firsts, "key", "left_anti"), "copies")
     rows = found.where("size > 0").join(small(copies, BROADCAST_ROWS), "key", "left_anti")
     sent = rows.select(F.explode("keys").alias("hash"), "key", "band").repartition(partitions, "hash").sortWithinPartitions("hash")
-    met = materialize(map_arrow(sent, shared, "bucket bigint, key bigint, band int").distinct(), "shared-keys")
+    met = map_arrow(sent, shared, "bucket bigint, key bigint, band int").groupBy("bucket", "key", "band").agg(F.count(F.lit(1)).alias("hashes"))
+    met = materialize(without_spare(met, rows), "shared-keys")
     # shuffled at every size: the sketches grow with the documents
     met = met.join(rows.select("key", "band", "differ", "sketch").hint("merge"), ["key", "band"]).select("bucket", "key", "differ", "sketch")
     met = met.repartition(partitions, "bucket").sortWithinPartitions("bucket", "key")

@@ -1,4 +1,5 @@
 import brute
+import numpy as np
 import pyarrow as pa
 import random
 from llm_fixtures import documents, none, odd  # noqa: F401
@@ -86,3 +87,38 @@ def test_keys_shared_by_the_same_documents_are_one_bucket(monkeypatch):
                 sets.setdefault((bucket, band), set()).add(key)
             assert sorted((band, sorted(keys)) for (_, band), keys in sets.items()) == [(0, [7, 8])] * (1 if most > 1 else len(sets) - 2) + [(0, [7, 8, 9]), (1, [7, 8])]
             assert found.num_rows == 9 and (most == 1 or len(sets) == 3)
+
+
+def test_keys_of_most_documents_are_left_out(spark):
+    random = np.random.default_rng(4)
+    known = op.bands(1000, 80)
+    band = op.band_of(220, 80)
+    size, _, differ, blocks = known[band]  # of the smallest size most blocks are weak
+    common = random.integers(0, 1 << 63, 12, dtype=np.uint64)  # a passage of all documents
+    sets = [np.unique(np.concatenate([common, random.integers(0, 1 << 63, size - 12, dtype=np.uint64)])) for _ in range(250)]
+    for i in range(10):  # near copies of the first ones
+        copy = sets[i].copy()
+        copy[random.choice(size, 17, replace=False)] = random.integers(0, 1 << 63, 17, dtype=np.uint64)
+        sets.append(np.unique(copy))
+    rows, spares = [], []
+    for key, elements in enumerate(sets):
+        keys, spare = op.block_keys(elements, band, differ, blocks)
+        assert len(keys) - abs(spare) == differ + 1  # with one more key left out an equal block would not be certain
+        rows += [(h, key, band) for h in keys.view(np.int64).tolist()]
+        spares.append((key, band, spare))
+    rows.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["hash", "key", "band"])
+    met = pa.Table.from_batches(op.shared(iter([batch])))
+    hashes = spark.createDataFrame(met.to_pandas()).groupBy("bucket", "key", "band").count().withColumnRenamed("count", "hashes")
+    left = op.without_spare(hashes, spark.createDataFrame(spares, "key bigint, band bigint, spare int"))
+    found = {}
+    for r in left.collect():
+        found.setdefault(r.bucket, set()).add(r.key)
+    assert all(any({i, 250 + i} <= keys for keys in found.values()) for i in range(10))
+    assert max(map(len, found.values())) < 25 < met.to_pandas().groupby("bucket").key.nunique().max()
+
+
+def test_buckets_sort_by_their_documents():
+    powers, hashes = np.array([1, 9, 16], np.uint64), np.array([6, -7, 2], np.int64)
+    made = op.ordered(op.mix(np.arange(3, dtype=np.uint64)), powers, hashes).view(np.int64)
+    assert (np.diff(made) > 0).all() and (made > 0).all() and (made & 1).tolist() == [0, 1, 0]
