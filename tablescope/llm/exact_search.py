@@ -15,8 +15,9 @@ Bounds are widened by the rounding of doubles and bounds equal to the threshold
 settled exactly, by the smaller key.
 
 Vectors and queries are packed into blocks; every query block meets every vector block, one pair at a
-time, so memory is bounded by two blocks. Each pair returns the queries' k best of the block, and the
-k best of these are the answer.
+time. Both are tables that the tasks of a product of partitions read, so no pair is shuffled, nothing goes
+through the driver, and a task holds a few blocks. Each pair returns the queries' k best of the block; a
+task raises a query's threshold to the k-th best score it has seen. The k best of all are the answer.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor
 do rows with a null key; components beyond 2 ** 26 in size after scaling count as that size, so that no
@@ -43,6 +44,8 @@ QUERY_EVERY = 50
 BLOCK = 4096
 #: Queries that go through the levels together.
 QUERY_STEP = 256
+#: Most files of a table of blocks; each holds a block, or a few.
+MOST_FILES = 10_000
 #: Size at which scaled components stop.
 MOST_COMPONENT = 1 << 26
 #: Above this share of survivors a level is one matrix product for all queries; below, it is taken for the survivors alone.
@@ -145,6 +148,13 @@ def best_of_block(
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
 
+def best_scores(best: np.ndarray, query: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """``best``, rising scores by query, with more scores of rising query numbers, at most as many for each."""
+    new = np.full(best.shape, -np.inf)
+    new[query, np.arange(len(query)) - np.searchsorted(query, query)] = scores
+    return np.sort(np.hstack([best, new]), axis=1)[:, -best.shape[1] :]
+
+
 def search_blocks(axes: np.ndarray, levels: list[np.ndarray], k: int):
     def rows_of(batch: pa.RecordBatch, keys: str, values: str, i: int) -> tuple[np.ndarray, np.ndarray]:
         own = batch.column(values)[i].values
@@ -152,20 +162,23 @@ def search_blocks(axes: np.ndarray, levels: list[np.ndarray], k: int):
         return batch.column(keys)[i].values.to_numpy(zero_copy_only=False), padded([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], len(axes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}  # the k best scores so far of the queries of a block, by its first query
         for batch in batches:
             for i in range(len(batch)):
                 query_keys, queries = rows_of(batch, "query_keys", "queries", i)
                 keys, vectors = rows_of(batch, "keys", "vectors", i)
                 floors = batch.column("floors")[i].values.to_numpy(zero_copy_only=False)
-                out = best_of_block(query_keys, queries, floors, keys, vectors, axes, levels, k)
+                best = seen.get(query_keys[0], np.full((len(query_keys), k), -np.inf))
+                out = best_of_block(query_keys, queries, np.maximum(floors, best[:, 0]), keys, vectors, axes, levels, k)
+                seen[query_keys[0]] = best_scores(best, np.searchsorted(query_keys, out[0]), out[2])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "key", "score"])
 
     return run
 
 
 def packed(df: DataFrame, blocks: int, number: str) -> DataFrame:
-    """Rows (key, values, floor) in blocks of near BLOCK rows; a hash decides the block."""
-    df = df.withColumn(number, F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    """Rows (key, values, floor) in blocks of near BLOCK rows; a hash decides the block. Dealt so that few share a file."""
+    df = df.withColumn(number, F.pmod(F.xxhash64("key"), F.lit(blocks))).repartition(min(blocks, MOST_FILES), number)
     return df.groupBy(number).agg(F.sort_array(F.collect_list(F.struct("key", "values", "floor"))).alias("rows"))
 
 
@@ -182,10 +195,11 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     data = materialize(data, "vector-blocks")
 
     def meet(queries: DataFrame, last: int) -> DataFrame:
-        """The query set, in blocks, against the vector blocks 0 to ``last``: one row per pair, dealt by the vector block."""
+        """The query set, in blocks, against the vector blocks 0 to ``last``: one row per pair, met where both are read."""
         rows = packed(queries, query_blocks, "query_block").select(F.col("rows.key").alias("query_keys"), F.col("rows.values").alias("queries"), F.col("rows.floor").alias("floors"))
-        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-        met = data.where(F.col("block") <= last).join(pairs, "block").select("query_keys", "queries", "floors", "keys", "vectors")
+        # not broadcast, however small the compressed files are: blocks come many times larger out of them
+        rows = materialize(rows, "query-blocks").hint("shuffle_replicate_nl")
+        met = data.where(F.col("block") <= last).drop("block").crossJoin(rows).select("query_keys", "queries", "floors", "keys", "vectors")
         found = map_arrow(met, search_blocks(axes, levels, k), "query_id bigint, key bigint, score bigint")
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

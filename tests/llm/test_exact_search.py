@@ -73,3 +73,17 @@ def test_sizes_and_clashing_columns(spark):
     for r in op.top_k(frame).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute.top_k(usable, 5, 50)
+
+
+def test_pairs_of_blocks_are_not_collected(monkeypatch, table):
+    """Small compressed tables of blocks made a broadcast of all pairs, collected on the driver."""
+    monkeypatch.setattr(op, "BLOCK", 64)
+    plan = op.top_k(table("embeddings"))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def test_thresholds_rise_to_the_best_scores_seen():
+    best = np.full((3, 2), -np.inf)
+    best = op.best_scores(best, np.array([0, 0, 2]), np.array([5, 3, 9]))
+    assert best.tolist() == [[3, 5], [-np.inf, -np.inf], [-np.inf, 9]]
+    assert op.best_scores(best, np.array([0, 1, 1, 2]), np.array([4, 1, 1, 9])).tolist() == [[4, 5], [1, 1], [9, 9]]
